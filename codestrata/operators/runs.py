@@ -148,6 +148,9 @@ def assertion_maturity(results: DataFrame, case_count: int, keys: Sequence[str]
 
     Distinct counts run over pre-aggregated keys, so a hot project or case collapses before the shuffle.
     """
+    whole = not keys
+    if whole:
+        results, keys = results.withColumn("_all", F.lit(0)), ["_all"]
     keys = list(keys)
     per_case = results.groupBy(*keys, "case_id").agg(F.count(F.lit(1)).alias("_n"))
     cases = _agg(per_case, keys, F.count(F.lit(1)).alias("case_hits"), F.min("_n").alias("min_case_replays"))
@@ -161,7 +164,7 @@ def assertion_maturity(results: DataFrame, case_count: int, keys: Sequence[str]
         F.bool_and("isolated").alias("all_isolated"))
     out = totals
     for part in (cases, projects, frameworks):
-        out = out.join(part, keys, "left") if keys else out.crossJoin(part)  # single-row sides
+        out = out.join(part, keys, "left")
     out = out.fillna(0, ["frameworks"])
     coverage = round_half_up(F.col("case_hits") / F.lit(case_count) * 100)
     conclusive = round_half_up((F.col("passed") + F.col("failed")) / F.greatest(F.lit(1), F.col("results")) * 100)
@@ -169,10 +172,11 @@ def assertion_maturity(results: DataFrame, case_count: int, keys: Sequence[str]
     eligible = (F.col("coverage") == 100) & (F.col("conclusive_rate") == 100) & F.col("all_isolated")
     mature = (F.col("projects") >= 20) & (F.col("frameworks") >= 5) & (F.col("span_days") >= 30) & (
         F.col("min_case_replays") >= 3)
-    return out.withColumn("eligible", eligible).withColumn(
+    out = out.withColumn("eligible", eligible).withColumn(
         "maturity", F.when(eligible & mature, "mature-validation-candidate").when(coverage == 100, "replay-covered")
         .otherwise("seed"))
+    return out.drop("_all") if whole else out
 
 
 def _agg(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    return df.groupBy(*keys).agg(*aggs)
