@@ -216,7 +216,7 @@ def manifest_files(b):
     grouped = d.withColumn("_fmt", fmt).groupBy("project_id", "_fmt").agg(
         F.array_sort(F.collect_list(F.struct("line", "name", item.alias("item")))).alias("_i"))
     # an order may repeat a line number; identical keys of one JSON object would collapse
-    joined = F.array_join(F.transform("_i", lambda i: i["item"]), F.lit("\n").cast("string") if False else "\n")
+    joined = F.array_join(F.transform("_i", lambda i: i["item"]), "\n")
     name = F.element_at(F.array(*map(F.lit, (
         "package.json", "requirements.txt", "go.mod", "poetry.lock", "Cargo.lock", "yarn.lock", "gradle.lockfile", "pom.xml",
         "Cargo.toml"))), (F.col("_fmt") + 1).cast("int"))
@@ -326,12 +326,12 @@ def input_leaks(b):
 @query("snapshot_diff", """
     SELECT coalesce(a.k, c.k) AS k, CASE WHEN a.k IS NULL THEN 'created' WHEN c.k IS NULL THEN 'deleted' ELSE 'modified' END AS kind,
            a.bytes AS before_bytes, c.bytes AS after_bytes
-    FROM (SELECT o_orderkey AS k, CAST(o_totalprice AS BIGINT) AS bytes, o_custkey AS st FROM orders WHERE o_orderkey % 5 <> 0) a
-    FULL OUTER JOIN (SELECT o_orderkey AS k, CAST(o_totalprice AS BIGINT) + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS bytes,
+    FROM (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS bytes, o_custkey AS st FROM orders WHERE o_orderkey % 5 <> 0) a
+    FULL OUTER JOIN (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS bytes,
         o_custkey + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS st FROM orders WHERE o_orderkey % 6 <> 0) c ON a.k = c.k
     WHERE a.k IS NULL OR c.k IS NULL OR a.bytes <> c.bytes OR a.st <> c.st""")
 def snapshot_diff(b):
-    o = b.orders.select(F.col("o_orderkey").alias("k"), F.round("o_totalprice").cast("long").alias("bytes"), F.col("o_custkey").alias("st"))
+    o = b.orders.select(F.col("o_orderkey").alias("k"), F.floor("o_totalprice").alias("bytes"), F.col("o_custkey").alias("st"))
     old = o.where("k % 5 <> 0")
     new = o.where("k % 6 <> 0").select(
         "k", (F.col("bytes") + F.when(F.col("k") % 7 == 0, 1).otherwise(0)).alias("bytes"),

@@ -156,7 +156,7 @@ def extract_declarations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = blocks.where(top & F.col("line").rlike(header)).select(
         "project_id", "file_id", "block", (F.col("pos") + 1).alias("start_line"),
         F.regexp_extract("line", header, 1).alias("name"), F.regexp_extract("line", header, 2).alias("_bases"))
-    bases = F.filter(F.transform(F.split("_bases", ","), F.trim), lambda x: x != "")
+    bases = F.filter(F.transform(F.split("_bases", ","), lambda x: F.trim(x)), lambda x: x != "")
     heads = heads.select("*", bases.alias("base_types")).drop("_bases")
     spans = blocks.groupBy("file_id", "block").agg(
         F.max("pos").alias("_last"),

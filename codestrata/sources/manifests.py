@@ -46,7 +46,7 @@ def _package_lock(content: Column) -> Column:
 def _by_line(content: Column, pattern: str, name, version, ecosystem: str, resolution: str, forced: bool, trim=True) -> Column:
     lines = F.split(content, r"\r?\n")
     if trim:
-        lines = F.transform(lines, F.trim)
+        lines = F.transform(lines, lambda x: F.trim(x))
     kept = F.filter(lines, lambda l: l.rlike(pattern))
     return F.transform(kept, lambda l: _row(name(l), version(l), ecosystem, resolution, forced))
 

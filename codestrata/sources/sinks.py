@@ -96,11 +96,11 @@ def symbol_rows(functions: DataFrame) -> DataFrame:
         "parameter": "params", "output": "outputs", "external_input": "external_inputs", "validation": "validations",
         "side_effect": "side_effects", "risk": "risks",
     }
-    tagged = F.concat(*[
-        F.transform(F.col(col), lambda v, i, k=kind: F.struct(
-            F.lit(k).alias("kind"), v.alias("name"), i.cast("long").alias("position")))
-        for kind, col in kinds.items()
-    ])
+    def tag(kind: str, column: str):
+        return F.transform(F.col(column), lambda v, i: F.struct(
+            F.lit(kind).alias("kind"), v.alias("name"), i.cast("long").alias("position")))
+
+    tagged = F.concat(*[tag(kind, column) for kind, column in kinds.items()])
     return functions.select("project_id", "function_id", F.inline(tagged))
 
 

@@ -55,9 +55,9 @@ def _any_mark(line: Column) -> Column:
 def leaf_strings(payload: Column) -> Column:
     """String values of a JSON text at any depth (keys excluded), or the trimmed text when it is not JSON.
 
-    Every JSON string literal is a key or a value; a literal followed by a colon is a key.
+    The pattern consumes keys (literal and colon) as well as values, and captures the values only.
     """
-    literal = r"\"((?:[^\"\\]|\\.)*)\"(?!\s*:)"
+    literal = r"\"(?:[^\"\\]|\\.)*\"\s*:|\"((?:[^\"\\]|\\.)*)\""
     values = F.transform(
         F.regexp_extract_all(payload, F.lit(literal), 1),
         lambda v: F.get_json_object(F.concat(F.lit('{"v":"'), v, F.lit('"}')), "$.v"))
