@@ -18,7 +18,7 @@ APPEND = rf"\b{NAME}\.(?:push|append|add)\s*\(\s*{NAME}\s*\)"
 SLOT_LOAD = rf"\b{NAME}\s*=\s*{NAME}\s*\[\s*([^\]]+)\s*\]"
 RETURN = rf"\breturn\s+{NAME}"
 ANY_SLOT = "[*]"
-PLAIN_ROUNDS = 8
+PLAIN_ROUNDS = 20
 ALLOCATE, RELEASE = "open|acquire|new", "close|free|release|drop|dispose"
 
 
@@ -163,11 +163,12 @@ def solve(addresses: DataFrame, copies: DataFrame, accesses: DataFrame, max_roun
             hot = stores.join(touched, ["fn", "var"], "left_semi").unionByName(
                 stores.join(touched.withColumnRenamed("var", "value"), ["fn", "value"], "left_semi")).distinct()
             bases = hot.join(pts, ["fn", "var"]).select("fn", "slot", "value", F.col("obj").alias("base_obj"))
-            cells = bases.join(values, ["fn", "value"]).select("base_obj", "slot", "obj").distinct()
-            fresh = cut(cells.join(heap, ["base_obj", "slot", "obj"], "left_anti"))
-            heap_grew = not fresh.isEmpty()
-            if heap_grew:
-                heap = cut(heap.unionByName(fresh))
+            if not bases.isEmpty():
+                cells = bases.join(values, ["fn", "value"]).select("base_obj", "slot", "obj").distinct()
+                fresh = cut(cells.join(heap, ["base_obj", "slot", "obj"], "left_anti"))
+                heap_grew = not fresh.isEmpty()
+                if heap_grew:
+                    heap = cut(heap.unionByName(fresh))
             warm = loads if heap_grew else loads.join(touched, ["fn", "var"], "left_semi")
             reading = warm.join(pts, ["fn", "var"]).select("fn", "slot", "value", F.col("obj").alias("base_obj"))
             wanted = reading

@@ -10,7 +10,8 @@ from ..session import cut
 from .binding import argument_pairs, edge_calls
 from .graph import expand_paths
 
-PLAIN_ROUNDS = 8
+PLAIN_ROUNDS = 20
+COMPACT_EVERY = 6
 
 
 def flow_rules(functions: DataFrame, cfg: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -55,8 +56,6 @@ def taint_fixpoint(functions: DataFrame, cfg: DataFrame, edges: DataFrame, max_r
     """
     seeds, moves, returns, results = flow_rules(functions, cfg, edges)
     # a step whose clean flag is false exposes the target whatever its source is; null hands the state over
-    moves = cut(moves.distinct())
-    returns, results = cut(returns), cut(results)
     # the result of a call is one more move: from the callee's returned variables to the assignee
     through = returns.withColumnRenamed("fn", "callee").join(results, "callee").select(
         F.col("callee").alias("fn"), "var", "to_fn", "to_var", "clean")
@@ -71,14 +70,17 @@ def taint_fixpoint(functions: DataFrame, cfg: DataFrame, edges: DataFrame, max_r
             F.col("to_fn").alias("fn"), F.col("to_var").alias("var"),
             F.when(F.col("clean").isNull(), F.col("exposed")).otherwise(~F.col("clean")).alias("exposed"))
         arriving = arriving.groupBy("fn", "var").agg(F.bool_or("exposed").alias("exposed"))
-        known = facts.select("fn", "var", F.col("exposed").alias("_old"))
+        known = facts.groupBy("fn", "var").agg(F.bool_or("exposed").alias("_old"))
         delta = cut(arriving.join(known, ["fn", "var"], "left").where(
             F.col("_old").isNull() | (F.col("exposed") & ~F.col("_old"))).select("fn", "var", "exposed"))
         if delta.isEmpty():
             converged = True
             break
-        facts = cut(facts.unionByName(delta).groupBy("fn", "var").agg(F.bool_or("exposed").alias("exposed")))
-    out = facts.select(F.col("fn").alias("function_id"), F.col("var").alias("variable"), (~F.col("exposed")).alias("sanitized"))
+        facts = facts.unionByName(delta)
+        if rounds % COMPACT_EVERY == 0:
+            facts = cut(facts.groupBy("fn", "var").agg(F.bool_or("exposed").alias("exposed")))
+    final = facts.groupBy("fn", "var").agg(F.bool_or("exposed").alias("exposed"))
+    out = final.select(F.col("fn").alias("function_id"), F.col("var").alias("variable"), (~F.col("exposed")).alias("sanitized"))
     return out, {"rounds": rounds, "converged": converged}
 
 

@@ -146,7 +146,7 @@ RELATIONS: dict[str, str] = {
                CASE WHEN p_size % 5 = 0 THEN 'spawn' ELSE '' END FROM fn_sig
         UNION ALL
         SELECT function_id, project_id, CAST(2 AS BIGINT),
-               CASE WHEN p_size % 3 = 0 THEN 'branch' ELSE 'statement' END,
+               CASE WHEN p_size % 3 = 2 THEN 'branch' ELSE 'statement' END,
                CASE WHEN p_size % 3 = 1 THEN 'sanitized_value' WHEN p_size % 3 = 2 THEN 'first' ELSE 'second' END, 'first',
                CASE WHEN p_size % 6 = 0 THEN 'close' ELSE '' END,
                CASE WHEN p_size % 5 = 0 THEN 'spawn' ELSE '' END FROM fn_sig
