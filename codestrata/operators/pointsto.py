@@ -18,7 +18,7 @@ APPEND = rf"\b{NAME}\.(?:push|append|add)\s*\(\s*{NAME}\s*\)"
 SLOT_LOAD = rf"\b{NAME}\s*=\s*{NAME}\s*\[\s*([^\]]+)\s*\]"
 RETURN = rf"\breturn\s+{NAME}"
 ANY_SLOT = "[*]"
-PLAIN_ROUNDS = 20
+PLAIN_ROUNDS = 10
 ALLOCATE, RELEASE = "open|acquire|new", "close|free|release|drop|dispose"
 
 
@@ -113,19 +113,29 @@ def constraints(functions: DataFrame, cfg: DataFrame, edges: DataFrame) -> tuple
     return params.unionByName(heap).distinct(), copies, heap_accesses(functions)
 
 
+def _hop(facts: DataFrame, copies: DataFrame) -> DataFrame:
+    return facts.join(copies, ["fn", "var"]).select(F.col("to_fn").alias("fn"), F.col("to_var").alias("var"), "obj").distinct()
+
+
 def _shortcuts(copies: DataFrame) -> DataFrame:
     """Pointer doubling over variables with one outgoing copy: long copy chains take logarithmic rounds."""
     degree = copies.groupBy("fn", "var").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("fn", "var")
     loop = (F.col("fn") == F.col("to_fn")) & (F.col("var") == F.col("to_var"))
     pointer = cut(copies.join(degree, ["fn", "var"]).where(~loop).select("fn", "var", "to_fn", "to_var"))
     out = pointer.where("false")
-    for _ in range(max(1, pointer.count()).bit_length()):
-        nxt = pointer.select(F.col("fn").alias("to_fn"), F.col("var").alias("to_var"), F.col("to_fn").alias("_f"), F.col("to_var").alias("_v"))
-        pointer = cut(pointer.join(nxt, ["to_fn", "to_var"]).select(
-            "fn", "var", F.col("_f").alias("to_fn"), F.col("_v").alias("to_var")).where(~loop))
-        if pointer.isEmpty():
+
+    def compose(p: DataFrame) -> DataFrame:
+        then = p.select(F.col("fn").alias("to_fn"), F.col("var").alias("to_var"), F.col("to_fn").alias("_f"), F.col("to_var").alias("_v"))
+        return p.join(then, ["to_fn", "to_var"]).select(
+            "fn", "var", F.col("_f").alias("to_fn"), F.col("_v").alias("to_var")).where(~loop)
+
+    for _ in range(max(1, pointer.count()).bit_length() // 2 + 1):
+        twice = compose(pointer)
+        both = cut(twice.withColumn("_four", F.lit(False)).unionByName(compose(twice).withColumn("_four", F.lit(True))))
+        if both.isEmpty():
             break
-        out = out.unionByName(pointer)
+        out = out.unionByName(both.drop("_four"))
+        pointer = both.where("_four").drop("_four")
     return out
 
 
@@ -154,7 +164,8 @@ def solve(addresses: DataFrame, copies: DataFrame, accesses: DataFrame, max_roun
         rounds += 1
         if rounds == PLAIN_ROUNDS + 1:
             quick, delta = cut(copies.unionByName(_shortcuts(copies)).distinct()), cut(pts)
-        new = delta.join(quick, ["fn", "var"]).select(F.col("to_fn").alias("fn"), F.col("to_var").alias("var"), "obj")
+        near = _hop(delta, quick)  # two hops per round, see the taint fixpoint
+        new = near.unionByName(_hop(near, quick))
         heap_grew = False
         if has_heap:
             values = pts.select("fn", F.col("var").alias("value"), "obj")

@@ -10,7 +10,7 @@ from ..session import cut
 from .binding import argument_pairs, edge_calls
 from .graph import expand_paths
 
-PLAIN_ROUNDS = 20
+PLAIN_ROUNDS = 10
 COMPACT_EVERY = 6
 
 
@@ -66,10 +66,9 @@ def taint_fixpoint(functions: DataFrame, cfg: DataFrame, edges: DataFrame, max_r
         rounds += 1
         if rounds == PLAIN_ROUNDS + 1:
             rules, delta = cut(moves.unionByName(shorten_copies(moves)).distinct()), facts
-        arriving = delta.join(rules, ["fn", "var"]).select(
-            F.col("to_fn").alias("fn"), F.col("to_var").alias("var"),
-            F.when(F.col("clean").isNull(), F.col("exposed")).otherwise(~F.col("clean")).alias("exposed"))
-        arriving = arriving.groupBy("fn", "var").agg(F.bool_or("exposed").alias("exposed"))
+        # two hops per round: the fixed cost of a round is paid half as often, the fixpoint is the same
+        near = _hop(delta, rules)
+        arriving = near.unionByName(_hop(near, rules)).groupBy("fn", "var").agg(F.bool_or("exposed").alias("exposed"))
         known = facts.groupBy("fn", "var").agg(F.bool_or("exposed").alias("_old"))
         delta = cut(arriving.join(known, ["fn", "var"], "left").where(
             F.col("_old").isNull() | (F.col("exposed") & ~F.col("_old"))).select("fn", "var", "exposed"))
@@ -84,6 +83,14 @@ def taint_fixpoint(functions: DataFrame, cfg: DataFrame, edges: DataFrame, max_r
     return out, {"rounds": rounds, "converged": converged}
 
 
+def _hop(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Facts one rule away; a neutral rule hands the state over, the others set it."""
+    moved = facts.join(rules, ["fn", "var"]).select(
+        F.col("to_fn").alias("fn"), F.col("to_var").alias("var"),
+        F.when(F.col("clean").isNull(), F.col("exposed")).otherwise(~F.col("clean")).alias("exposed"))
+    return moved.groupBy("fn", "var").agg(F.bool_or("exposed").alias("exposed"))
+
+
 def shorten_copies(moves: DataFrame) -> DataFrame:
     """Shortcuts over chains in which every step is the only way on.
 
@@ -96,22 +103,27 @@ def shorten_copies(moves: DataFrame) -> DataFrame:
         ~((F.col("fn") == F.col("to_fn")) & (F.col("var") == F.col("to_var"))))
     pointer = cut(single.select("fn", "var", "to_fn", "to_var", "clean"))
     collected = pointer.where("false")
-    # no chain is longer than the number of forced steps
-    for _ in range(max(1, pointer.count()).bit_length()):
-        nxt = pointer.select(
-            F.col("fn").alias("to_fn"), F.col("var").alias("to_var"), F.col("to_fn").alias("_fn"), F.col("to_var").alias("_var"),
-            F.col("clean").alias("_clean"))
-        jumped = cut(pointer.join(nxt, ["to_fn", "to_var"]).select(
-            "fn", "var", F.col("_fn").alias("to_fn"), F.col("_var").alias("to_var"),
-            F.coalesce("_clean", "clean").alias("clean")).where(
-            ~((F.col("fn") == F.col("to_fn")) & (F.col("var") == F.col("to_var")))))
-        if jumped.isEmpty():
+    # no chain is longer than the number of forced steps; every pass doubles twice
+    for _ in range(max(1, pointer.count()).bit_length() // 2 + 1):
+        twice = _compose(pointer, pointer)
+        both = cut(twice.withColumn("_four", F.lit(False)).unionByName(_compose(twice, twice).withColumn("_four", F.lit(True))))
+        if both.isEmpty():
             break
-        collected = collected.unionByName(jumped)
-        pointer = jumped
+        collected = collected.unionByName(both.drop("_four"))
+        pointer = both.where("_four").drop("_four")
     return collected
 
 
+def _compose(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Steps of ``first`` followed by steps of ``second``; the last effect that is not neutral decides."""
+    then = second.select(
+        F.col("fn").alias("to_fn"), F.col("var").alias("to_var"), F.col("to_fn").alias("_fn"), F.col("to_var").alias("_var"),
+        F.col("clean").alias("_clean"))
+    return first.join(then, ["to_fn", "to_var"]).select(
+        "fn", "var", F.col("_fn").alias("to_fn"), F.col("_var").alias("to_var"), F.coalesce("_clean", "clean").alias("clean")).where(
+        ~((F.col("fn") == F.col("to_fn")) & (F.col("var") == F.col("to_var"))))
+
+
 def sink_verdicts(functions: DataFrame, facts: DataFrame, boundary_kinds: DataFrame | None = None) -> DataFrame:
     """Sensitive functions as exposed, sanitized or candidate.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import flow
 from ..functions.common import first_match, flags, lookup, round_half_up
 from ..operators.windows import first_per, latest_per, top_n
+from ..session import cut
 from ..sources.tree import word_text
 
 # Module signals and the function category that supports each module.
@@ -102,6 +103,7 @@ def module_labels(functions: DataFrame) -> DataFrame:
 
 def module_rollup(functions: DataFrame, edges: DataFrame) -> DataFrame:
     """Functions, files, mean confidence and calls across module borders (``module`` per function)."""
+    functions = cut(functions.select("project_id", "function_id", "file_id", "module", "confidence"))
     per_file = functions.groupBy("project_id", "module", "file_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("confidence").alias("_c"))
     base = per_file.groupBy("project_id", "module").agg(

@@ -58,10 +58,12 @@ def module_labels(b):
 
 
 @query("module_rollup", f"""
-    WITH m AS ({MODULE_SQL}), x AS (SELECT e.project_id, a.module AS ma, c.module AS mb FROM edges e JOIN m a ON a.function_id = src JOIN m c ON c.function_id = dst WHERE a.module <> c.module)
-    SELECT project_id, module, CAST(count(*) AS BIGINT) AS functions, CAST(count(DISTINCT file_id) AS BIGINT) AS files, CAST(floor(avg(confidence) + 0.5) AS BIGINT) AS confidence,
-           (SELECT count(*) FROM x WHERE x.project_id = m.project_id AND mb = m.module) AS incoming, (SELECT count(*) FROM x WHERE x.project_id = m.project_id AND ma = m.module) AS outgoing
-    FROM m GROUP BY project_id, module""")
+    WITH m AS MATERIALIZED (SELECT function_id, project_id, file_id, confidence, module FROM ({MODULE_SQL})),
+      x AS MATERIALIZED (SELECT e.project_id, a.module AS ma, c.module AS mb FROM edges e JOIN m a ON a.function_id = src JOIN m c ON c.function_id = dst WHERE a.module <> c.module),
+      g AS (SELECT project_id, module, count(*) AS functions, count(DISTINCT file_id) AS files, CAST(floor(avg(confidence) + 0.5) AS BIGINT) AS confidence FROM m GROUP BY 1, 2)
+    SELECT g.project_id, g.module, functions, files, confidence, coalesce(i.n, 0) AS incoming, coalesce(o.n, 0) AS outgoing FROM g
+    LEFT JOIN (SELECT project_id, mb, count(*) AS n FROM x GROUP BY 1, 2) i ON i.project_id = g.project_id AND i.mb = g.module
+    LEFT JOIN (SELECT project_id, ma, count(*) AS n FROM x GROUP BY 1, 2) o ON o.project_id = g.project_id AND o.ma = g.module""")
 def module_rollup(b):
     return P.module_rollup(P.module_labels(function_facts(b)), b.edges)
 
@@ -153,7 +155,7 @@ def corridors(b):
 
 
 @query("map_crossings", """
-    WITH s AS (SELECT o_custkey % 100 AS map_id, o_orderkey AS id, o_orderkey % 97 AS x1, o_custkey % 89 AS y1, o_orderkey % 97 + o_custkey % 11 AS x2, o_custkey % 89 + o_orderkey % 13 AS y2, o_orderkey % 50 AS a, o_custkey % 50 AS b FROM orders),
+    WITH s AS (SELECT o_custkey % 100 AS map_id, o_orderkey AS id, o_orderkey % 97 AS x1, o_custkey % 89 AS y1, o_orderkey % 97 + o_custkey % 11 AS x2, o_custkey % 89 + o_orderkey % 13 AS y2, o_orderkey % 5000 AS a, 10000 + o_orderkey % 4999 AS b FROM orders),
       o AS (SELECT l.map_id, sign((l.y2 - l.y1) * (r.x1 - l.x2) - (l.x2 - l.x1) * (r.y1 - l.y2)) AS p, sign((l.y2 - l.y1) * (r.x2 - l.x2) - (l.x2 - l.x1) * (r.y2 - l.y2)) AS q,
          sign((r.y2 - r.y1) * (l.x1 - r.x2) - (r.x2 - r.x1) * (l.y1 - r.y2)) AS u, sign((r.y2 - r.y1) * (l.x2 - r.x2) - (r.x2 - r.x1) * (l.y2 - r.y2)) AS v
         FROM s l JOIN s r ON l.map_id = r.map_id AND l.id < r.id AND l.a <> r.a AND l.a <> r.b AND l.b <> r.a AND l.b <> r.b
@@ -162,7 +164,7 @@ def corridors(b):
 def map_crossings(b):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     s = b.orders.select((c % 100).alias("map_id"), k.alias("seg_id"), (k % 97).alias("x1"), (c % 89).alias("y1"), (k % 97 + c % 11).alias("x2"),
-                        (c % 89 + k % 13).alias("y2"), (k % 50).alias("a"), (c % 50).alias("b"))
+                        (c % 89 + k % 13).alias("y2"), (k % 5000).alias("a"), (10000 + k % 4999).alias("b"))
     return P.crossings(s, 10.0)
 
 
