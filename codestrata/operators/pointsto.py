@@ -92,6 +92,7 @@ def constraints(functions: DataFrame, cfg: DataFrame, edges: DataFrame) -> tuple
 
     addresses ``fn, var, obj, owner``; copies ``fn, var, to_fn, to_var``; accesses: :func:`heap_accesses`.
     """
+    functions = cut(functions.select("project_id", "function_id", "name", "params", "body"))
     called = edges.select(F.col("dst").alias("function_id")).distinct()
     outside = functions.join(called, "function_id", "left_anti").select(
         F.col("function_id").alias("fn"), F.explode(F.transform("params", text.variable_name)).alias("var")).where("var <> ''")

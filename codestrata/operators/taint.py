@@ -23,6 +23,8 @@ def flow_rules(functions: DataFrame, cfg: DataFrame, edges: DataFrame) -> tuple[
     returns ``fn, var``: variables whose taint makes the function's result tainted.
     results ``callee, to_fn, to_var, clean``: assignees of calls.
     """
+    # read several times below: evaluate the facts once
+    functions = cut(functions.select("project_id", "function_id", "name", "params", "body", "external_inputs", "validations"))
     f = functions.select(
         "function_id", "params", T.is_variable_source(F.col("name"), F.col("external_inputs"), F.col("params")).alias("_src"),
         T.is_variable_sanitizer(F.col("name"), F.col("validations")).alias("sanitizer"))
@@ -161,7 +163,10 @@ def taint_paths(functions: DataFrame, edges: DataFrame, verdicts: DataFrame, edg
     ``edge_items``: ``src, dst, items, observed, grade, confidence`` (bindings and observation of an edge);
     ``verdicts``: :func:`sink_verdicts`.  ``limit`` keeps the first paths of each project in breadth-first order.
     """
-    sources, sinks = path_ends(functions, edges)
+    functions = cut(functions.select(
+        "project_id", "function_id", "name", "summary", "external_inputs", "validations", "risks", "side_effects", "body", "confidence"))
+    sources, sinks = (cut(ends) for ends in path_ends(functions, edges))
+    verdicts, edge_items = cut(verdicts), cut(edge_items)
     paths = expand_paths(edges, sources, sinks, max_nodes).withColumnRenamed("node", "sink")
     paths = paths.join(sinks.select(F.col("node").alias("sink"), F.col("kind").alias("sink_kind"), "project_id"), "sink").join(
         sources.select(F.col("node").alias("start"), F.col("kind").alias("source_kind")), "start")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import binding, edges as E, graph as G, pointsto as P, taint as T
+from ..session import cut
 from .bindings import ORACLE_DEPENDS, ORACLE_RELATIONS
 from .facts import function_facts
 from .registry import query
@@ -220,7 +221,8 @@ def taint_fixpoint(b):
           FROM (SELECT function_id, name || ' ' || body || ' ' || array_to_string(side_effects, ' ') AS t FROM facts))
     LEFT JOIN (SELECT function_id AS f, count(*) AS n, bool_or(NOT sanitized) AS ex FROM tfact GROUP BY 1) ON f = function_id WHERE sink_kind IS NOT NULL""")
 def sink_verdict(b):
-    return T.sink_verdicts(function_facts(b), taint_facts(b))
+    f = cut(function_facts(b))
+    return T.sink_verdicts(f, T.taint_fixpoint(f, cfg(b), b.edges)[0])
 
 
 ORACLE_RELATIONS["pcopy"] = """
@@ -354,16 +356,17 @@ def use_after_consume(b):
     return binding.use_after_consume(b.fn, b.edges, cfg(b))
 
 
-def edge_items(b):
-    items = binding.bind_arguments(function_facts(b), b.edges).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("items"))
+def edge_items(b, f):
+    items = binding.bind_arguments(f, b.edges).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("items"))
     return b.edges.join(items, ["src", "dst"], "left").select(
         "src", "dst", F.coalesce("items", F.lit(0)).alias("items"), (F.col("src") % 7 == 0).alias("observed"),
         F.when(F.col("src") % 7 == 0, "runtime").otherwise("ast").alias("grade"), "confidence")
 
 
 def paths(b, n=5):
-    f = function_facts(b)
-    return T.taint_paths(f, b.edges, T.sink_verdicts(f, taint_facts(b)), edge_items(b), n)
+    f = cut(function_facts(b))
+    facts, _ = T.taint_fixpoint(f, cfg(b), b.edges)
+    return T.taint_paths(f, b.edges, T.sink_verdicts(f, facts), edge_items(b, f), n)
 
 
 @query("taint_paths")
