@@ -18,7 +18,7 @@ APPEND = rf"\b{NAME}\.(?:push|append|add)\s*\(\s*{NAME}\s*\)"
 SLOT_LOAD = rf"\b{NAME}\s*=\s*{NAME}\s*\[\s*([^\]]+)\s*\]"
 RETURN = rf"\breturn\s+{NAME}"
 ANY_SLOT = "[*]"
-PLAIN_ROUNDS = 10
+PLAIN_ROUNDS = 4
 ALLOCATE, RELEASE = "open|acquire|new", "close|free|release|drop|dispose"
 
 

@@ -10,7 +10,7 @@ from ..session import cut
 from .binding import argument_pairs, edge_calls
 from .graph import expand_paths
 
-PLAIN_ROUNDS = 10
+PLAIN_ROUNDS = 4
 COMPACT_EVERY = 6
 
 
