@@ -106,9 +106,15 @@ def rule_matches(functions: DataFrame, rules: Sequence[Rule] = RULES) -> DataFra
             F.array(*map(F.lit, r.tags)).alias("tags"))
         for r in rules
     ])
-    hits = F.filter(
-        F.transform(table, lambda r: r.withField("matched", F.array_intersect(r["signals"], F.col("_seen")))),
-        lambda r: F.size(r["matched"]) > 0)
+    # only rules that own one of the seen signals are looked at
+    owners: dict[str, list[int]] = {}
+    for i, r in enumerate(rules):
+        for signal in r.signals:
+            owners.setdefault(signal, []).append(i)
+    by_signal = F.create_map(*[c for s, ids in owners.items() for c in (F.lit(s), F.array(*map(F.lit, ids)))])
+    wanted = F.array_distinct(F.flatten(F.transform("_seen", lambda s: by_signal[s])))
+    hits = F.transform(wanted, lambda i: F.get(table, i).withField(
+        "matched", F.array_intersect(F.get(table, i)["signals"], F.col("_seen"))))
     rows = seen.withColumn("_r", F.explode(hits)).select("*", "_r.rule_id", "_r.severity", "_r.base", "_r.tags",
                                                          F.col("_r.category").alias("rule_category"),
                                                          F.col("_r.matched").alias("matched"))
