@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .group_join import near_duplicates
 from .pareto_mix import pareto_mix
 from .phrase_index import contamination
 from .secret_links import secret_scan
@@ -31,6 +32,10 @@ def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 _OP4 = r"""
 WITH w AS (
   SELECT doc_id, row_number() OVER () AS rid,
@@ -55,5 +60,5 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_h
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN items USING (rid)
 """
 
-QUERIES = {f.__name__: f for f in (op3_secret_links, op4_phrase_index, op7_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op3_secret_links, op4_phrase_index, op7_pareto_mix, op9_group_join)}
 ORACLES = {"op4_phrase_index": _OP4}
