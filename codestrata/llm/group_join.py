@@ -6,17 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import BROADCAST_ROWS, lookup, row_key
-from .shingles import LEAST, least_common, min_bands, parity_bits, shingle_hashes, shingle_set, signature
+from .shingles import LEAST, least_common, min_bands, mix, parity_bits, shingle_hashes, shingle_set, signature
 
 #: Shared prefix tokens that a pair must have (fewer for tiny sets), and leader keys per document.
 OVERLAP, BANDS = 3, 8
-#: Longs of a parity sketch.
-LONGS = 8
+#: Longs of a parity sketch, and the least elements of a part (on average) once a set is dealt out to several.
+LONGS, PART = 8, 256
 #: Frequent shingles that go last in the order of tokens. The list only sets the order, so any bound keeps results whole.
 FREQUENT = 100_000
 _CHUNK, _OFTEN = 2_000_000, 3
@@ -50,40 +50,60 @@ def frequent_tokens(docs: DataFrame, bound: int = FREQUENT) -> np.ndarray:
     return top.column("token").to_numpy()[::-1].view(np.uint64) if len(top) else np.empty(0, np.uint64)
 
 
+def set_parts(s: np.ndarray, rank_of) -> list[dict]:
+    """The parts of a set under which it looks for similar sets: part, size, bits (parity sketch), prefix (first tokens).
+
+    A set of up to 511 elements is one part; larger ones are dealt out by hash to parts of 256 to 511 elements on
+    average. If two sets link, then in some part they are as similar as they must be as a whole (the differences of all
+    parts add up to that of the sets, and so do the sizes), so the search may compare parts. Both sets need the same
+    number of parts: that of the larger one, so a set also comes with the number that a set a third larger would have.
+    """
+    n, out = len(s), []
+    for level in sorted({max(0, (x // PART).bit_length() - 1) for x in (n, n * 100 // LEAST)}):
+        own = mix(s ^ np.uint64(0x3C79AC492BA7B653)) & np.uint64((1 << level) - 1)
+        tokens = mix(s + np.uint64(level))
+        by_part = np.argsort(own, kind="stable")
+        for at in np.split(by_part, np.flatnonzero(np.diff(own[by_part])) + 1):
+            t, late = tokens[at], rank_of(s[at])
+            need = least_common(len(t))
+            keep = len(t) - need + min(OVERLAP, need)
+            prefix = t[np.lexsort((t, late))[:keep]] if late is not None else np.sort(np.partition(t, keep - 1)[:keep])
+            out.append({"part": (level << 40) + int(own[at[0]]), "size": len(t), "bits": parity_bits(t, LONGS), "prefix": prefix.view(np.int64)})
+    return out
+
+
+_PARTS = "array<struct<part:long,size:long,bits:array<long>,prefix:array<long>>>"
+
+
 def _features(frequent: np.ndarray):
     by_value = np.argsort(frequent)
     known, rank = frequent[by_value], by_value + 1
 
+    def rank_of(s: np.ndarray) -> np.ndarray | None:
+        if not len(known):
+            return None
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        late = np.where(known[at] == s, rank[at], 0)
+        return late if late.any() else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = {"bands": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64()), "bits": pa.list_(pa.int64())}
+        longs = pa.list_(pa.int64())
+        kinds = {"bands": longs, "parts": pa.list_(pa.struct([("part", pa.int64()), ("size", pa.int64()), ("bits", longs), ("prefix", longs)]))}
         seen: set[int] = set()
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("sig", "n", *lists)}
+            out: dict[str, list] = {c: [] for c in ("sig", "n", *kinds)}
             for text in batch.column("text"):
                 s = shingle_set(text.as_py())
-                n = len(s)
-                sig = signature(s) if n else None
-                out["sig"].append(sig)
-                out["n"].append(n)
-                if sig is None or sig in seen:  # a copy in the same part of the table needs no tokens of its own
-                    for c in lists:
-                        out[c].append(None)
-                    continue
+                sig = signature(s) if len(s) else None
+                fresh = sig is not None and sig not in seen  # a copy in the same part of the table needs no tokens of its own
                 seen.add(sig)
-                need = least_common(n)
-                keep = n - need + min(OVERLAP, need)
-                ordered = s
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    late = np.where(known[at] == s, rank[at], 0)
-                    if late.any():
-                        ordered = s[np.lexsort((s, late))]
-                out["bands"].append(min_bands(s, BANDS))
-                out["prefix"].append(ordered[:keep].view(np.int64))
-                out["bits"].append(parity_bits(s, LONGS))
+                out["sig"].append(sig)
+                out["n"].append(len(s))
+                out["bands"].append(min_bands(s, BANDS) if fresh else None)
+                out["parts"].append(set_parts(s, rank_of) if fresh else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("rk"), pa.array(out["sig"], pa.int64()), pa.array(out["n"], pa.int64()), *(pa.array(out[c], t) for c, t in lists.items())],
-                ["doc_id", "rk", "sig", "n", *lists],
+                [batch.column("doc_id"), batch.column("rk"), pa.array(out["sig"], pa.int64()), pa.array(out["n"], pa.int64()), *(pa.array(out[c], t) for c, t in kinds.items())],
+                ["doc_id", "rk", "sig", "n", *kinds],
             )
 
     return run
@@ -146,57 +166,54 @@ def _leader_pairs(features: DataFrame) -> DataFrame:
     return met.where(fits).select(F.col("sig").alias("a"), "b").distinct()
 
 
-def _apart(x: str, y: str) -> F.Column:
-    """Elements by which two sets differ at least, from their parity sketches."""
-    return sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(LONGS)), F.lit(0))
+def _apart(x: str, y: str) -> Column:
+    """Elements by which two sets differ at least: the bits in which their parity sketches do."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(LONGS)), F.lit(0))
 
 
 def _open_pairs(features: DataFrame, group_of: DataFrame) -> DataFrame:
     """Pairs of sets from different groups that may still link, by the token-group matrix.
 
-    The matrix holds the union of each group's prefix tokens. Sets that link share ``OVERLAP`` prefix tokens (or what
-    the smaller one needs at all, if less), so two groups with fewer common tokens cannot hold a link. The smaller group
-    queries the larger one: the pair also needs fitting sizes, and two groups of one set each must not differ by more
-    in their sketches than linked sets may (a seventh of their sizes). Only groups that qualify are opened, and their
-    members meet under the same tests of size and sketch.
+    The matrix holds, by part, the union of each group's prefix tokens. Sets that link share ``OVERLAP`` prefix tokens of a
+    part (or what the smaller one needs at all, if less), so groups with fewer common tokens cannot hold a link. The
+    smaller group queries the larger one, and only under a bound on distance: the sketches of the two leaders, less
+    the radii of their groups, must not differ by more than linked parts may (a seventh of their sizes). Only
+    groups that qualify are opened, and their members meet under the same bound.
     """
-    named = (
-        features.where(F.col("prefix").isNotNull())
-        .dropDuplicates(["sig"])
-        .select("sig", "n", "bits", "prefix")
-        .join(group_of.select(F.col("v").alias("sig"), "root"), "sig", "left")
-        .withColumn("g", F.coalesce("root", "sig"))
-    )
-    named = cut(named.select("sig", "g", "n", "bits", "prefix"))
-    members = named.select("sig", "g", "n", "bits")
-    leads = members.where("sig = g").select("g", F.col("bits").alias("lead"), F.col("n").alias("lead_n"))
+    seventh = (100 - LEAST) / (100 + LEAST)
+    listed = features.where(F.col("parts").isNotNull()).select("sig", F.explode("parts").alias("x"))
+    grouped = group_of.select(F.col("v").alias("sig"), "root")
+    parts = listed.select("sig", "x.part", "x.size", "x.bits").dropDuplicates(["sig", "part"]).join(grouped, "sig", "left")
+    parts = cut(parts.select("sig", F.coalesce("root", "sig").alias("g"), "part", "size", "bits"))
+    leads = parts.where("sig = g").select("g", "part", F.col("bits").alias("lead"))
     groups = cut(
-        members.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("held")).join(leads, "g")
-    )
-    rows = named.select("g", "sig", F.explode("prefix").alias("token"))
-    shared = (
-        rows.groupBy("token").agg(F.min("g").alias("_a"), F.max("g").alias("_b")).where("_a <> _b").select("token")
+        parts.join(leads, ["g", "part"], "left")
+        .groupBy("g", "part")
+        .agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count(F.lit(1)).alias("held"), F.max(_apart("bits", "lead")).alias("radius"), F.max("lead").alias("lead"))
     )
-    matrix = cut(rows.join(shared, "token", "left_semi").select("token", "g").distinct())
-    wide = matrix.join(groups, "g").select("token", "g", "low", "high", "held", F.when(F.col("held") == 1, F.col("lead")).alias("bits"))
-    q, m = wide.alias("q"), wide.alias("m")
-    smaller = F.expr("(q.held < m.held OR (q.held = m.held AND q.g < m.g))")
+    token = Window.partitionBy("token")
+    tokens = listed.select("sig", "x.part", F.explode("x.prefix").alias("token"))
+    shared = tokens.withColumn("_a", F.min("sig").over(token)).withColumn("_b", F.max("sig").over(token)).where("_a <> _b").drop("_a", "_b")
+    matrix = shared.join(grouped, "sig", "left").select("token", "part", F.coalesce("root", "sig").alias("g")).distinct()
+    matrix = cut(matrix.join(groups, ["g", "part"]).select("token", "g", "part", "low", "high", "held", "radius", "lead"))
+    q, m = matrix.alias("q"), matrix.alias("m")
+    smaller = F.expr("q.token = m.token AND q.part = m.part AND (q.held < m.held OR (q.held = m.held AND q.g < m.g))")
     sizes = F.expr(f"100 * m.high >= {LEAST} * q.low AND 100 * q.high >= {LEAST} * m.low")
-    may_differ = (F.col("q.high") + F.col("m.high")) * (100 - LEAST) / (100 + LEAST)
-    near = F.col("q.bits").isNull() | F.col("m.bits").isNull() | (_apart("q", "m") <= may_differ)
-    met = q.join(m, (F.col("q.token") == F.col("m.token")) & smaller & sizes & near)
-    need = F.least(F.lit(OVERLAP), F.ceil(F.lit(LEAST) * F.least("ql", "ml") / 100))
+    # a leader of quite another size has no such part: then there is no bound
+    near = F.coalesce(_apart("q.lead", "m.lead") - F.col("q.radius") - F.col("m.radius") <= (F.col("q.high") + F.col("m.high")) * seventh, F.lit(True))
+    need = F.least(F.lit(OVERLAP), F.ceil(LEAST * F.least("ql", "ml") / 100))
     open_ = (
-        met.groupBy(F.col("q.g").alias("qg"), F.col("m.g").alias("mg"))
+        q.join(m, smaller & sizes & near)
+        .groupBy(F.col("q.g").alias("qg"), F.col("m.g").alias("mg"), F.col("q.part").alias("part"))
         .agg(F.count(F.lit(1)).alias("common"), F.first("q.low").alias("ql"), F.first("m.low").alias("ml"))
         .where(F.col("common") >= need)
-        .select("qg", "mg")
+        .select("qg", "mg", "part")
     )
-    x = open_.join(members.withColumnRenamed("g", "qg"), "qg").alias("x")
-    y = members.alias("y")
-    fits = F.expr(f"x.mg = y.g AND 100 * least(x.n, y.n) >= {LEAST} * greatest(x.n, y.n)")
-    close = _apart("x", "y") <= (F.col("x.n") + F.col("y.n")) * (100 - LEAST) / (100 + LEAST)
-    return cut(x.join(y, fits & close).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")))
+    x = open_.join(parts.withColumnRenamed("g", "qg"), ["qg", "part"]).alias("x")
+    y = parts.alias("y")
+    fits = F.expr(f"x.mg = y.g AND x.part = y.part AND 100 * least(x.size, y.size) >= {LEAST} * greatest(x.size, y.size)")
+    close = _apart("x.bits", "y.bits") <= (F.col("x.size") + F.col("y.size")) * seventh
+    return cut(x.join(y, fits & close).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -214,7 +231,7 @@ def near_duplicates(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """
     source = docs.select("doc_id", "text")
     frequent = frequent_tokens(source)
-    schema = "doc_id long, rk long, sig long, n long, bands array<long>, prefix array<long>, bits array<long>"
+    schema = f"doc_id long, rk long, sig long, n long, bands array<long>, parts {_PARTS}"
     keyed = source.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text")
     features = cut(keyed.mapInArrow(_features(frequent), schema))
     classes = cut(features.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk")))

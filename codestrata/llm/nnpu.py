@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import held_out, uniform
+from .common import held_out, row_key, uniform
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of words that are features beside the words themselves: stems carry over to unseen endings.
@@ -98,6 +98,7 @@ def toxicity_model(
     if not stat["pos"]:
         return {}
     prior = min(max(stat["pos"] / stat["n"], 0.01), 0.5)
+    members = max(1, min(members, stat["pos"] // 500))  # a member needs some hundred examples to choose its features from
     ids = cut(
         learn.where((F.col("toxic") == 1) & (uniform(F.lit(seed), F.col("doc_id")) < positives / stat["pos"])).select("doc_id").distinct()
     )
@@ -162,8 +163,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, **sampling: int) -> DataFrame:
     rows score alike, documents without a label are scored too, labels of unknown ids and repeated labels do no
     harm, and without any confirmed example every score is close to 0.
     """
-    from .common import row_key
-
     weights = toxicity_model(docs, labels, **sampling)
     id_type = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", row_key().alias("rk"), "text")

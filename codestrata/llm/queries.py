@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
 from .group_join import near_duplicates
+from .nnpu import toxicity
 from .pareto_mix import pareto_mix
 from .phrase_index import contamination
 from .secret_links import secret_scan
+from .token_transducer import token_counts
+
+
+def op2_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +35,12 @@ def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -60,5 +73,5 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_h
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN items USING (rid)
 """
 
-QUERIES = {f.__name__: f for f in (op3_secret_links, op4_phrase_index, op7_pareto_mix, op9_group_join)}
+QUERIES = {f.__name__: f for f in (op2_nnpu, op3_secret_links, op4_phrase_index, op6_token_transducer, op7_pareto_mix, op9_group_join)}
 ORACLES = {"op4_phrase_index": _OP4}
