@@ -171,10 +171,10 @@ def _apart(x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(LONGS)), F.lit(0))
 
 
-def _open_pairs(features: DataFrame, group_of: DataFrame) -> DataFrame:
-    """Pairs of sets from different groups that may still link, by the token-group matrix.
+def _open_pairs(features: DataFrame, component_of: DataFrame, linked: DataFrame) -> DataFrame:
+    """Pairs of sets from different components that may still link, by the token-group matrix.
 
-    The matrix holds, by part, the union of each group's prefix tokens. Sets that link share ``OVERLAP`` prefix tokens of a
+    A group holds the sets that linked to the same leader, so that it stays small in radius. The matrix holds, by part, the union of each group's prefix tokens. Sets that link share ``OVERLAP`` prefix tokens of a
     part (or what the smaller one needs at all, if less), so groups with fewer common tokens cannot hold a link. The
     smaller group queries the larger one, and only under a bound on distance: the sketches of the two leaders, less
     the radii of their groups, must not differ by more than linked parts may (a seventh of their sizes). Only
@@ -182,22 +182,23 @@ def _open_pairs(features: DataFrame, group_of: DataFrame) -> DataFrame:
     """
     seventh = (100 - LEAST) / (100 + LEAST)
     listed = features.where(F.col("parts").isNotNull()).select("sig", F.explode("parts").alias("x"))
-    grouped = group_of.select(F.col("v").alias("sig"), "root")
+    leader = linked.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("star"))
+    grouped = cut(component_of.select(F.col("v").alias("sig"), "root").join(leader, "sig", "left"))
     parts = listed.select("sig", "x.part", "x.size", "x.bits").dropDuplicates(["sig", "part"]).join(grouped, "sig", "left")
-    parts = cut(parts.select("sig", F.coalesce("root", "sig").alias("g"), "part", "size", "bits"))
-    leads = parts.where("sig = g").select("g", "part", F.col("bits").alias("lead"))
+    parts = cut(parts.select("sig", F.coalesce("star", "sig").alias("g"), F.coalesce("root", "sig").alias("root"), "part", "size", "bits"))
+    leads = parts.select(F.col("sig").alias("g"), "part", F.col("bits").alias("lead"))
     groups = cut(
         parts.join(leads, ["g", "part"], "left")
         .groupBy("g", "part")
-        .agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count(F.lit(1)).alias("held"), F.max(_apart("bits", "lead")).alias("radius"), F.max("lead").alias("lead"))
+        .agg(F.max("root").alias("root"), F.min("size").alias("low"), F.max("size").alias("high"), F.count(F.lit(1)).alias("held"), F.max(_apart("bits", "lead")).alias("radius"), F.max("lead").alias("lead"))
     )
     token = Window.partitionBy("token")
     tokens = listed.select("sig", "x.part", F.explode("x.prefix").alias("token"))
     shared = tokens.withColumn("_a", F.min("sig").over(token)).withColumn("_b", F.max("sig").over(token)).where("_a <> _b").drop("_a", "_b")
-    matrix = shared.join(grouped, "sig", "left").select("token", "part", F.coalesce("root", "sig").alias("g")).distinct()
-    matrix = cut(matrix.join(groups, ["g", "part"]).select("token", "g", "part", "low", "high", "held", "radius", "lead"))
+    matrix = shared.join(grouped, "sig", "left").select("token", "part", F.coalesce("star", "sig").alias("g")).distinct()
+    matrix = cut(matrix.join(groups, ["g", "part"]).select("token", "g", "root", "part", "low", "high", "held", "radius", "lead"))
     q, m = matrix.alias("q"), matrix.alias("m")
-    smaller = F.expr("q.token = m.token AND q.part = m.part AND (q.held < m.held OR (q.held = m.held AND q.g < m.g))")
+    smaller = F.expr("q.token = m.token AND q.part = m.part AND q.root <> m.root AND (q.held < m.held OR (q.held = m.held AND q.g < m.g))")
     sizes = F.expr(f"100 * m.high >= {LEAST} * q.low AND 100 * q.high >= {LEAST} * m.low")
     # a leader of quite another size has no such part: then there is no bound
     near = F.coalesce(_apart("q.lead", "m.lead") - F.col("q.radius") - F.col("m.radius") <= (F.col("q.high") + F.col("m.high")) * seventh, F.lit(True))
@@ -237,7 +238,7 @@ def near_duplicates(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     classes = cut(features.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk")))
     first = _verified(source, classes, cut(_leader_pairs(features)), bound)
     groups = cut(components(first))
-    second = _verified(source, classes, _open_pairs(features, groups), bound)
+    second = _verified(source, classes, _open_pairs(features, groups, first), bound)
     links = first.unionByName(second)
     reached = components(links)
     ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("links"))

@@ -85,7 +85,7 @@ def _fit_member(size: int, prior: float):
 
 
 def toxicity_model(
-    docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 18000, members: int = 3, size: int = 3000, seed: int = 11
+    docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 9000, members: int = 3, size: int = 3000, seed: int = 11
 ) -> dict[str, float]:
     """Weights by feature ("" is the bias) of classifiers averaged over ``members``; empty without confirmed examples.
 
@@ -156,6 +156,22 @@ def _scorer(weights: dict[str, float]):
     return run
 
 
+def _keeper(weights: dict[str, float]):
+    score = _scorer(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for scored in score(iter([batch.select(["text"])])):
+                yield batch.filter(pa.array(scored.column("score").to_numpy() < 0.5))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, **sampling: int) -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns; nulls and empty texts stay."""
+    return docs.mapInArrow(_keeper(toxicity_model(docs, labels, **sampling)), docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, **sampling: int) -> DataFrame:
     """One row per document: doc_id, rk (content key), score in 0..1, predicted (1 from 0.5 on).
 

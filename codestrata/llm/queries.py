@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 from .group_join import near_duplicates
+from .language_tree import language_id
+from .license_scan import file_paths, licenses
 from .nnpu import toxicity
 from .pareto_mix import pareto_mix
 from .phrase_index import contamination
+from .preference_pairs import mask_of, preference_pairs, text_of
 from .secret_links import secret_scan
+from .segment_search import top_by_segments
 from .token_transducer import token_counts
 
 
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = preference_pairs(table(spark, sf_dir, "conversations"))
+    sides = [f(c).alias(f"{c}_{name}") for c in ("chosen", "rejected") for name, f in (("text", text_of), ("mask", mask_of))]
+    return found.select(F.col("pair_id").cast("long").alias("pair_id"), "prompt_turns", "prompt", *sides)
+
+
 def op2_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
@@ -35,6 +45,10 @@ def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_by_segments(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,10 +59,54 @@ def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_language_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(file_paths(table(spark, sf_dir, "documents")))
+
+
+_OP1 = """
+WITH t AS (
+  SELECT floor(conv_id / 2)::BIGINT AS pair_id, conv_id % 2 AS side, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+         '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT * FROM t WHERE side = 0),
+b AS (SELECT * FROM t WHERE side = 1),
+m AS (
+  SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.i, b.i) AS i,
+         a.i IS NOT NULL AND b.i IS NOT NULL AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AS same
+  FROM a FULL JOIN b ON a.pair_id = b.pair_id AND a.i = b.i),
+p AS (SELECT pair_id, coalesce(min(i) FILTER (NOT same) - 1, max(i)) AS n FROM m GROUP BY pair_id),
+x AS (SELECT t.*, p.n, CASE WHEN role = 'assistant' THEN '1' ELSE '0' END || ':' || length(r) AS k FROM t JOIN p USING (pair_id))
+SELECT pair_id, any_value(n)::INTEGER AS prompt_turns,
+       coalesce(string_agg(r, '' ORDER BY i) FILTER (side = 0 AND i <= n), '') AS prompt,
+       coalesce(string_agg(r, '' ORDER BY i) FILTER (side = 0 AND i > n), '') AS chosen_text,
+       coalesce(string_agg(k, ',' ORDER BY i) FILTER (side = 0 AND i > n), '') AS chosen_mask,
+       coalesce(string_agg(r, '' ORDER BY i) FILTER (side = 1 AND i > n), '') AS rejected_text,
+       coalesce(string_agg(k, ',' ORDER BY i) FILTER (side = 1 AND i > n), '') AS rejected_mask
+FROM x GROUP BY pair_id
+"""
+
+_OP5 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 _OP4 = r"""
 WITH w AS (
   SELECT doc_id, row_number() OVER () AS rid,
@@ -73,5 +131,19 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_h
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN items USING (rid)
 """
 
-QUERIES = {f.__name__: f for f in (op2_nnpu, op3_secret_links, op4_phrase_index, op6_token_transducer, op7_pareto_mix, op9_group_join)}
-ORACLES = {"op4_phrase_index": _OP4}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_preference_pairs,
+        op2_nnpu,
+        op3_secret_links,
+        op4_phrase_index,
+        op5_segment_search,
+        op6_token_transducer,
+        op7_pareto_mix,
+        op8_language_tree,
+        op9_group_join,
+        op10_license_scan,
+    )
+}
+ORACLES = {"op1_preference_pairs": _OP1, "op4_phrase_index": _OP4, "op5_segment_search": _OP5}
