@@ -176,8 +176,8 @@ def _open_pairs(features: DataFrame, component_of: DataFrame, linked: DataFrame)
 
     A group holds the sets that linked to the same leader, so that it stays small in radius. The matrix holds, by part, the union of each group's prefix tokens. Sets that link share ``OVERLAP`` prefix tokens of a
     part (or what the smaller one needs at all, if less), so groups with fewer common tokens cannot hold a link. The
-    smaller group queries the larger one, and only under a bound on distance: the sketches of the two leaders, less
-    the radii of their groups, must not differ by more than linked parts may (a seventh of their sizes). Only
+    smaller group queries the larger one, and only under a bound on distance: the sketches of the groups' first sets,
+    less the radii of their groups, must not differ by more than linked parts may (a seventh of their sizes). Only
     groups that qualify are opened, and their members meet under the same bound.
     """
     seventh = (100 - LEAST) / (100 + LEAST)
@@ -186,9 +186,9 @@ def _open_pairs(features: DataFrame, component_of: DataFrame, linked: DataFrame)
     grouped = cut(component_of.select(F.col("v").alias("sig"), "root").join(leader, "sig", "left"))
     parts = listed.select("sig", "x.part", "x.size", "x.bits").dropDuplicates(["sig", "part"]).join(grouped, "sig", "left")
     parts = cut(parts.select("sig", F.coalesce("star", "sig").alias("g"), F.coalesce("root", "sig").alias("root"), "part", "size", "bits"))
-    leads = parts.select(F.col("sig").alias("g"), "part", F.col("bits").alias("lead"))
+    leads = parts.groupBy("g", "part").agg(F.min_by("bits", "sig").alias("lead"))
     groups = cut(
-        parts.join(leads, ["g", "part"], "left")
+        parts.join(leads, ["g", "part"])
         .groupBy("g", "part")
         .agg(F.max("root").alias("root"), F.min("size").alias("low"), F.max("size").alias("high"), F.count(F.lit(1)).alias("held"), F.max(_apart("bits", "lead")).alias("radius"), F.max("lead").alias("lead"))
     )
@@ -200,8 +200,7 @@ def _open_pairs(features: DataFrame, component_of: DataFrame, linked: DataFrame)
     q, m = matrix.alias("q"), matrix.alias("m")
     smaller = F.expr("q.token = m.token AND q.part = m.part AND q.root <> m.root AND (q.held < m.held OR (q.held = m.held AND q.g < m.g))")
     sizes = F.expr(f"100 * m.high >= {LEAST} * q.low AND 100 * q.high >= {LEAST} * m.low")
-    # a leader of quite another size has no such part: then there is no bound
-    near = F.coalesce(_apart("q.lead", "m.lead") - F.col("q.radius") - F.col("m.radius") <= (F.col("q.high") + F.col("m.high")) * seventh, F.lit(True))
+    near = _apart("q.lead", "m.lead") - F.col("q.radius") - F.col("m.radius") <= (F.col("q.high") + F.col("m.high")) * seventh
     need = F.least(F.lit(OVERLAP), F.ceil(LEAST * F.least("ql", "ml") / 100))
     open_ = (
         q.join(m, smaller & sizes & near)

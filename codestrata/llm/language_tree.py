@@ -14,7 +14,7 @@ from ..session import cut
 from .common import held_out, uniform
 
 #: Hash buckets of character sequences of one to three letters.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 12
 _ODD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -35,27 +35,28 @@ def profile(text: str) -> np.ndarray:
         for i in range(1, n):
             h = (h ^ (h >> np.uint32(15))) * _ODD[i] + mixed[i : len(code) - n + 1 + i]
         h = (h ^ (h >> np.uint32(13))) * _ODD[1] + np.uint32(n)
-        total += np.bincount((h >> np.uint32(18)).astype(np.int64), minlength=BUCKETS)
+        total += np.bincount((h >> np.uint32(20)).astype(np.int64), minlength=BUCKETS)
     v = np.sqrt(total, dtype=np.float32)
     return v / max(np.linalg.norm(v), 1e-12)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 200, c: float = 20.0) -> np.ndarray:
+def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 120, c: float = 20.0) -> np.ndarray:
     """Weights and bias of a linear support vector machine (squared hinge loss) by accelerated gradient steps.
 
     Both classes weigh the same, however many rows they have.
     """
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * c
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(z.shape[1])
-    ahead, t, step = w.copy(), 1.0, 1 / (1 + 4 * c)
+    weight, y = weight.astype(np.float32), y.astype(np.float32)
+    z = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    w = np.zeros(z.shape[1], np.float32)
+    ahead, t, step = w.copy(), 1.0, np.float32(1 / (1 + 4 * c))
     for _ in range(rounds):
         slack = np.maximum(0, 1 - y * (z @ ahead))
         grad = ahead - 2 * z.T @ (weight * y * slack)
         grad[-1] -= ahead[-1]
         new = ahead - step * grad
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+        ahead, w, t = new + np.float32((t - 1) / t_new) * (new - w), new, t_new
     return w
 
 
@@ -97,7 +98,7 @@ def _fit_tasks(sides: dict[int, tuple[set[str], set[str]]]):
     return run
 
 
-def language_model(docs: DataFrame, per_language: int = 1000, seed: int = 23) -> tuple[list[list[str]], dict, dict]:
+def language_model(docs: DataFrame, per_language: int = 500, seed: int = 23) -> tuple[list[list[str]], dict, dict]:
     """Families, machines of family against family, and machines of language against language within each family.
 
     Machines see a sample of about ``per_language`` texts of each language among the learning rows (crc32 of the id not
@@ -170,7 +171,7 @@ def _predictor(groups: list[list[str]], of_family: dict, of_language: dict):
     return run
 
 
-def language_id(docs: DataFrame, per_language: int = 1000) -> DataFrame:
+def language_id(docs: DataFrame, per_language: int = 500) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (assurance of both steps, multiplied).
 
     Whole texts are profiled and nothing but the text is seen by a prediction. Null texts and texts without any letter are

@@ -58,5 +58,7 @@ def parity_bits(s: np.ndarray, longs: int = 8) -> np.ndarray:
 def min_bands(s: np.ndarray, bands: int) -> np.ndarray:
     """Keys that two sets share with the square of their similarity, each from two minima under own scramblings."""
     scramblings = mix(np.arange(1, 2 * bands + 1, dtype=np.uint64))
-    low = np.array([mix(s ^ x).min() for x in scramblings], np.uint64)
+    low = np.full(2 * bands, ~np.uint64(0))
+    for i in range(0, len(s), 4096):
+        low = np.minimum(low, mix(s[None, i : i + 4096] ^ scramblings[:, None]).min(axis=1))
     return mix(low[::2] * _ODD[2] + low[1::2] + np.arange(bands, dtype=np.uint64)).view(np.int64)
