@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import row_key
 
 # The base patterns and least lengths of the scan's contract, in the order in which kinds are listed.
@@ -12,8 +13,9 @@ ASSIGN = (
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# Access keys and hex runs are maximal and cannot hold a longer match inside, so their least length may stand in the pattern.
+ACCESS = r"AKIA[A-Z0-9]{14,}"
+HEX = r"[0-9a-f]{16,}"
 # Own patterns: weak parts, reported only in company.
 IDENTIFIER = r"""(?:\b[Uu]ser(?:[Nn]ame|_name)?|\b[Ll]ogin|\b[Cc]lient_?[Ii][Dd]|\b[Kk]ey_?[Ii][Dd]|\b[Aa]ccount)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 OPAQUE = r"[A-Za-z0-9+/]{32,}={0,2}"
@@ -128,7 +130,7 @@ def _joined(spans: Column) -> Column:
 
 def secret_spans(docs: DataFrame, reach: int = 200) -> DataFrame:
     """Spans per distinct text that has any: doc_id, key, spans (array of start, kind, end; base and linked weak ones)."""
-    found = parts(docs)
+    found = cut(parts(docs))
     everything = found.where("kind <= 2").unionByName(linked_parts(found, reach))
     return everything.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
 
