@@ -99,11 +99,12 @@ def relax_depth(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, cap: int =
     return nodes.join(known, "node", "left").select("node", F.coalesce("depth", "default_depth").alias("depth"))
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """Component id (its smallest node) of every node on a cycle or trivially of itself.
 
     Trimming and colouring: nodes without a live predecessor or successor are alone; the rest propagate their smallest
-    ancestor, and the nodes of a colour that reach its root backwards inside the colour form one component.
+    ancestor until nothing moves, and the nodes of a colour that reach its root backwards inside the colour form one
+    component.  A colour is an ancestor itself, so each round also takes over the colour of one's colour: distances double.
     """
     links = cut(_links(edges).where("src <> dst"))
     nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -126,7 +127,9 @@ def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         if live.isEmpty():
             break
         colour = cut(live.select("node", F.col("node").alias("colour")))
-        for _ in range(max_rounds):
+        while True:
+            further = colour.select(F.col("node").alias("colour"), F.col("colour").alias("_further"))
+            colour = colour.join(further, "colour").select("node", F.least("colour", "_further").alias("colour"))
             arriving = links.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(
                 F.min("colour").alias("_c"))
             nxt = cut(colour.join(arriving, "node", "left").select(
