@@ -171,34 +171,56 @@ def _apart(x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(LONGS)), F.lit(0))
 
 
-def _open_pairs(features: DataFrame, component_of: DataFrame, bound: int) -> DataFrame:
+def _level(n: Column) -> Column:
+    """The level at which a set of ``n`` elements has its own parts, as in set_parts."""
+    return F.when(n < 2 * PART, 0).otherwise(F.length(F.bin(F.floor(n / PART))) - 1)
+
+
+def _open_pairs(features: DataFrame, group_of: DataFrame) -> DataFrame:
     """Pairs of sets from different groups that may still link, by the token-group matrix.
 
-    A group is a component of the links found so far. The matrix holds, by part, the union of each group's prefix tokens; a
-    token of one group only closes that column, and groups without a common column never meet. In the columns of
-    several groups a set queries the other groups' sets that hold the token, under the bound on distance: their
-    sketches must not differ by more than linked parts may (a seventh of their sizes). Sets that link share ``OVERLAP`` prefix
-    tokens of some part (or what the smaller one needs at all, if less), so pairs with fewer are out.
+    The matrix holds, by part, the union of each group's prefix tokens. Sets that link share ``OVERLAP`` prefix tokens of a
+    part (or what the smaller one needs at all, if less), so groups with fewer common tokens cannot hold a link. The
+    smaller group queries the larger one, and only under a bound on distance: the sketches of the groups' first sets, less
+    the radii of their groups, must not differ by more than linked parts may (a seventh of their sizes). Only
+    groups that qualify are opened, and their members meet under the same bound.
     """
     seventh = (100 - LEAST) / (100 + LEAST)
-    listed = features.where(F.col("parts").isNotNull()).select("sig", F.explode("parts").alias("x"))
-    parts = cut(listed.select("sig", "x.part", "x.size", "x.bits").dropDuplicates(["sig", "part"]))
-    grouped = component_of.select(F.col("v").alias("sig"), "root")
+    listed = features.where(F.col("parts").isNotNull()).select("sig", _level(F.col("n")).alias("level"), F.explode("parts").alias("x"))
+    grouped = group_of.select(F.col("v").alias("sig"), "root")
+    own = F.shiftright("x.part", 40) == F.col("level")
+    parts = listed.select("sig", "x.part", "x.size", "x.bits", own.alias("own")).dropDuplicates(["sig", "part"]).join(grouped, "sig", "left")
+    parts = cut(parts.select("sig", F.coalesce("root", "sig").alias("g"), "part", "size", "bits", "own"))
+    leads = parts.groupBy("g", "part").agg(F.min_by("bits", "sig").alias("lead"))
+    groups = cut(
+        parts.join(leads, ["g", "part"])
+        .groupBy("g", "part")
+        .agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count(F.lit(1)).alias("held"), F.max(_apart("bits", "lead")).alias("radius"), F.max("lead").alias("lead"), F.max("own").alias("own"))
+    )
     token = Window.partitionBy("token")
     tokens = listed.select("sig", "x.part", F.explode("x.prefix").alias("token"))
-    shared = tokens.withColumn("_a", F.min("sig").over(token)).withColumn("_b", F.max("sig").over(token)).where("_a <> _b")
-    held = shared.join(lookup(grouped, grouped.count(), bound), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    columns = held.withColumn("_a", F.min("root").over(token)).withColumn("_b", F.max("root").over(token)).where("_a <> _b")
-    matrix = columns.select("token", "part", "sig", "root").distinct()
-    matrix = cut(matrix.join(parts, ["sig", "part"]).select("token", "part", "sig", "root", "size", "bits"))
+    shared = tokens.withColumn("_a", F.min("sig").over(token)).withColumn("_b", F.max("sig").over(token)).where("_a <> _b").drop("_a", "_b")
+    matrix = shared.join(grouped, "sig", "left").select("token", "part", F.coalesce("root", "sig").alias("g")).distinct()
+    matrix = cut(matrix.join(groups, ["g", "part"]).select("token", "g", "part", "low", "high", "held", "radius", "lead", "own"))
     q, m = matrix.alias("q"), matrix.alias("m")
-    apart = F.expr("q.token = m.token AND q.part = m.part AND q.sig < m.sig AND q.root <> m.root")
-    sizes = F.expr(f"100 * m.size >= {LEAST} * q.size AND 100 * q.size >= {LEAST} * m.size")
-    near = _apart("q.bits", "m.bits") <= (F.col("q.size") + F.col("m.size")) * seventh
-    need = F.least(F.lit(OVERLAP), F.ceil(LEAST * F.col("least") / 100))
-    met = q.join(m, apart & sizes & near).groupBy(F.col("q.sig").alias("a"), F.col("m.sig").alias("b"), F.col("q.part").alias("part"))
-    counted = met.agg(F.count(F.lit(1)).alias("common"), F.min(F.least("q.size", "m.size")).alias("least"))
-    return cut(counted.where(F.col("common") >= need).select("a", "b").distinct())
+    smaller = F.expr("q.token = m.token AND q.part = m.part AND (q.held < m.held OR (q.held = m.held AND q.g < m.g))")
+    sizes = F.expr(f"100 * m.high >= {LEAST} * q.low AND 100 * q.high >= {LEAST} * m.low")
+    near = _apart("q.lead", "m.lead") - F.col("q.radius") - F.col("m.radius") <= (F.col("q.high") + F.col("m.high")) * seventh
+    # two sets are compared by the parts of the larger one, so one side must have them as its own
+    sizes = sizes & (F.col("q.own") | F.col("m.own"))
+    need = F.least(F.lit(OVERLAP), F.ceil(LEAST * F.least("ql", "ml") / 100))
+    open_ = (
+        q.join(m, smaller & sizes & near)
+        .groupBy(F.col("q.g").alias("qg"), F.col("m.g").alias("mg"), F.col("q.part").alias("part"))
+        .agg(F.count(F.lit(1)).alias("common"), F.first("q.low").alias("ql"), F.first("m.low").alias("ml"))
+        .where(F.col("common") >= need)
+        .select("qg", "mg", "part")
+    )
+    x = open_.join(parts.withColumnRenamed("g", "qg"), ["qg", "part"]).alias("x")
+    y = parts.alias("y")
+    fits = F.expr(f"x.mg = y.g AND x.part = y.part AND (x.own OR y.own) AND 100 * least(x.size, y.size) >= {LEAST} * greatest(x.size, y.size)")
+    close = _apart("x.bits", "y.bits") <= (F.col("x.size") + F.col("y.size")) * seventh
+    return cut(x.join(y, fits & close).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -222,7 +244,7 @@ def near_duplicates(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     classes = cut(features.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk")))
     first = _verified(source, classes, cut(_leader_pairs(features)), bound)
     groups = cut(components(first))
-    second = _verified(source, classes, _open_pairs(features, groups, bound), bound)
+    second = _verified(source, classes, _open_pairs(features, groups), bound)
     links = first.unionByName(second)
     reached = components(links)
     ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
