@@ -134,7 +134,8 @@ def test_languages_and_toxicity(spark):
     found = {r.doc_id: (r.lang_pred, r.score) for r in language_id(table).collect()}
     assert found[200] == found[201] == ("und", 0.0) and all(found[r[0]][0] == r[2] for r in rows[:200])
     bad = [(i, (r[1] or "") + (" horrible" if i % 4 == 0 else ""), *r[2:]) for i, r in enumerate(rows)]
-    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 200, 2)], "doc_id long, quality int, toxic int")
+    # the class prior is the share of toxic among labelled rows, so labels must be drawn evenly
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
     scored = toxicity(spark.createDataFrame(bad, DOC), labels).collect()
     assert all(0 <= r.score <= 1 for r in scored) and sum(r.predicted == int(r.doc_id % 4 == 0) for r in scored if r.doc_id < 200) >= 190
     assert toxicity(table, labels.limit(0)).where("predicted = 1").count() == 0
