@@ -6,6 +6,8 @@ small frontier table per round, cut its lineage with a reliable checkpoint and s
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
@@ -235,14 +237,17 @@ def expand_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_no
     return found.select("start", "node", "path", "edge_ords")
 
 
-def upstream_chain(edges: DataFrame, targets: DataFrame, max_nodes: int = 64) -> DataFrame:
-    """Shortest caller chain from a root to each target, ties by caller ids; the target alone when none exists."""
+def upstream_chain(edges: DataFrame, targets: DataFrame, max_nodes: int | None = None) -> DataFrame:
+    """Shortest caller chain from a root to each target, ties by caller ids; the target alone when none exists.
+
+    ``max_nodes`` bounds the chains that are looked at; without it the search ends when no new caller is found.
+    """
     incoming = cut(_links(edges).select("project_id", F.col("dst").alias("node"), F.col("src").alias("parent")))
     has_parent = incoming.select("node").distinct()
     frontier = cut(targets.select(F.col("node").alias("target"), "node", F.array("node").alias("path")))
     seen = frontier.select("target", "node")
     out: DataFrame | None = None
-    for _ in range(max_nodes):
+    for _ in count() if max_nodes is None else range(max_nodes):
         roots = frontier.join(has_parent, "node", "left_anti")
         hit = roots.groupBy("target").agg(F.min("path").alias("path"))
         out = hit if out is None else out.unionByName(hit)

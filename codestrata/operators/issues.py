@@ -146,8 +146,8 @@ def structural_pairs(functions: DataFrame) -> DataFrame:
     return functions.select("function_id", F.inline(rows))
 
 
-def exception_lines(functions: DataFrame, limit: int | None = 8) -> DataFrame:
-    """Lines that raise explicitly, the first ``limit`` of each function."""
+def exception_lines(functions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Lines that raise explicitly, or the first ``limit`` of each function."""
     lines = F.transform(F.split("body", r"\r?\n"), lambda l, i: F.struct(i.cast("long").alias("offset"), F.trim(l).alias("predicate")))
     hits = F.filter(lines, lambda l: l["predicate"].rlike(r"\b(throw|raise)\b"))
     hits = F.slice(hits, 1, limit) if limit else hits

@@ -140,7 +140,7 @@ def _shortcuts(copies: DataFrame) -> DataFrame:
     return out
 
 
-def points_to(functions: DataFrame, cfg: DataFrame, edges: DataFrame, max_rounds: int = 256) -> dict[str, DataFrame]:
+def points_to(functions: DataFrame, cfg: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> dict[str, DataFrame]:
     """Smallest solution of the inclusion constraints, semi-naive.
 
     ``pts`` holds ``fn, var, obj``; ``heap`` holds ``base_obj, slot, obj``.  Each round follows copies from new facts
@@ -151,9 +151,12 @@ def points_to(functions: DataFrame, cfg: DataFrame, edges: DataFrame, max_rounds
     return solve(addresses, copies, accesses, max_rounds)
 
 
-def solve(addresses: DataFrame, copies: DataFrame, accesses: DataFrame, max_rounds: int = 256,
+def solve(addresses: DataFrame, copies: DataFrame, accesses: DataFrame, max_rounds: int | None = None,
           any_slot: bool = True) -> dict[str, DataFrame]:
-    """Fixpoint over prepared constraints; after ``PLAIN_ROUNDS`` long copy chains get shortcuts."""
+    """Fixpoint over prepared constraints; after ``PLAIN_ROUNDS`` long copy chains get shortcuts.
+
+    Without ``max_rounds`` it runs until nothing is new; with it, ``converged`` tells whether it got there.
+    """
     stores = accesses.where("op = 'store'").select("fn", F.col("base").alias("var"), "slot", "value")
     loads = accesses.where("op = 'load'").select("fn", F.col("base").alias("var"), "slot", "value")
     has_heap = not accesses.isEmpty()
@@ -161,7 +164,7 @@ def solve(addresses: DataFrame, copies: DataFrame, accesses: DataFrame, max_roun
     pts = cut(addresses.select("fn", "var", "obj").distinct())
     heap = cut(pts.select(F.col("obj").alias("base_obj"), F.lit("").alias("slot"), "obj").where("false"))
     delta, rounds, converged = pts, 0, False
-    while rounds < max_rounds:
+    while max_rounds is None or rounds < max_rounds:
         rounds += 1
         if rounds == PLAIN_ROUNDS + 1:
             quick, delta = cut(copies.unionByName(_shortcuts(copies)).distinct()), cut(pts)
@@ -248,7 +251,7 @@ def call_contexts(edges_called: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def context_heaps(functions: DataFrame, cfg: DataFrame, edges: DataFrame, solution: dict[str, DataFrame], depth: int = 2,
-                  max_rounds: int = 256) -> dict[str, DataFrame]:
+                  max_rounds: int | None = None) -> dict[str, DataFrame]:
     """A private points-to state of the callee for every call string.
 
     The same solver runs on constraints whose function is the context; arguments and results seed it, allocations of

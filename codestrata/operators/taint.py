@@ -48,13 +48,14 @@ def flow_rules(functions: DataFrame, cfg: DataFrame, edges: DataFrame) -> tuple[
     return seeds, local.unionByName(passed), returns, results.distinct()
 
 
-def taint_fixpoint(functions: DataFrame, cfg: DataFrame, edges: DataFrame, max_rounds: int = 128) -> tuple[DataFrame, dict]:
+def taint_fixpoint(functions: DataFrame, cfg: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, dict]:
     """Tainted variables and whether every way of tainting them is sanitized.
 
     A variable is a fact as soon as any rule reaches it; it counts as exposed when one rule reaches it unsanitized.
     Both parts only ever grow, so each round joins the facts that are new or newly exposed with the rules.  When the
     facts are still moving after ``PLAIN_ROUNDS``, chains of forced steps are shortened by pointer doubling, which
-    brings the number of further rounds near the logarithm of the longest call chain.
+    brings the number of further rounds near the logarithm of the longest call chain.  Without ``max_rounds`` the rounds
+    go on until no fact moves; with it, ``converged`` tells whether they got there.
     """
     seeds, moves, returns, results = flow_rules(functions, cfg, edges)
     # a step whose clean flag is false exposes the target whatever its source is; null hands the state over
@@ -64,7 +65,7 @@ def taint_fixpoint(functions: DataFrame, cfg: DataFrame, edges: DataFrame, max_r
     moves = cut(moves.unionByName(through).distinct())
     facts = cut(seeds.distinct().withColumn("exposed", F.lit(True)))
     rules, delta, rounds, converged = moves, facts, 0, False
-    while rounds < max_rounds:
+    while max_rounds is None or rounds < max_rounds:
         rounds += 1
         if rounds == PLAIN_ROUNDS + 1:
             rules, delta = cut(moves.unionByName(shorten_copies(moves)).distinct()), facts

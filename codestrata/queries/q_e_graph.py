@@ -48,9 +48,9 @@ def call_edges(b):
     return E.build_edges(f, E.resolve_calls(b.fn)).select("src", "dst", "confidence")
 
 
-@query("isolated_nodes", "SELECT p_partkey AS node FROM part WHERE p_partkey % 3 = 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7)")
+@query("isolated_nodes", "SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7)")
 def isolated_nodes(b):
-    fns = b.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("function_id"))
+    fns = b.part.select(F.col("p_partkey").alias("function_id"))
     links = b.lineitem.where("l_linenumber = 7").select(F.col("l_partkey").alias("src"), F.col("l_partkey").alias("dst"))
     return E.isolated(fns, links).select(F.col("function_id").alias("node"))
 
@@ -69,14 +69,14 @@ def unresolved_calls(b):
 
 @query("edge_merge", """
     WITH RECURSIVE e AS (SELECT l_suppkey % 20 AS src, l_partkey % 20 AS dst, CAST(l_quantity AS BIGINT) AS volume, l_linenumber = 1 AS primary_edge, l_discount AS confidence,
-            row_number() OVER (PARTITION BY l_suppkey % 20, l_partkey % 20 ORDER BY l_orderkey * 10 + l_linenumber, l_partkey) AS i FROM lineitem WHERE l_linenumber <= 2),
+            row_number() OVER (PARTITION BY l_suppkey % 20, l_partkey % 20 ORDER BY l_orderkey * 10 + l_linenumber, l_partkey) AS i FROM lineitem),
       f AS (SELECT src, dst, volume, i FROM e WHERE i = 1
             UNION ALL SELECT e.src, e.dst, least(100, greatest(f.volume, e.volume) + 4), e.i FROM f JOIN e ON e.src = f.src AND e.dst = f.dst AND e.i = f.i + 1)
     SELECT a.src, a.dst, a.primary_edge, a.confidence, a.n AS relation_count, f.volume
     FROM (SELECT src, dst, bool_or(primary_edge) AS primary_edge, max(confidence) AS confidence, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY src, dst) a
     JOIN f ON f.src = a.src AND f.dst = a.dst AND f.i = a.n""")
 def edge_merge(b):
-    e = b.lineitem.where("l_linenumber <= 2").select(
+    e = b.lineitem.select(
         (F.col("l_suppkey") % 20).alias("src"), (F.col("l_partkey") % 20).alias("dst"), F.col("l_quantity").cast("long").alias("volume"),
         (F.col("l_linenumber") == 1).alias("primary"), F.col("l_discount").alias("confidence"), F.lit(1).alias("relation_count"),
         F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("a"), F.col("l_partkey").alias("b")).alias("ord"))

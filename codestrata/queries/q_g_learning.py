@@ -36,9 +36,9 @@ def centroids(b):
         "label", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
 
 
-@query("weighted_centroids", "SELECT label, pos, round(sum(x * confidence) / sum(confidence), 6) AS mean FROM (SELECT label, confidence, unnest(dims) AS x, generate_subscripts(dims, 1) - 1 AS pos FROM vecs WHERE vec_id % 2 = 0) GROUP BY label, pos")
+@query("weighted_centroids", "SELECT label, pos, round(sum(x * confidence) / sum(confidence), 6) AS mean FROM (SELECT label, confidence, unnest(dims) AS x, generate_subscripts(dims, 1) - 1 AS pos FROM vecs) GROUP BY label, pos")
 def weighted_centroids(b):
-    v = vectors(b).where("vec_id % 2 = 0")
+    v = vectors(b)
     return L.centroids(v, F.col("confidence").cast("double")).select("label", F.posexplode("centroid").alias("pos", "mean")).select(
         "label", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
 

@@ -101,7 +101,7 @@ def normalize_osv(raw: DataFrame) -> DataFrame:
 
 
 def _cpes(configurations: Column) -> Column:
-    """Vulnerable CPE names through three levels of nested nodes, distinct and sorted, at most 30."""
+    """Vulnerable CPE names through three levels of nested nodes, distinct and sorted."""
     names = lambda x: F.transform(
         F.filter(F.coalesce(x["cpeMatch"], F.array().cast("array<struct<vulnerable:boolean,criteria:string>>")),
                  lambda m: F.coalesce(m["vulnerable"], F.lit(False)) & m["criteria"].isNotNull()), lambda m: m["criteria"])
@@ -110,7 +110,7 @@ def _cpes(configurations: Column) -> Column:
     mid = lambda n: F.concat(names(n), F.coalesce(F.flatten(F.transform(n["nodes"], leaf)), empty))
     node = lambda n: F.concat(names(n), F.coalesce(F.flatten(F.transform(n["nodes"], mid)), empty))
     conf = lambda c: F.concat(names(c), F.coalesce(F.flatten(F.transform(c["nodes"], node)), empty))
-    return F.slice(F.array_sort(F.array_distinct(F.coalesce(F.flatten(F.transform(configurations, conf)), empty))), 1, 30)
+    return F.array_sort(F.array_distinct(F.coalesce(F.flatten(F.transform(configurations, conf)), empty)))
 
 
 def normalize_nvd(raw: DataFrame) -> DataFrame:

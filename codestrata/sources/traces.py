@@ -38,10 +38,10 @@ def read_traces(lines: DataFrame, prefix: str = "TRACE ", cap: int | None = None
     return top_n(kept, ["run_id"], [F.col("seq")], cap) if cap else kept
 
 
-def sanitizer_findings(stderr: Column, limit: int | None = 64) -> Column:
-    """Distinct finding lines of a run, sorted, 500 characters each."""
+def sanitizer_findings(stderr: Column, limit: int | None = None, width: int | None = None) -> Column:
+    """Distinct finding lines of a run, sorted; ``width`` cuts the lines, ``limit`` their number."""
     lines = F.filter(F.split(stderr, r"\r?\n"), _any_mark)
-    out = F.array_sort(F.array_distinct(F.transform(lines, lambda l: F.substring(F.trim(l), 1, 500))))
+    out = F.array_sort(F.array_distinct(F.transform(lines, lambda l: F.substring(F.trim(l), 1, width) if width else F.trim(l))))
     return F.slice(out, 1, limit) if limit else out
 
 
@@ -52,7 +52,7 @@ def _any_mark(line: Column) -> Column:
     return cond
 
 
-def leaf_strings(payload: Column) -> Column:
+def leaf_strings(payload: Column, longest: int | None = None) -> Column:
     """String values of a JSON text at any depth (keys excluded), or the trimmed text when it is not JSON.
 
     The pattern consumes keys (literal and colon) as well as values, and captures the values only.
@@ -63,10 +63,10 @@ def leaf_strings(payload: Column) -> Column:
         lambda v: F.get_json_object(F.concat(F.lit('{"v":"'), v, F.lit('"}')), "$.v"))
     plain = F.when(F.length(F.trim(payload)) >= 4, F.array(F.trim(payload))).otherwise(F.array().cast("array<string>"))
     out = F.when(F.try_parse_json(payload).isNotNull(), values).otherwise(plain)
-    return F.filter(F.array_sort(F.array_distinct(out)), lambda v: F.length(v).between(4, 4096))
+    return F.filter(F.array_sort(F.array_distinct(out)), lambda v: F.length(v).between(4, longest) if longest else F.length(v) >= 4)
 
 
-def leaks(runs: DataFrame, limit: int | None = 64) -> DataFrame:
+def leaks(runs: DataFrame, limit: int | None = None) -> DataFrame:
     """Input values of a run that turn up in its outputs (``stdin, stdout, stderr``)."""
     values = leaf_strings(F.col("stdin"))
     values = F.slice(values, 1, limit) if limit else values
@@ -90,7 +90,7 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], size: st
     return joined.where("kind IS NOT NULL").select(*keys, "kind", "before_bytes", "after_bytes")
 
 
-def boundaries(functions: DataFrame, limit: int | None = 64) -> DataFrame:
+def boundaries(functions: DataFrame, limit: int | None = None) -> DataFrame:
     """Places where control leaves the analysed program, by five patterns.
 
     A control character is put before every match and the body is cut there, so each piece after the first starts with

@@ -90,7 +90,7 @@ def _union(first: Column, *rest: Column) -> Column:
     return F.array_distinct(out)
 
 
-def imports(path: Column, content: Column, limit: int | None = 80) -> Column:
+def imports(path: Column, content: Column, limit: int | None = None) -> Column:
     """Imported names in order of the seven source patterns, then manifest entries."""
     base = F.lower(path)
     found = [all_groups(content, p) for p in IMPORT_PATTERNS]
@@ -115,7 +115,7 @@ def imports(path: Column, content: Column, limit: int | None = 80) -> Column:
     return F.slice(out, 1, limit) if limit else out
 
 
-def environment_refs(path: Column, content: Column, limit: int | None = 60) -> Column:
+def environment_refs(path: Column, content: Column, limit: int | None = None) -> Column:
     """Names of environment variables and hints that a file depends on its environment."""
     both = F.concat(path, F.lit("\n"), content)
     empty = F.array().cast("array<string>")
@@ -128,7 +128,7 @@ def environment_refs(path: Column, content: Column, limit: int | None = 60) -> C
     return F.slice(out, 1, limit) if limit else out
 
 
-def device_refs(content: Column, limit: int | None = 60) -> Column:
+def device_refs(content: Column, limit: int | None = None) -> Column:
     """A06."""
     out = _union(*[all_groups(content, p) for p in DEVICE_PATTERNS])
     return F.slice(out, 1, limit) if limit else out
