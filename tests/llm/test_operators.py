@@ -14,7 +14,7 @@ import brute  # noqa: E402
 
 from codestrata.llm.group_join import near_duplicates, one_of_each  # noqa: E402
 from codestrata.llm.language_tree import language_id  # noqa: E402
-from codestrata.llm.license_scan import licenses  # noqa: E402
+from codestrata.llm.license_scan import TEMPLATES, licenses  # noqa: E402
 from codestrata.llm.nnpu import toxicity  # noqa: E402
 from codestrata.llm.pareto_mix import pareto_mix  # noqa: E402
 from codestrata.llm.phrase_index import build_index, contamination, proximity_matches  # noqa: E402
@@ -149,3 +149,23 @@ def test_preferences_and_licences(spark):
     files = [(0, "a/LICENSE", "Released under the MIT License."), (1, "a/b/c.py", "no notice"), (2, "a/b/d.py", "# Licensed under the Apache License, Version 2.0."), (3, "x.py", None), (4, None, "")]
     own = {r.doc_id: (r.license, r.how, r.from_dir) for r in licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
     assert own == {0: ("MIT", "header", None), 1: ("MIT", "inherited", "a"), 2: ("Apache-2.0", "header", None), 3: (None, None, None), 4: (None, None, None)}
+
+
+def test_licence_spans(spark):
+    rnd = random.Random(6)
+    prose = lambda k: " ".join(rnd.choice(["alpha", "beta", "the", "of", "under", "gamma", "copyright", "foo", "inc"]) for _ in range(k))
+    mit = next(t for n, t in reversed(TEMPLATES) if n == "MIT")
+    wrapped = "/*\n * " + "\n * ".join(" ".join(mit.split()[i : i + 7]) for i in range(0, len(mit.split()), 7)) + "\n */\n"
+    apache = TEMPLATES[0][1]
+    files = [(i, f"p/{i}.txt", prose(60)) for i in range(3000)] + [
+        (3000, "a/x.py", "Copyright 2020 Foo Inc. Released under the MIT License."),
+        (3001, "b/x.js", f"!function(){{var a=1}}; {prose(200)} {apache} {prose(200)}"),
+        (3002, "c/LICENSE", "Copyright (c) 2020 Foo Inc\n\n" + wrapped),
+        (3003, "c/y.py", "print"),
+        (3004, "d/y.c", wrapped + prose(300)),
+        (3005, "e/y.c", "this program\nis free software"),
+        (3006, "f/z.py", "Released\nunder the\nMIT License."),
+    ]
+    own = {r.doc_id: (r.license, r.how) for r in licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).where("doc_id >= 3000 OR license IS NOT NULL").collect()}
+    header = {3000: "MIT", 3001: "Apache-2.0", 3002: "MIT", 3004: "MIT", 3006: "MIT"}
+    assert own == {i: (n, "header") for i, n in header.items()} | {3003: ("MIT", "inherited"), 3005: (None, None)}
