@@ -223,19 +223,8 @@ def _open_pairs(features: DataFrame, group_of: DataFrame) -> DataFrame:
     return cut(x.join(y, fits & close).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per document: doc_id, rk (content key), n_shingles, sig (equal sets share it), component_id, links.
-
-    Documents link at a Jaccard similarity of 0.75 of their sets of five-word shingles; component_id is the smallest
-    doc_id reachable. Equal sets become one class first. Then similar sets are grouped: each is compared with the
-    leaders of the min-hash keys it shares, and verified links make the groups. The exact step finds every pair of
-    sets of different groups that may link through the token-group matrix, so no link between groups is lost and links
-    inside a group would not change it. ``links``: verified links of the document's set to other sets in these steps.
-
-    Null texts and texts without words have an empty set and link with nothing; a null doc_id never becomes a
-    component's id unless it has no other; repeated rows are equal sets; an empty table gives an empty table. Only
-    doc_id and text are read. Sets are told apart by 64 bits: among n different sets about n * n / 2**65 pairs collide.
-    """
+def _classes(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """near_duplicates with root: the smallest signature of the class, null for documents without words."""
     source = docs.select("doc_id", "text")
     frequent = frequent_tokens(source)
     schema = f"doc_id long, rk long, sig long, n long, bands array<long>, parts {_PARTS}"
@@ -251,29 +240,45 @@ def near_duplicates(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     named = classes.join(reached.withColumnRenamed("v", "sig"), "sig", "left").join(ends.withColumnRenamed("v", "sig"), "sig", "left")
     named = named.withColumn("root", F.coalesce("root", "sig"))
     ids = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    of_class = cut(named.join(ids, "root").select("sig", "component_id", F.coalesce("links", F.lit(0)).alias("links")))
+    of_class = cut(named.join(ids, "root").select("sig", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links")))
     return features.select("doc_id", "rk", "n", "sig").join(of_class, "sig", "left").select(
         "doc_id",
         "rk",
         F.col("n").alias("n_shingles"),
         "sig",
+        "root",
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("links", F.lit(0)).alias("links"),
     )
 
 
+def near_duplicates(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per document: doc_id, rk (content key), n_shingles, sig (equal sets share it), component_id, links.
+
+    Documents link at a Jaccard similarity of 0.75 of their sets of five-word shingles; component_id is the smallest
+    doc_id reachable. Equal sets become one class first. Then similar sets are grouped: each is compared with the
+    leaders of the min-hash keys it shares, and verified links make the groups. The exact step finds every pair of
+    sets of different groups that may link through the token-group matrix, so no link between groups is lost and links
+    inside a group would not change it. ``links``: verified links of the document's set to other sets in these steps.
+
+    Null texts and texts without words have an empty set and link with nothing; a null doc_id never becomes a
+    component's id unless it has no other; repeated rows are equal sets; an empty table gives an empty table. Only
+    doc_id and text are read. Sets are told apart by 64 bits: among n different sets about n * n / 2**65 pairs collide.
+    """
+    return _classes(docs, bound).drop("root")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with one row of every class of near duplicates: the one whose doc_id names the class.
+    """The documents with one row of every class of near duplicates: that of the smallest doc_id, then content key.
 
-    Documents without words link with nothing and all stay.
+    Null ids come last. Documents without words link with nothing and all stay.
     """
-    found = near_duplicates(docs)
-    kept = cut(found.where((F.col("sig").isNull()) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("rk", "sig", "component_id"))
-    # repeated ids may leave several rows in a class: the smallest content key stays
-    best = kept.where("sig IS NOT NULL").groupBy("component_id").agg(F.min("rk").alias("rk")).select("rk")
-    empty = kept.where("sig IS NULL").select("rk").distinct()
-    keep = best.unionByName(empty).distinct().withColumnRenamed("rk", "_rk")
+    found = _classes(docs)
+    # classes are told apart by their root: ids may be null or repeated in several of them
+    worded = found.where("sig IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).getField("rk").alias("rk"))
+    empty = found.where("sig IS NULL").select("rk").distinct()
+    keep = cut(worded.select("rk").unionByName(empty).distinct().withColumnRenamed("rk", "_rk"))
     rows = docs.withColumn("_rk", row_key()).join(keep, "_rk", "left_semi")
-    worded = F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D]+", " "))) > 0
-    once = rows.where(worded).dropDuplicates(["_rk"])
-    return once.unionByName(rows.where(~worded)).drop("_rk")
+    has_words = F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D]+", " "))) > 0
+    once = rows.where(has_words).dropDuplicates(["_rk"])
+    return once.unionByName(rows.where(~has_words)).drop("_rk")

@@ -97,5 +97,18 @@ def components(rows):
     return sorted((i, len(s), least[root(n)]) for n, (i, s) in enumerate(sets))
 
 
+def one_of_each(rows):
+    """rows: (doc_id, text). One row per class, of the smallest id (null last); rows without words all stay."""
+    links = components([(n, t) for n, (_, t) in enumerate(rows)])
+    best, kept = {}, []
+    for n, size, root in links:
+        row = rows[n]
+        if not size:
+            kept.append(row)
+        elif root not in best or (row[0] is None, row[0] or 0) < (best[root][0] is None, best[root][0] or 0):
+            best[root] = row
+    return kept + list(best.values())
+
+
 def is_held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0

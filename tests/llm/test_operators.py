@@ -169,3 +169,29 @@ def test_licence_spans(spark):
     own = {r.doc_id: (r.license, r.how) for r in licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).where("doc_id >= 3000 OR license IS NOT NULL").collect()}
     header = {3000: "MIT", 3001: "Apache-2.0", 3002: "MIT", 3004: "MIT", 3006: "MIT"}
     assert own == {i: (n, "header") for i, n in header.items()} | {3003: ("MIT", "inherited"), 3005: (None, None)}
+
+
+def test_one_of_each_class(spark):
+    rnd = random.Random(7)
+    text = lambda: " ".join(f"w{rnd.randrange(5000)}" for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(None, a), (None, b), (None, c), (7, d), (7, e), (3, near), (9, d), (None, d), (None, None), (None, ""), (7, None), (7, e), (None, b)]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t in brute.one_of_each(rows))
+    assert len(kept) == 8
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    # without labels, benchmark items and secrets only near duplicates and copies are left to drop, and the mix takes what its sources give
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(40 + i)) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (4, texts[2]), (4, texts[3]), (8, texts[4]), (9, texts[4]), (None, texts[5]), (None, texts[5])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.size, r.taken) for r in found) == sorted((str(i), brute.size_of(t), brute.size_of(t)) for i, t in brute.one_of_each(rows))
