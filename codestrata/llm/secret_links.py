@@ -17,7 +17,11 @@ ASSIGN = (
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 # Own patterns: weak parts, reported only in company.
-IDENTIFIER = r"""(?:\b[Uu]ser(?:[Nn]ame|_name)?|\b[Ll]ogin|\b[Cc]lient_?[Ii][Dd]|\b[Kk]ey_?[Ii][Dd]|\b[Aa]ccount)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
+# Identifier names count in either case and behind any prefix, as names of secrets do.
+IDENTIFIER = (
+    r"""(?:[Uu][Ss][Ee][Rr](?:[_-]?(?:[Nn][Aa][Mm][Ee]|[Ii][Dd]))?|[Ll][Oo][Gg][Ii][Nn]|(?:[Cc][Ll][Ii][Ee][Nn][Tt]|[Kk][Ee][Yy])[_-]?[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt](?:[_-]?[Ii][Dd])?)"""
+    r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
+)
 OPAQUE = r"[A-Za-z0-9+/]{32,}={0,2}"
 ENDPOINT = r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~:@-]+|\b\d{1,3}(?:\.\d{1,3}){3}:\d{2,5}\b"
 BREAK = r"\n[ \t\r]*\n"
@@ -57,7 +61,8 @@ def parts(docs: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     # weak parts matter only beside an access key or an identifier with a secret, so the last four kinds wait for that
-    linkable = text.rlike(_QUICK[1]) | text.rlike(IDENTIFIER)
+    secret = text.rlike(_QUICK[0]) | text.rlike(_QUICK[2]) | text.rlike(_QUICK[4])
+    linkable = secret & (text.rlike(_QUICK[1]) | text.rlike(IDENTIFIER))
     empty = F.array().cast("array<struct<kind:int,i:int,gap:int,len:int,vlen:int,mixed:boolean>>")
     base = F.concat(*[_found(text, no) for no in range(3)])
     weak = F.when(linkable, F.concat(*[_found(text, no) for no in range(3, 7)])).otherwise(empty)

@@ -195,3 +195,16 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((str(r.doc_id), r.size, r.taken) for r in found) == sorted((str(i), brute.size_of(t), brute.size_of(t)) for i, t in brute.one_of_each(rows))
+
+
+def test_secrets_beside_names_in_any_case(spark):
+    opaque = "Ab3" + "xYz9Qw" * 6
+    names = ["USERNAME", "CLIENT_ID", "DB_USER", "db_user", "aws_access_key_id", "AWS_ACCESS_KEY_ID", "accessKeyId", "LOGIN", "ACCOUNT_ID", "user_id", "user", "Login"]
+    rows = [(i, f"export {n}=svc-app1\nDB={opaque}\nURL=https://db.example.com:99\n") for i, n in enumerate(names)]
+    rows += [(90, f"DB={opaque} https://db.example.com:99"), (91, "DB_USER=svc-app1 https://db.example.com:99")]
+    found = {r.doc_id: r.spans for r in secret_scan(docs(spark, rows)).collect()}
+    masked = {r.doc_id: r.text for r in redact_secrets(docs(spark, rows)).collect()}
+    for i, text in rows[: len(names)]:
+        assert [k.split(":")[0] for k in found[i].split(",")] == ["identifier", "opaque", "endpoint"], text
+        assert opaque not in masked[i] and "svc-app1" not in masked[i] and "example.com" not in masked[i]
+    assert found[90] == found[91] == "" and masked[90] == rows[-2][1] and masked[91] == rows[-1][1]
