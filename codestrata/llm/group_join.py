@@ -20,6 +20,8 @@ LONGS, PART = 8, 256
 #: Frequent shingles that go last in the order of tokens. The list only sets the order, so any bound keeps results whole.
 FREQUENT = 100_000
 _CHUNK, _OFTEN = 2_000_000, 3
+#: Members of a block of a group on average, and tokens counted at a time when blocks are compared.
+_MEMBERS, _COLUMNS = 128, 4096
 
 
 def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +156,38 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, bound: int)
     return cut(two.withColumn("c", common).where(F.expr(f"100 * c >= {LEAST} * (size(x) + size(y) - c)")).select("a", "b"))
 
 
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links per set between the two blocks of a group (or inside one), by counting common tokens of all pairs at once."""
+    sig, own = table.column("sig").to_numpy(), table.column("block").to_numpy()
+    sets = [np.asarray(t.as_py(), np.int64) for t in table.column("tokens")]
+    size = np.array([len(t) for t in sets])
+    uniq, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row, by = np.repeat(np.arange(len(sets)), size), np.argsort(at, kind="stable")
+    at, row = at[by], row[by]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    cuts = np.searchsorted(at, np.arange(0, len(uniq) + _COLUMNS, _COLUMNS))
+    for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        x = np.zeros((len(sets), _COLUMNS), np.float32)
+        x[row[a:b], at[a:b] - n * _COLUMNS] = 1
+        common += (x @ x.T).astype(np.int64)
+    linked = 100 * common >= LEAST * (size[:, None] + size[None, :] - common)
+    np.fill_diagonal(linked, False)
+    if own.min() != own.max():
+        linked &= own[:, None] != own[None, :]
+    return pa.table({"v": sig, "links": linked.sum(axis=1).astype(np.int64)})
+
+
+def _group_links(docs: DataFrame, classes: DataFrame, group_of: DataFrame, bound: int) -> DataFrame:
+    """v, links: links of each set to others of its group. All pairs of a group are compared, in blocks of its members."""
+    needed = cut(classes.select("sig", "rk").join(group_of.withColumnRenamed("v", "sig"), "sig"))
+    texts = docs.select("text", row_key().alias("rk")).join(lookup(needed.select("sig", "rk"), needed.count(), bound), "rk").select("sig", "text")
+    sets = cut(texts.mapInArrow(_sets, "sig long, tokens array<long>").dropDuplicates(["sig"]))
+    blocks = needed.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / _MEMBERS).cast("long").alias("nb"))
+    placed = needed.join(blocks, "root").select("sig", "root", F.pmod(F.xxhash64("sig"), F.col("nb")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
+    met = placed.select("sig", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets, "sig")
+    return met.groupBy("root", "i", "j").applyInArrow(_block_links, "v long, links long")
+
+
 def _leader_pairs(features: DataFrame) -> DataFrame:
     """Each document with the leader (smallest signature) of every key it shares: linear in the documents.
 
@@ -223,8 +257,8 @@ def _open_pairs(features: DataFrame, group_of: DataFrame) -> DataFrame:
     return cut(x.join(y, fits & close).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct())
 
 
-def _classes(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """near_duplicates with root: the smallest signature of the class, null for documents without words."""
+def _classes(docs: DataFrame, bound: int = BROADCAST_ROWS, count: bool = False) -> DataFrame:
+    """near_duplicates with root (smallest signature of the class, null without words); links only if asked to ``count``."""
     source = docs.select("doc_id", "text")
     frequent = frequent_tokens(source)
     schema = f"doc_id long, rk long, sig long, n long, bands array<long>, parts {_PARTS}"
@@ -236,7 +270,12 @@ def _classes(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     second = _verified(source, classes, _open_pairs(features, groups), bound)
     links = first.unionByName(second)
     reached = components(links)
-    ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
+    # pairs of different groups may come in both directions, from different parts
+    across = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = across.select(F.col("a").alias("v")).unionByName(across.select(F.col("b").alias("v"))).select("v", F.lit(1).cast("long").alias("links"))
+    if count:
+        ends = ends.unionByName(_group_links(source, classes, groups, bound))
+    ends = ends.groupBy("v").agg(F.sum("links").alias("links"))
     named = classes.join(reached.withColumnRenamed("v", "sig"), "sig", "left").join(ends.withColumnRenamed("v", "sig"), "sig", "left")
     named = named.withColumn("root", F.coalesce("root", "sig"))
     ids = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -258,14 +297,15 @@ def near_duplicates(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     Documents link at a Jaccard similarity of 0.75 of their sets of five-word shingles; component_id is the smallest
     doc_id reachable. Equal sets become one class first. Then similar sets are grouped: each is compared with the
     leaders of the min-hash keys it shares, and verified links make the groups. The exact step finds every pair of
-    sets of different groups that may link through the token-group matrix, so no link between groups is lost and links
-    inside a group would not change it. ``links``: verified links of the document's set to other sets in these steps.
+    sets of different groups that may link through the token-group matrix, so no link between groups is lost; links
+    inside a group do not change it. ``links``: number of different sets to which the document's set links, in its group
+    (all pairs, in blocks of members) and in others.
 
     Null texts and texts without words have an empty set and link with nothing; a null doc_id never becomes a
     component's id unless it has no other; repeated rows are equal sets; an empty table gives an empty table. Only
     doc_id and text are read. Sets are told apart by 64 bits: among n different sets about n * n / 2**65 pairs collide.
     """
-    return _classes(docs, bound).drop("root")
+    return _classes(docs, bound, count=True).drop("root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def op8_language_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "links")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,5 +110,12 @@ def one_of_each(rows):
     return kept + list(best.values())
 
 
+def links(rows):
+    """rows: (doc_id, text). doc_id, number of other sets to which its set links, by comparing all pairs."""
+    sets = [(i, frozenset(shingles(t))) for i, t in rows]
+    distinct = {x for _, x in sets if x}
+    return sorted((i, sum(y != x and 100 * len(x & y) >= 75 * len(x | y) for y in distinct) if x else 0) for i, x in sets)
+
+
 def is_held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0

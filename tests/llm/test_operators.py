@@ -12,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import brute  # noqa: E402
 
+from codestrata.llm import group_join  # noqa: E402
 from codestrata.llm.group_join import near_duplicates, one_of_each  # noqa: E402
 from codestrata.llm.language_tree import language_id  # noqa: E402
 from codestrata.llm.license_scan import TEMPLATES, licenses  # noqa: E402
@@ -208,3 +209,19 @@ def test_secrets_beside_names_in_any_case(spark):
         assert [k.split(":")[0] for k in found[i].split(",")] == ["identifier", "opaque", "endpoint"], text
         assert opaque not in masked[i] and "svc-app1" not in masked[i] and "example.com" not in masked[i]
     assert found[90] == found[91] == "" and masked[90] == rows[-2][1] and masked[91] == rows[-1][1]
+
+
+def test_links_inside_groups(spark, monkeypatch):
+    monkeypatch.setattr(group_join, "_MEMBERS", 8)
+    rnd = random.Random(9)
+    rows = []
+    for size, copies in ((30, 12), (60, 40), (300, 30), (900, 6)):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(size)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rnd.randrange(1 + size // 40)):
+                w[rnd.randrange(size)] = f"x{rnd.randrange(5000)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (0, rows[0][1])]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "links").collect()
+    assert sorted(tuple(r) for r in found) == brute.links(rows)
