@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
+from .doubling_dedup import strip_repeats
+from .fill_in_middle import fill_in_middle, restored
 from .group_join import near_duplicates
 from .language_tree import language_id
 from .license_scan import file_paths, licenses
 from .nnpu import toxicity
 from .pareto_mix import pareto_mix
 from .phrase_index import contamination
+from .phrase_stripes import collocations
 from .preference_pairs import mask_of, preference_pairs, text_of
 from .secret_links import secret_scan
 from .segment_search import top_by_segments
@@ -72,6 +75,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(file_paths(table(spark, sf_dir, "documents")))
 
 
+def op11_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = strip_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_phrase_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle(table(spark, sf_dir, "documents"))
+    back = restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 _OP1 = """
 WITH t AS (
   SELECT floor(conv_id / 2)::BIGINT AS pair_id, conv_id % 2 AS side, role, text,
@@ -131,6 +149,61 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_h
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN items USING (rid)
 """
 
+_OP11 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS o, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+g AS (SELECT o, i, array_to_string(ws[i:i + 19], ' ') AS g FROM d, unnest(range(1, len(ws) - 18)) AS u(i)),
+k AS (SELECT o, i, row_number() OVER (PARTITION BY md5(g) ORDER BY o, i) AS nth FROM g),
+p AS (SELECT DISTINCT o, p FROM k, unnest(range(i, i + 20)) AS u(p) WHERE nth > 1),
+w AS (SELECT o, u.i AS p, ws[u.i] AS w FROM d, unnest(range(1, len(ws) + 1)) AS u(i)),
+s AS (SELECT w.o, string_agg(w.w, ' ' ORDER BY w.p) AS kept, count(*) AS n FROM w ANTI JOIN p ON w.o = p.o AND w.p = p.p GROUP BY w.o)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(s.n, 0))::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (o)
+"""
+
+_OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+ws AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+tot AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM ws GROUP BY lang),
+f AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM ws, unnest(range(1, 6)) AS a(k), unnest(range(1, len(ws) - k + 2)) AS u(i) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a FROM f WHERE k > 1),
+gone AS (
+  SELECT DISTINCT c.lang, c.phrase FROM c JOIN c AS m
+  ON c.lang = m.lang AND m.k > c.k AND contains(' ' || m.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * m.a >= 100 * c.a),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, array_to_string(string_split(c.phrase, ' ')[1:j], ' ') AS x, array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ') AS y
+  FROM (SELECT * FROM c ANTI JOIN gone USING (lang, phrase)) AS c, unnest(range(1, c.k)) AS u(j)),
+s AS (
+  SELECT cuts.lang, cuts.phrase, a, j, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.phrase = cuts.x JOIN f AS y ON y.lang = cuts.lang AND y.phrase = cuts.y JOIN tot ON tot.lang = cuts.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS best FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b WHERE best = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000
+"""
+
+_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id::VARCHAR) AS s FROM documents),
+h AS (
+  SELECT *, len(u) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:lo], '') AS a, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS z FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -144,6 +217,16 @@ QUERIES = {
         op8_language_tree,
         op9_group_join,
         op10_license_scan,
+        op11_doubling_dedup,
+        op12_phrase_stripes,
+        op13_fill_in_middle,
     )
 }
-ORACLES = {"op1_preference_pairs": _OP1, "op4_phrase_index": _OP4, "op5_segment_search": _OP5}
+ORACLES = {
+    "op1_preference_pairs": _OP1,
+    "op4_phrase_index": _OP4,
+    "op5_segment_search": _OP5,
+    "op11_doubling_dedup": _OP11,
+    "op12_phrase_stripes": _OP12,
+    "op13_fill_in_middle": _OP13,
+}
