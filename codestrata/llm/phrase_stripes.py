@@ -104,8 +104,11 @@ def _first_words(chunk: int):
     return run
 
 
-def _stripes(k: int, held: list, chunk: int, lanes: int):
-    """Stripes of the prefixes of ``k - 1`` words: lang, prefix, lane, next (words), n (their counts)."""
+def _stripes(k: int, held: list, chunk: int, lanes: int, buckets: int):
+    """Stripes of the prefixes of ``k - 1`` words, packed by bucket: lang, bucket, stripes.
+
+    Each line is a stripe, its fields parted by tabs: the prefix, then next words, each with its count unless that is one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [t.value for t in held]
@@ -117,23 +120,26 @@ def _stripes(k: int, held: list, chunk: int, lanes: int):
             name = words.id[at]
             for i in range(1, k - 1):  # equal prefixes get equal names
                 name = np.unique(name * size + words.id[at + i], return_inverse=True)[1]
-            last = words.id[at + k - 1]
-            lane = (words.distinct[last] >> np.uint64(32)).astype(np.int64) % lanes
-            stripe = name * lanes + lane
-            entries, where, seen = np.unique(stripe * size + last, return_index=True, return_counts=True)
-            begins = np.flatnonzero(np.diff(entries // size, prepend=-1))
-            place = at[where].tolist()
-            prefix = [b" ".join(words.list[place[b] : place[b] + k - 1]) for b in begins.tolist()]
-            offsets = pa.array(np.append(begins, len(entries)), pa.int32())
-            following = pa.array([words.list[p + k - 1] for p in place], pa.string())
-            columns = [
-                pa.array([words.lang] * len(prefix)),
-                pa.array(prefix, pa.string()),
-                pa.array(lane[where][begins]),
-                pa.ListArray.from_arrays(offsets, following),
-                pa.ListArray.from_arrays(offsets, pa.array(seen)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "lane", "next", "n"])
+            entries, where, seen = np.unique(name * size + words.id[at + k - 1], return_index=True, return_counts=True)
+            place, prefix = at[where], entries // size
+            keys = words.hash[place]
+            for i in range(1, k - 1):
+                keys = _extend(keys, words.hash[place + i])
+            lane = (words.hash[place + k - 1] >> np.uint64(32)) % np.uint64(lanes)
+            bucket = (mix(keys + lane) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            place, prefix, seen, bucket = place[order], prefix[order], seen[order], bucket[order]
+            listed = words.list
+            fields = [b"\t" + listed[i] for i in (place + k - 1).tolist()]
+            for i in np.flatnonzero(seen > 1).tolist():
+                fields[i] += b" %d" % seen[i]
+            new = np.diff(bucket, prepend=-1) != 0
+            for i in np.flatnonzero((np.diff(prefix, prepend=-1) != 0) | new).tolist():
+                start = place[i]
+                fields[i] = b"\n" + b" ".join(listed[start : start + k - 1]) + fields[i]
+            cuts = np.append(np.flatnonzero(new), len(fields)).tolist()
+            packed = [b"".join(fields[a:b])[1:] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(packed)), pa.array(bucket[new]), pa.array(packed, pa.string())], ["lang", "bucket", "stripes"])
 
     return run
 
@@ -158,15 +164,19 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, words: int = WORDS, bits:
     n = first.where("word IS NULL").select("lang", F.col("f").alias("n"))
     found = first.where("word IS NOT NULL").select("lang", F.lit(1).alias("k"), F.lit("").alias("prefix"), F.col("word").alias("phrase"), "f").where(f"f >= {least}")
     levels, held = [found], []
+    buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for k in range(2, words + 1):
         table, kept = bit_table(levels[-1].select("lang", "phrase").mapInArrow(_phrase_keys, "key long"), bits)
         if not kept:
             break
         held.append(table)
-        stripes = docs.mapInArrow(_stripes(k, held, chunk, lanes), "lang string, prefix string, lane long, next array<string>, n array<long>")
-        # stripes of a prefix meet by lane; their entries are added there without another shuffle
-        met = stripes.repartition("lang", "prefix", "lane").select("lang", "prefix", "lane", F.explode(F.arrays_zip("next", "n")).alias("e"))
-        merged = met.select("lang", "prefix", "lane", F.col("e.next").alias("next"), F.col("e.n").alias("n")).groupBy("lang", "prefix", "lane", "next").agg(F.sum("n").alias("f"))
+        stripes = docs.mapInArrow(_stripes(k, held, chunk, lanes, buckets), "lang string, bucket long, stripes string")
+        # stripes of a prefix meet in the buckets of its lanes; their entries are added there without another shuffle
+        met = stripes.repartition("lang", "bucket").select("lang", "bucket", F.explode(F.split("stripes", "\n")).alias("s"))
+        met = met.select("lang", "bucket", F.split("s", "\t").alias("s")).select("lang", "bucket", F.col("s")[0].alias("prefix"), F.explode(F.expr("slice(s, 2, size(s) - 1)")).alias("e"))
+        entry = F.split("e", " ")
+        met = met.select("lang", "bucket", "prefix", entry[0].alias("next"), F.coalesce(F.get(entry, F.lit(1)).cast("long"), F.lit(1)).alias("n"))
+        merged = met.groupBy("lang", "bucket", "prefix", "next").agg(F.sum("n").alias("f"))
         phrases = merged.where(f"f >= {least}").select("lang", F.lit(k).alias("k"), "prefix", F.concat_ws(" ", "prefix", "next").alias("phrase"), "f")
         levels.append(cut(phrases))
     return reduce(DataFrame.unionByName, levels), n

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Between a letter and a single space that a letter follows, every state of the outer machine ends its pretoken.
 _JOINT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
-#: Characters per piece, and sizes at which the lazily built tables start anew.
-PIECE, STATES, KNOWN = 1 << 16, 100_000, 200_000
+#: Characters per piece, most states that are compiled, and entries at which a table of known results starts anew.
+PIECE, STATES, KNOWN = 1 << 16, 100_000, 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -35,10 +35,11 @@ def _byte_letters() -> dict[str, int]:
 class ByteTransducer:
     """Deterministic transducer over bytes whose outputs sum to the number of BPE tokens.
 
-    A state holds, for every place where a token may still be open, the bytes since, the token that ends there and how many
-    tokens lie behind it, relative to now.  It rests on a property of merge-ordered BPE: a prefix has one last token,
-    the longest that is compatible with the last token before it, and two neighbours are compatible if merging
-    their join never comes first.  States are made when first met and dropped when there are too many.
+    A state holds, for every place where a token may still be open, the node that its bytes since have reached in the trie of
+    all tokens, the token that ends there and how many tokens lie behind it, relative to now. It rests on a property of
+    merge-ordered BPE: a prefix has one last token, the longest that is compatible with the last token before it, and two
+    neighbours are compatible if merging their join never comes first. Transitions are compiled where paths meet again:
+    each run adds the first one that it lacks and steps through the rest of its bytes without states.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list):
@@ -46,20 +47,29 @@ class ByteTransducer:
         spell = lambda s: bytes(letters[c] for c in s)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         # own numbering: single bytes first, then results of merges by rank, so a smaller number merges earlier
-        self.number = {bytes([b]): b for b in range(256)}
+        number = {bytes([b]): b for b in range(256)}
         self.halves: list[tuple[int, int] | None] = [None] * 256
         self.merged: dict[tuple[int, int], int] = {}
         for left, right in pairs:
-            a, b = self.number[spell(left)], self.number[spell(right)]
-            no = self.number.setdefault(spell(left + right), len(self.halves))
+            a, b = number[spell(left)], number[spell(right)]
+            no = number.setdefault(spell(left + right), len(self.halves))
             if no == len(self.halves):
                 self.halves.append((a, b))
             self.merged.setdefault((a, b), no)
-        self.open_ = {t[:i] for t in self.number for i in range(1, len(t))}
-        self.clear()
-
-    def clear(self) -> None:
-        start = ((b"", None, 0),)
+        # the trie: edges by (node, byte), the token that ends at a node (or -1), and whether it has edges
+        self.edges: dict[int, int] = {}
+        self.ends, self.inner = [-1], bytearray(1)
+        for token, no in number.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = 1
+                node = self.edges.setdefault(node << 8 | byte, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(-1)
+                    self.inner.append(0)
+            self.ends[node] = no
+        self.joins: dict[int, bool] = {}
+        start = ((0, -1, 0),)
         self.states: list[tuple] = [start]
         self.ids: dict[tuple, int] = {start: 0}
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
@@ -79,53 +89,70 @@ class ByteTransducer:
                 # equal ranks merge from the left, so a join of the rank just undone on the right still comes first
                 limit, right = right + 1, self.halves[right][0]
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        opened, b = [], bytes([byte])
-        last = added = None
-        for since, token, behind in self.states[state]:  # the oldest place first: the longest token that fits
-            since += b
-            if last is None and (no := self.number.get(since)) is not None and (token is None or self.compatible(token, no)):
-                last, added = no, behind + 1
-            if since in self.open_:
-                opened.append((since, token, behind))
-        new = (*((s, t, behind - added) for s, t, behind in opened), (b"", last, 0))
-        if new not in self.ids:
-            self.ids[new] = len(self.states)
-            self.states.append(new)
-            self.moves.append({})
-        return self.ids[new], added
+    def _join(self, left: int, right: int) -> bool:
+        if len(self.joins) > KNOWN:
+            self.joins.clear()
+        fits = self.joins[left << 20 | right] = self.compatible(left, right)
+        return fits
+
+    def _step(self, places: list[tuple], byte: int) -> list[tuple]:
+        """Open places (node, token, tokens up to it) after one more byte; the last of them is the new end."""
+        edges, ends, inner, joins = self.edges, self.ends, self.inner, self.joins
+        opened, last, total = [], -1, 0
+        for node, token, behind in places:  # the oldest place first: the longest token that fits
+            node = edges.get(node << 8 | byte)
+            if node is None:
+                continue
+            if last < 0:
+                no = ends[node]
+                if no >= 0:
+                    fits = True if token < 0 else joins.get(token << 20 | no)
+                    if fits or (fits is None and self._join(token, no)):
+                        last, total = no, behind + 1
+            if inner[node]:
+                opened.append((node, token, behind))
+        opened.append((0, last, total))
+        return opened
 
     def count(self, data: bytes) -> int:
-        if len(self.states) > STATES:
-            self.clear()
         state = total = 0
-        for byte in data:
-            move = self.moves[state].get(byte)
+        moves = self.moves
+        for i, byte in enumerate(data):
+            move = moves[state].get(byte)
             if move is None:
-                move = self.moves[state][byte] = self._move(state, byte)
-                if len(self.states) > 2 * STATES:  # one endless pretoken: keep its state only
-                    kept = self.states[move[0]]
-                    self.clear()
-                    if kept not in self.ids:
-                        self.ids[kept] = len(self.states)
-                        self.states.append(kept)
-                        self.moves.append({})
-                    move = (self.ids[kept], move[1])
+                break
             state, added = move
             total += added
-        return total
+        else:
+            return total
+        places = self._step([(n, t, total + b) for n, t, b in self.states[state]], byte)
+        if len(self.states) < STATES:
+            now = places[-1][2]
+            new = tuple([(n, t, b - now) for n, t, b in places])
+            no = self.ids.setdefault(new, len(self.states))
+            if no == len(self.states):
+                self.states.append(new)
+                moves.append({})
+            moves[state][byte] = (no, now - total)
+        step = self._step
+        for byte in data[i + 1 :]:
+            places = step(places, byte)
+        return places[-1][2]
 
 
 class _Counts(dict):
-    """Tokens per pretoken, computed by the byte machine when first met."""
+    """Tokens per pretoken, computed by the byte machine when first met; kept for one to two times ``KNOWN`` others."""
 
     def __init__(self, machine: ByteTransducer):
-        self.machine = machine
+        self.machine, self.old = machine, {}
 
     def __missing__(self, pretoken: str) -> int:
-        n = self.machine.count(pretoken.encode("utf-8", "replace"))
+        n = self.old.get(pretoken)
+        if n is None:
+            n = self.machine.count(pretoken.encode("utf-8", "replace"))
         if len(pretoken) <= 64:
             if len(self) > KNOWN:
+                self.old = dict(self)
                 self.clear()
             self[pretoken] = n
         return n
