@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import BROADCAST_ROWS, lookup, row_key
+from .common import BROADCAST_ROWS, lookup, packed, row_key, unpacked
 from .shingles import LEAST, least_common, min_bands, mix, parity_bits, shingle_hashes, shingle_set, signature
 
 #: Shared prefix tokens that a pair must have (fewer for tiny sets), and leader keys per document.
@@ -19,7 +19,11 @@ OVERLAP, BANDS = 3, 8
 LONGS, PART = 8, 256
 #: Frequent shingles that go last in the order of tokens. The list only sets the order, so any bound keeps results whole.
 FREQUENT = 100_000
-_CHUNK, _OFTEN = 2_000_000, 3
+_CHUNK, _OFTEN = 1_000_000, 3
+#: Rows per record batch, and signatures of recent documents that a task keeps.
+_ROWS, _SEEN = 256, 100_000
+#: Rounds in which sets look for neighbours outside their group, leaders per key and round, and neighbours tried.
+ROUNDS, LEADERS, NEAREST = 1, 4, 3
 #: Members of a block of a group on average, and tokens counted at a time when blocks are compared.
 _MEMBERS, _COLUMNS = 128, 4096
 
@@ -52,7 +56,7 @@ def frequent_tokens(docs: DataFrame, bound: int = FREQUENT) -> np.ndarray:
     return top.column("token").to_numpy()[::-1].view(np.uint64) if len(top) else np.empty(0, np.uint64)
 
 
-def set_parts(s: np.ndarray, rank_of) -> list[dict]:
+def set_parts(s: np.ndarray, rank_of) -> list[tuple]:
     """The parts of a set under which it looks for similar sets: part, size, bits (parity sketch), prefix (first tokens).
 
     A set of up to 511 elements is one part; larger ones are dealt out by hash to parts of 256 to 511 elements on
@@ -70,13 +74,21 @@ def set_parts(s: np.ndarray, rank_of) -> list[dict]:
             need = least_common(len(t))
             keep = len(t) - need + min(OVERLAP, need)
             prefix = t[np.lexsort((t, late))[:keep]] if late is not None else np.sort(np.partition(t, keep - 1)[:keep])
-            out.append({"part": (level << 40) + int(own[at[0]]), "size": len(t), "bits": parity_bits(t, LONGS), "prefix": prefix.view(np.int64)})
+            out.append(((level << 40) + int(own[at[0]]), len(t), parity_bits(t, LONGS), prefix.view(np.int64)))
     return out
 
 
 _PARTS = "array<struct<part:long,size:long,bits:array<long>,prefix:array<long>>>"
 
 
+def _lists(rows: list[np.ndarray | None]) -> pa.ListArray:
+    """Array of lists of longs; None becomes null."""
+    ends = np.cumsum([0, *(0 if r is None else len(r) for r in rows)])
+    held = [r for r in rows if r is not None]
+    flat = pa.array(np.concatenate(held) if held else np.empty(0, np.int64))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
 def _features(frequent: np.ndarray):
     by_value = np.argsort(frequent)
     known, rank = frequent[by_value], by_value + 1
@@ -89,32 +101,46 @@ def _features(frequent: np.ndarray):
         return late if late.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = pa.list_(pa.int64())
-        kinds = {"bands": longs, "parts": pa.list_(pa.struct([("part", pa.int64()), ("size", pa.int64()), ("bits", longs), ("prefix", longs)]))}
         seen: set[int] = set()
-        for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("sig", "n", *kinds)}
-            for text in batch.column("text"):
-                s = shingle_set(text.as_py())
-                sig = signature(s) if len(s) else None
-                fresh = sig is not None and sig not in seen  # a copy in the same part of the table needs no tokens of its own
-                seen.add(sig)
-                out["sig"].append(sig)
-                out["n"].append(len(s))
-                out["bands"].append(min_bands(s, BANDS) if fresh else None)
-                out["parts"].append(set_parts(s, rank_of) if fresh else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("rk"), pa.array(out["sig"], pa.int64()), pa.array(out["n"], pa.int64()), *(pa.array(out[c], t) for c, t in kinds.items())],
-                ["doc_id", "rk", "sig", "n", *kinds],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                sigs, sizes, bits, bands, parts = [], [], [], [], []
+                for text in batch.column("text"):
+                    s = shingle_set(text.as_py())
+                    sig = signature(s) if len(s) else None
+                    fresh = sig is not None and sig not in seen  # a recent copy needs no tokens of its own
+                    seen.add(sig)
+                    sigs.append(sig)
+                    sizes.append(len(s))
+                    bits.append(parity_bits(s, LONGS) if fresh else None)
+                    bands.append(min_bands(s, BANDS) if fresh else None)
+                    parts.append(set_parts(s, rank_of) if fresh else None)
+                if len(seen) > _SEEN:
+                    seen.clear()
+                flat = [p for listed in parts if listed is not None for p in listed]
+                fields = [
+                    pa.array([p[0] for p in flat], pa.int64()),
+                    pa.array([p[1] for p in flat], pa.int64()),
+                    _lists([p[2] for p in flat]),
+                    _lists([p[3] for p in flat]),
+                ]
+                ends = pa.array(np.cumsum([0, *(len(x or ()) for x in parts)]), pa.int32())
+                listed = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, ["part", "size", "bits", "prefix"]), mask=pa.array([x is None for x in parts], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("rk"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), _lists(bits), _lists(bands), listed],
+                    ["doc_id", "rk", "sig", "n", "bits", "bands", "parts"],
+                )
 
     return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(sets, pa.list_(pa.int64()))], ["sig", "tokens"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, _ROWS):
+            batch = whole.slice(start, _ROWS)
+            sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), _lists(sets)], ["sig", "tokens"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,6 +226,10 @@ def _leader_pairs(features: DataFrame) -> DataFrame:
     return met.where(fits).select(F.col("sig").alias("a"), "b").distinct()
 
 
+#: Share of the summed sizes of two sets by which they may differ and still link.
+_SEVENTH = (100 - LEAST) / (100 + LEAST)
+
+
 def _apart(x: str, y: str) -> Column:
     """Elements by which two sets differ at least: the bits in which their parity sketches do."""
     return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(LONGS)), F.lit(0))
@@ -210,6 +240,37 @@ def _level(n: Column) -> Column:
     return F.when(n < 2 * PART, 0).otherwise(F.length(F.bin(F.floor(n / PART))) - 1)
 
 
+def _near_pairs(features: DataFrame, groups: DataFrame, round_: int) -> DataFrame:
+    """Pairs of sets of different groups that are likely to link, at most ``NEAREST`` per set: linear in the documents.
+
+    Each key has a few leaders, drawn anew in each round; a set tries those of its keys that lie nearest by sketch.
+    """
+    grouped = groups.select(F.col("v").alias("sig"), "root")
+    sets = features.where(F.col("bands").isNotNull()).select("sig", "n", "bits", "bands").dropDuplicates(["sig"]).join(grouped, "sig", "left")
+    sets = sets.select("sig", "n", "bits", "bands", F.coalesce("root", "sig").alias("g"))
+    keyed = sets.select("sig", "n", "g", F.posexplode("bands").alias("band", "key"))
+    drawn = [F.xxhash64("sig", F.lit(LEADERS * round_ + i)) for i in range(LEADERS)]
+    led = keyed.groupBy("band", "key").agg(
+        F.array_distinct(F.array(*[F.min_by("sig", d) for d in drawn])).alias("leads"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high")
+    tried = keyed.join(led, ["band", "key"]).select("sig", "n", "g", F.explode("leads").alias("b")).where("sig <> b").distinct()
+    lead = sets.select(F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("g").alias("bg"), F.col("bits").alias("bbits"))
+    fits = F.expr(f"g <> bg AND 100 * least(n, bn) >= {LEAST} * greatest(n, bn)")
+    tried = tried.join(lead, "b").where(fits).join(sets.select("sig", "bits"), "sig").withColumn("apart", _apart("bits", "bbits"))
+    tried = tried.where(F.col("apart") <= (F.col("n") + F.col("bn")) * _SEVENTH)
+    best = tried.groupBy("sig").agg(F.slice(F.array_sort(F.collect_list(F.struct("apart", "b"))), 1, NEAREST).alias("best"))
+    return best.select(F.col("sig").alias("a"), F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups (v, root) after further links, found by the components of the groups alone."""
+    known = groups.select(F.col("v").alias("_v"), F.col("root").alias("_r"))
+    ends = links.select("a", "b").join(known, F.col("a") == F.col("_v"), "left").select(F.coalesce("_r", "a").alias("a"), "b")
+    ends = ends.join(known, F.col("b") == F.col("_v"), "left").select("a", F.coalesce("_r", "b").alias("b"))
+    moved = components(ends).select(F.col("v").alias("_m"), F.col("root").alias("_to"))
+    kept = groups.join(moved, F.col("root") == F.col("_m"), "full")
+    return cut(kept.select(F.coalesce("v", "_m").alias("v"), F.coalesce("_to", "root").alias("root")).distinct())
+
+
 def _open_pairs(features: DataFrame, group_of: DataFrame) -> DataFrame:
     """Pairs of sets from different groups that may still link, by the token-group matrix.
 
@@ -219,7 +280,6 @@ def _open_pairs(features: DataFrame, group_of: DataFrame) -> DataFrame:
     the radii of their groups, must not differ by more than linked parts may (a seventh of their sizes). Only
     groups that qualify are opened, and their members meet under the same bound.
     """
-    seventh = (100 - LEAST) / (100 + LEAST)
     listed = features.where(F.col("parts").isNotNull()).select("sig", _level(F.col("n")).alias("level"), F.explode("parts").alias("x"))
     grouped = group_of.select(F.col("v").alias("sig"), "root")
     own = F.shiftright("x.part", 40) == F.col("level")
@@ -239,7 +299,7 @@ def _open_pairs(features: DataFrame, group_of: DataFrame) -> DataFrame:
     q, m = matrix.alias("q"), matrix.alias("m")
     smaller = F.expr("q.token = m.token AND q.part = m.part AND (q.held < m.held OR (q.held = m.held AND q.g < m.g))")
     sizes = F.expr(f"100 * m.high >= {LEAST} * q.low AND 100 * q.high >= {LEAST} * m.low")
-    near = _apart("q.lead", "m.lead") - F.col("q.radius") - F.col("m.radius") <= (F.col("q.high") + F.col("m.high")) * seventh
+    near = _apart("q.lead", "m.lead") - F.col("q.radius") - F.col("m.radius") <= (F.col("q.high") + F.col("m.high")) * _SEVENTH
     # two sets are compared by the parts of the larger one, so one side must have them as its own
     sizes = sizes & (F.col("q.own") | F.col("m.own"))
     need = F.least(F.lit(OVERLAP), F.ceil(LEAST * F.least("ql", "ml") / 100))
@@ -253,7 +313,7 @@ def _open_pairs(features: DataFrame, group_of: DataFrame) -> DataFrame:
     x = open_.join(parts.withColumnRenamed("g", "qg"), ["qg", "part"]).alias("x")
     y = parts.alias("y")
     fits = F.expr(f"x.mg = y.g AND x.part = y.part AND (x.own OR y.own) AND 100 * least(x.size, y.size) >= {LEAST} * greatest(x.size, y.size)")
-    close = _apart("x.bits", "y.bits") <= (F.col("x.size") + F.col("y.size")) * seventh
+    close = _apart("x.bits", "y.bits") <= (F.col("x.size") + F.col("y.size")) * _SEVENTH
     return cut(x.join(y, fits & close).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct())
 
 
@@ -261,22 +321,23 @@ def _classes(docs: DataFrame, bound: int = BROADCAST_ROWS, count: bool = False)
     """near_duplicates with root (smallest signature of the class, null without words); links only if asked to ``count``."""
     source = docs.select("doc_id", "text")
     frequent = frequent_tokens(source)
-    schema = f"doc_id long, rk long, sig long, n long, bands array<long>, parts {_PARTS}"
+    schema = f"doc_id long, rk long, sig long, n long, bits array<long>, bands array<long>, parts {_PARTS}"
     keyed = source.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text")
     features = cut(keyed.mapInArrow(_features(frequent), schema))
     classes = cut(features.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk")))
-    first = _verified(source, classes, cut(_leader_pairs(features)), bound)
-    groups = cut(components(first))
-    second = _verified(source, classes, _open_pairs(features, groups), bound)
-    links = first.unionByName(second)
-    reached = components(links)
-    # pairs of different groups may come in both directions, from different parts
-    across = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ends = across.select(F.col("a").alias("v")).unionByName(across.select(F.col("b").alias("v"))).select("v", F.lit(1).cast("long").alias("links"))
+    groups = cut(components(_verified(source, classes, cut(_leader_pairs(features)), bound)))
+    for round_ in range(ROUNDS):
+        links = _verified(source, classes, cut(_near_pairs(features, groups, round_)), bound)
+        if links.isEmpty():
+            break
+        groups = _merged(groups, links)
+    # what is left to open are sets whose nearest neighbours outside their group do not link
+    reached = _merged(groups, _verified(source, classes, _open_pairs(features, groups), bound))
+    named = classes.join(reached.withColumnRenamed("v", "sig"), "sig", "left")
     if count:
-        ends = ends.unionByName(_group_links(source, classes, groups, bound))
-    ends = ends.groupBy("v").agg(F.sum("links").alias("links"))
-    named = classes.join(reached.withColumnRenamed("v", "sig"), "sig", "left").join(ends.withColumnRenamed("v", "sig"), "sig", "left")
+        named = named.join(_group_links(source, classes, reached, bound).groupBy("v").agg(F.sum("links").alias("links")).withColumnRenamed("v", "sig"), "sig", "left")
+    else:
+        named = named.withColumn("links", F.lit(None).cast("long"))
     named = named.withColumn("root", F.coalesce("root", "sig"))
     ids = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
     of_class = cut(named.join(ids, "root").select("sig", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links")))
@@ -296,10 +357,10 @@ def near_duplicates(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
 
     Documents link at a Jaccard similarity of 0.75 of their sets of five-word shingles; component_id is the smallest
     doc_id reachable. Equal sets become one class first. Then similar sets are grouped: each is compared with the
-    leaders of the min-hash keys it shares, and verified links make the groups. The exact step finds every pair of
-    sets of different groups that may link through the token-group matrix, so no link between groups is lost; links
-    inside a group do not change it. ``links``: number of different sets to which the document's set links, in its group
-    (all pairs, in blocks of members) and in others.
+    leaders of the min-hash keys it shares, then in rounds with its nearest neighbours outside its group, and verified links
+    make the groups. The exact step finds every pair of sets of different groups that may link through the token-group
+    matrix, so no link between groups is lost; links inside a group do not change it. ``links``: number of different sets
+    to which the document's set links; they all lie in its class and are counted in blocks of its members.
 
     Null texts and texts without words have an empty set and link with nothing; a null doc_id never becomes a
     component's id unless it has no other; repeated rows are equal sets; an empty table gives an empty table. Only
@@ -311,14 +372,16 @@ def near_duplicates(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with one row of every class of near duplicates: that of the smallest doc_id, then content key.
 
-    Null ids come last. Documents without words link with nothing and all stay.
+    Null ids come last. Documents without words link with nothing and all stay. Columns may have any name; an empty table
+    stays empty. Rows alike in doc_id and text are told apart from others by 64 bits, so among n rows about n * n / 2**65
+    pairs are taken for one.
     """
     found = _classes(docs)
     # classes are told apart by their root: ids may be null or repeated in several of them
     worded = found.where("sig IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).getField("rk").alias("rk"))
     empty = found.where("sig IS NULL").select("rk").distinct()
-    keep = cut(worded.select("rk").unionByName(empty).distinct().withColumnRenamed("rk", "_rk"))
-    rows = docs.withColumn("_rk", row_key()).join(keep, "_rk", "left_semi")
-    has_words = F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D]+", " "))) > 0
-    once = rows.where(has_words).dropDuplicates(["_rk"])
-    return once.unionByName(rows.where(~has_words)).drop("_rk")
+    keep = cut(worded.select("rk").unionByName(empty).distinct())
+    rows = packed(docs).join(keep, "rk", "left_semi")
+    has_words = F.length(F.trim(F.regexp_replace(F.coalesce("row.text", F.lit("")), r"[\x09-\x0D]+", " "))) > 0
+    once = rows.where(has_words).dropDuplicates(["rk"]).unionByName(rows.where(~has_words))
+    return once.select(*unpacked(once, docs.columns))

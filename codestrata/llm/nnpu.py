@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import held_out, row_key, uniform
+from .common import held_out, row_key, small_batches, uniform
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of words that are features beside the words themselves: stems carry over to unseen endings.
@@ -137,14 +137,14 @@ def _scorer(weights: dict[str, float]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits: dict[str, tuple[str, ...]] = {}
-        for batch in batches:
+        for batch in small_batches(batches):
             scores = np.empty(batch.num_rows)
             for i, text in enumerate(batch.column("text")):
                 found: set[str] = set()
                 for word in set(_WORD.findall((text.as_py() or "").lower())):
                     own = hits.get(word)
                     if own is None:
-                        if len(hits) > 200_000:
+                        if len(hits) > 100_000:
                             hits.clear()
                         own = hits[word] = tuple(f for f in features_of(word) if f in known)
                     found.update(own)
@@ -160,7 +160,7 @@ def _keeper(weights: dict[str, float]):
     score = _scorer(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             for scored in score(iter([batch.select(["text"])])):
                 yield batch.filter(pa.array(scored.column("score").to_numpy() < 0.5))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import WORD, lookup, uniform
+from .common import WORD, lookup, packed, row_key, uniform, unpacked
 
 #: Buckets of one refinement of the cut-off search; two refinements leave one row in sixteen million.
 FINE = 4096
@@ -92,7 +92,7 @@ def pareto_mix(docs: DataFrame, cap: int = 3, seed: int = 7, bound: int = 200_00
     source is sorted as a whole: the cut-off rank is found by two histograms of 4096 buckets, and only the last bucket
     is put in order.
 
-    Returns doc_id, size, source, source_size, target, taken, certain (whole copies), drawn (words of the drawn copy).
+    Returns doc_id, rk (content key), size, source, source_size, target, taken, certain (whole copies), drawn (words of the drawn copy).
     Null text has size 0 and takes 0 words; a null source is a source of its own, last in order.  Repeated rows are
     documents of their own with equal ranks, of which the sample may take some.  An empty table gives an empty table.  Only doc_id,
     text and source are read, so other columns may have any name.
@@ -100,6 +100,7 @@ def pareto_mix(docs: DataFrame, cap: int = 3, seed: int = 7, bound: int = 200_00
     sized = cut(
         docs.select(
             "doc_id",
+            row_key().alias("rk"),
             "source",
             F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
             uniform(F.lit(seed), F.col("doc_id"), F.col("text")).alias("u"),
@@ -125,7 +126,7 @@ def pareto_mix(docs: DataFrame, cap: int = 3, seed: int = 7, bound: int = 200_00
         .withColumn("place", F.when((F.col("odds_p") > 0) & (F.col("size") > 0), odds / (1 + odds)))
         .withColumn("b1", F.floor(F.col("place") * FINE))
         .withColumn("b2", F.floor((F.col("place") * FINE - F.col("b1")) * FINE))
-        .select("doc_id", "source", "size", "u", "target", "source_size", "certain", "place", "b1", "b2", "left_words")
+        .select("doc_id", "rk", "source", "size", "u", "target", "source_size", "certain", "place", "b1", "b2", "left_words")
     )
     first = cut(_crossing(ranked.where("place IS NOT NULL"), F.col("b1")).coalesce(1))
     placed = _with_crossing(ranked, first, ("at1", "left1"))
@@ -140,6 +141,7 @@ def pareto_mix(docs: DataFrame, cap: int = 3, seed: int = 7, bound: int = 200_00
     border = placed.where(last).withColumn("extra", F.least(F.col("size"), F.greatest(room, F.lit(0))))
     return clear.unionByName(border).select(
         "doc_id",
+        "rk",
         "size",
         "source",
         "source_size",
@@ -148,3 +150,28 @@ def pareto_mix(docs: DataFrame, cap: int = 3, seed: int = 7, bound: int = 200_00
         "certain",
         F.col("extra").cast("long").alias("drawn"),
     )
+
+
+#: What mixed_corpus adds to the columns of its input.
+MIX = ("size", "source_size", "target", "taken", "certain", "drawn")
+
+
+def mixed_corpus(docs: DataFrame, **mix: int) -> DataFrame:
+    """The documents with all their columns, texts included, and what the mix takes of each.
+
+    Adds size, source_size, target, taken (words), certain (whole copies) and drawn (words of the drawn copy, all of the text
+    or, on the border, its first ones). Input columns of these names are replaced. Repeated rows get a share of their
+    own each; documents without words are taken 0 times; an empty table stays empty.
+    """
+    taken = pareto_mix(docs, **mix)
+    names = [c for c in docs.columns if c not in MIX]
+    share = F.struct(*MIX).alias("share")
+    # rows alike in id and text are numbered on both sides; texts without words need no number, as they all share alike
+    nth = F.row_number().over(Window.partitionBy("rk").orderBy("rk"))
+    shares = taken.where("size > 0").select("rk", share)
+    shares = shares.withColumn("nth", F.row_number().over(Window.partitionBy("rk").orderBy(F.desc("share.taken"))))
+    rows = packed(docs).withColumn("words", F.coalesce(F.col("row.text"), F.lit("")).rlike(WORD))
+    full = rows.where("words").withColumn("nth", nth).join(shares, ["rk", "nth"])
+    empty = rows.where(~F.col("words")).join(taken.where("size = 0").groupBy("rk").agg(F.min(share).alias("share")), "rk")
+    both = full.select("row", "share").unionByName(empty.select("row", "share"))
+    return both.select(*unpacked(both, names), *(both["share"].getField(c).alias(c) for c in MIX))

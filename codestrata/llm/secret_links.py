@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import row_key
+from .common import packed, row_key
 
 # The base patterns and least lengths of the scan's contract, in the order in which kinds are listed.
 ASSIGN = (
@@ -165,14 +165,13 @@ def secret_scan(docs: DataFrame, reach: int = 200) -> DataFrame:
 def redact_secrets(docs: DataFrame, reach: int = 200, mark: str = "[secret]") -> DataFrame:
     """The same rows with every reported span replaced by ``mark``; overlapping spans become one.
 
-    Rows without spans keep their text as it is, null texts included.
+    Rows without spans keep their text as it is, null texts included; an empty table stays empty. Columns may have any name.
     """
     spans = secret_spans(docs, reach)
-    keyed = docs.withColumn("_key", row_key()).alias("d")
-    joined = keyed.join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id AND d._key = s.key"), "left")
+    joined = packed(docs).alias("d").join(spans.alias("s"), F.expr("d.row.doc_id <=> s.doc_id AND d.rk = s.key"), "left")
     # a span's piece of text ahead reaches from the furthest end before it; spans inside an earlier one add nothing
     ends = lambda upto: F.aggregate(F.slice(F.col("spans"), 1, upto), F.lit(0), lambda m, s: F.greatest(m, s["end"]))
-    text = F.col("d.text")
+    text = F.col("d.row.text")
     ahead = F.transform(
         F.col("spans"),
         lambda s, i: F.when(i == 0, F.concat(F.substring(text, F.lit(1), s["start"]), F.lit(mark)))
@@ -181,4 +180,5 @@ def redact_secrets(docs: DataFrame, reach: int = 200, mark: str = "[secret]") ->
     )
     last = ends(F.size(F.col("spans")))
     new = F.concat(F.array_join(ahead, ""), F.substring(text, last + 1, F.length(text)))
-    return joined.select(*[(F.when(F.col("spans").isNull(), text).otherwise(new) if c == "text" else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+    masked = F.when(F.col("spans").isNull(), text).otherwise(new)
+    return joined.select(*[(masked if c == "text" else F.col("d.row").getField(c)).alias(c) for c in docs.columns])
