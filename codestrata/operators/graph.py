@@ -101,14 +101,98 @@ def relax_depth(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, cap: int =
     return nodes.join(known, "node", "left").select("node", F.coalesce("depth", "default_depth").alias("depth"))
 
 
+#: Share of the nodes that contraction must remove to be tried; below it the other ways are quicker. Results do not hang on it.
+CONTRACT = 0.25
+
+
+def _single_in(links: DataFrame) -> tuple[DataFrame, list[DataFrame]] | None:
+    """Nodes with one predecessor, each with the root of its chain, found by pointer doubling.
+
+    ``links``: ``src, dst, w`` with one row per pair. Yields v, root, dist (summed weights from the root), cyclic (v lies on a cycle
+    of such nodes, whose smallest is the root then), and the jumps of 1, 2, 4 ... steps (v, up). None if too few nodes qualify.
+    """
+    tree = cut(links.groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("_n"), F.min("src").alias("up"), F.min("w").alias("dist")).where("_n = 1").drop("_n"))
+    size = tree.count()
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().count()
+    if not size or size < CONTRACT * nodes:
+        return None
+    jump, jumps, steps = tree.withColumn("low", F.col("v")), [tree.select("v", "up")], 1
+    while True:
+        ahead = jump.select(F.col("v").alias("up"), F.col("up").alias("_up"), F.col("dist").alias("_dist"), F.col("low").alias("_low"))
+        jump = cut(jump.join(ahead, "up", "left").select(
+            "v", F.coalesce("_up", "up").alias("up"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
+            F.least("low", F.coalesce("_low", "low")).alias("low"), F.col("_up").isNotNull().alias("_moved")))
+        steps *= 2
+        if steps > 2 * size or jump.where("_moved").isEmpty():
+            break
+        jumps.append(cut(jump.where("_moved").select("v", "up")))
+    # after so many steps what has not met a root is on a cycle or behind one, and all it points to lies on the cycle
+    on = jump.join(tree.select(F.col("v").alias("up")), "up", "left_semi").select(F.col("up").alias("_c")).distinct()
+    lows = cut(on.join(jump.select(F.col("v").alias("_c"), F.col("low").alias("_rep")), "_c"))
+    found = jump.join(lows, F.col("up") == F.col("_c"), "left").select("v", F.coalesce("_rep", "up").alias("root"), "dist")
+    marks = lows.select(F.col("_c").alias("v"), F.lit(True).alias("_on"))
+    return cut(found.join(marks, "v", "left").select("v", "root", "dist", F.coalesce("_on", F.lit(False)).alias("cyclic"))), jumps
+
+
+def _moved_ends(links: DataFrame, chains: DataFrame) -> DataFrame:
+    """Links into nodes of several predecessors, from the roots of their sources: src, at (the old source), dst, w."""
+    rest = links.join(chains.select(F.col("v").alias("dst")), "dst", "left_anti")
+    ends = chains.select(F.col("v").alias("src"), "root", "dist")
+    return rest.join(ends, "src", "left").select(
+        F.coalesce("root", "src").alias("src"), F.col("src").alias("at"), "dst", (F.col("w") + F.coalesce("dist", F.lit(0))).alias("w"))
+
+
+def _components(links: DataFrame, tries: int = 2) -> DataFrame:
+    """node, component for every node of ``links`` (``src, dst``); components are named by any of their nodes.
+
+    A node with a single predecessor goes where that one goes, so chains and trees of them are contracted to their roots; turned
+    round, the same holds for single successors. Such a node belongs to the component of its root if one that hangs on it
+    leads back there. Only a core that no longer shrinks is searched hop by hop.
+    """
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    if links.isEmpty():
+        return nodes.select("node", F.col("node").alias("component"))
+    found = _single_in(links.withColumn("w", F.lit(1)))
+    if found is None:
+        turned = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return _components(turned, tries - 1) if tries > 1 else _coloured(links)
+    chains, jumps = found
+    rest = cut(_moved_ends(links.withColumn("w", F.lit(1)), chains))
+    core = cut(rest.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct())
+    inner = cut(_components(core)) if not core.isEmpty() else None
+    named = chains.select("v", "root", "cyclic", F.col("root").alias("_to"))
+    ends = rest.select("src", "at", "dst", F.col("src").alias("_a"), F.col("dst").alias("_b"))
+    if inner is not None:
+        comp = inner.withColumnRenamed("component", "_c")
+        named = named.join(comp.withColumnRenamed("node", "root"), "root", "left").withColumn("_to", F.coalesce("_c", "root")).drop("_c")
+        ends = ends.join(comp.withColumnRenamed("node", "src"), "src", "left").withColumn("_a", F.coalesce("_c", "src")).drop("_c")
+        ends = ends.join(comp.withColumnRenamed("node", "dst"), "dst", "left").withColumn("_b", F.coalesce("_c", "dst")).drop("_c")
+    back = cut(ends.where("_a = _b").select(F.col("at").alias("v")).distinct().join(chains.select("v"), "v", "left_semi"))
+    if not back.isEmpty():
+        for jump in jumps:  # whoever leads back takes along all that it hangs on: 1, 2, 4 ... steps up
+            back = cut(back.unionByName(back.join(jump, "v").select(F.col("up").alias("v"))).distinct())
+    inside = named.join(back.withColumn("_in", F.lit(True)), "v", "left")
+    part = inside.select(F.col("v").alias("node"), F.when(F.col("cyclic") | F.coalesce("_in", F.lit(False)), F.col("_to")).otherwise(F.col("v")).alias("component"))
+    roots = nodes.join(part.select("node"), "node", "left_anti")
+    if inner is None:
+        roots = roots.select("node", F.col("node").alias("component"))
+    else:
+        roots = roots.join(inner, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return part.unionByName(roots)
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """Component id (its smallest node) of every node on a cycle or trivially of itself.
+    """Component id (its smallest node) of every node, by contraction of chains and colouring of the core."""
+    comp = cut(_components(cut(_links(edges).where("src <> dst").select("src", "dst"))))
+    names = comp.groupBy("component").agg(F.min("node").alias("_name"))
+    return comp.join(names, "component").select("node", F.col("_name").alias("component"))
 
-    Trimming and colouring: nodes without a live predecessor or successor are alone; the rest propagate their smallest
-    ancestor until nothing moves, and the nodes of a colour that reach its root backwards inside the colour form one
-    component.  A colour is an ancestor itself, so each round also takes over the colour of one's colour: distances double.
+
+def _coloured(links: DataFrame) -> DataFrame:
+    """Components by trimming and colouring: nodes without a live predecessor or successor are alone; the rest propagate
+    their smallest ancestor until nothing moves, and the nodes of a colour that reach its root backwards inside the colour
+    form one component.  A colour is an ancestor itself, so each round also takes over the colour of one's colour.
     """
-    links = cut(_links(edges).where("src <> dst"))
     nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     done: DataFrame | None = None
     live = cut(nodes)
@@ -173,6 +257,37 @@ def cycle_edges(edges: DataFrame, components: DataFrame | None = None) -> DataFr
         "is_cycle", (F.col("src") == F.col("dst")) | F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).drop("_a", "_b")
 
 
+def longest_paths(nodes: DataFrame, dag: DataFrame) -> DataFrame:
+    """node, depth: most steps from a node without predecessors, on a graph without cycles, with one row per node.
+
+    Chains of single predecessors are contracted by doubling, their lengths kept as weights, for as long as that removes
+    enough nodes; what is left is relaxed from the nodes that have changed, and the chains are laid out again behind it.
+    """
+    links, laid = cut(dag.select("src", "dst", F.lit(1).alias("w"))), []
+    while not links.isEmpty():
+        found = _single_in(links)
+        if found is None:
+            break
+        laid.append(found[0])
+        links = cut(_moved_ends(links, found[0]).groupBy("src", "dst").agg(F.max("w").alias("w")))
+    known = nodes.select("node", F.lit(0).alias("depth"))
+    for chains in laid:
+        known = known.join(chains.select(F.col("v").alias("node")), "node", "left_anti")
+    known = cut(known)
+    changed = known.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    while not links.isEmpty():
+        pushed = links.join(changed.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.col("depth") + F.col("w")).alias("_d"))
+        known = cut(known.join(pushed, "node", "left").select("node", F.greatest("depth", F.coalesce("_d", "depth")).alias("depth"), (F.col("_d") > F.col("depth")).alias("_up")))
+        changed = known.where("_up").select("node", "depth")
+        known = known.select("node", "depth")
+        if changed.isEmpty():
+            break
+    for chains in reversed(laid):
+        behind = chains.join(known.withColumnRenamed("node", "root"), "root").select(F.col("v").alias("node"), (F.col("depth") + F.col("dist")).alias("depth"))
+        known = cut(known.unionByName(behind))
+    return known
+
+
 def topological_depth(edges: DataFrame, max_depth: int | None = None, scaled_to: int | None = None) -> DataFrame:
     """Longest-path depth on the graph of strong components.
 
@@ -183,20 +298,12 @@ def topological_depth(edges: DataFrame, max_depth: int | None = None, scaled_to:
     right = comp.select(F.col("node").alias("dst"), F.col("component").alias("_b"))
     dag = cut(edges.select("src", "dst").join(left, "src").join(right, "dst").where("_a <> _b").select(
         F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct())
-    level, depth = cut(comp.select(F.col("component").alias("node")).distinct()), 0
-    out = level.select("node", F.lit(0).alias("depth"))
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        # everything one step behind the previous level lies at least this deep
-        level = cut(dag.join(level.withColumnRenamed("node", "src"), "src", "left_semi").select(
-            F.col("dst").alias("node")).distinct())
-        if level.isEmpty():
-            break
-        out = out.unionByName(level.select("node", F.lit(depth).alias("depth")))
-    deepest = out.groupBy("node").agg(F.max("depth").alias("depth"))
-    result = comp.join(deepest.withColumnRenamed("node", "component"), "component").select("node", "depth")
+    deepest = longest_paths(comp.select(F.col("component").alias("node")).distinct(), dag)
+    if max_depth is not None:
+        deepest = deepest.withColumn("depth", F.least("depth", F.lit(max_depth)))
+    result = comp.join(deepest.withColumnRenamed("node", "component"), "component").select("node", F.col("depth").cast("int").alias("depth"))
     if scaled_to:
-        top = max(1, out.agg(F.max("depth")).first()[0] or 1)
+        top = max(1, result.agg(F.max("depth")).first()[0] or 1)
         if top > scaled_to:
             result = result.withColumn("depth", F.floor(F.col("depth") * F.lit(scaled_to / top) + 0.5).cast("int"))
     return result
