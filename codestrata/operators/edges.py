@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """In and out degree of every node that has an edge; one shuffle, partially aggregated."""
@@ -68,21 +70,32 @@ def unresolved_calls(functions: DataFrame) -> DataFrame:
     return call_sites(functions).join(names, ["project_id", "callee"], "left_anti")
 
 
-def merge_edges(edges: DataFrame, keys: list[str], order: Column | str = "ord") -> DataFrame:
+def merge_edges(edges: DataFrame, keys: list[str], order: Column | str = "ord", parts: int | None = None) -> DataFrame:
     """Parallel edges folded in input order.
 
     The fold takes the larger volume and adds 4 per merge, capped at 100 after every step.  Because each step adds the
-    same 4, the value after all steps is ``max_i(volume_i + 4 * merges after i)`` capped at 100 (the first edge is
-    followed by n-1 merges, the i-th by n-i+1), so it needs the rank from the end only and no ordered list.
+    same 4, a run of edges folds to a pair (greatest lift, number of edges), and such pairs combine in order. Edges are dealt
+    out by range of key and order, in ``parts`` ranges if given, so a hot pair of nodes is many runs; only the pairs of
+    runs meet per key.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rank = F.row_number().over(w)
-    steps = F.when(rank == 1, n - 1).otherwise(n - rank + 1)
-    lifted = edges.withColumn("_v", F.col("volume") + 4 * steps)
-    return lifted.groupBy(*keys).agg(
+    by = [F.col(k) for k in keys]
+    ordered = edges.withColumn("_o", F.col(order) if isinstance(order, str) else order)
+    ranged = ordered.repartitionByRange(parts, *by, "_o") if parts else ordered.repartitionByRange(*by, "_o")
+    ranged = cut(ranged.select(*by, "_o", "volume", "primary", "confidence", "relation_count", F.spark_partition_id().alias("_p")))
+    run = Window.partitionBy(*keys, "_p")
+    rank, n = F.row_number().over(run.orderBy("_o")), F.count(F.lit(1)).over(run)
+    lifted = ranged.withColumn("_lift", F.col("volume") + 4 * (n - rank + 1)).withColumn("_head", F.when(rank == 1, 4).otherwise(0))
+    runs = lifted.groupBy(*keys, "_p").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_lift").alias("_lift"), F.max(F.col("_lift") - F.col("_head")).alias("_first"), F.max("volume").alias("_volume"),
+        F.bool_or("primary").alias("primary"), F.max("confidence").alias("confidence"), F.sum("relation_count").alias("relation_count"))
+    # the first edge of all is no merge, so its run lifts it by one step less
+    behind = Window.partitionBy(*keys).orderBy(F.desc("_p"))
+    after = F.coalesce(F.sum("_n").over(behind.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("_p")) == 1
+    runs = runs.withColumn("_v", F.when(first, F.col("_first")).otherwise(F.col("_lift")) + 4 * after)
+    return runs.groupBy(*keys).agg(
         F.bool_or("primary").alias("primary"),
-        F.when(F.count(F.lit(1)) == 1, F.max("volume")).otherwise(F.least(F.lit(100), F.max("_v"))).alias("volume"),
+        F.when(F.sum("_n") == 1, F.max("_volume")).otherwise(F.least(F.lit(100), F.max("_v"))).alias("volume"),
         F.max("confidence").alias("confidence"),
         F.sum("relation_count").alias("relation_count"),
     )
