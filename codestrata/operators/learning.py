@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vectors as V
 from ..functions.common import lookup, round_half_up
+from ..session import cut
 from .windows import first_per, top_n, validation_split
 
 # Dimensions and classes of the feature model.
@@ -22,6 +23,7 @@ BASE_TRUST = {
 }
 MARGIN = 0.42
 MAX_LABELS, MAX_ANCHORS = 256, 1024
+HOT_TOKEN_ROWS, HOT_TOKENS = 200_000, 2_000
 
 
 def dim(name: str, dims: str = "dims") -> Column:
@@ -219,25 +221,42 @@ def match_labels(vectors: DataFrame, labels: DataFrame, threshold: float = 0.18)
 
     ``vectors``: ``vec_id, tokens``; ``labels``: ``label_id, target, tokens`` (and ``boost``).  A label with a target fits
     that vector alone.  The others need ``overlap / min(tokens, 8) + boost >= threshold``.  A label of n tokens that
-    needs t shared ones must share one of its n-t+1 rarest tokens, so only those are joined; frequent tokens never
-    become join keys unless the label has nothing rarer.  The exact overlap is computed on the candidates.
+    needs t shared ones must share one of its n-t+1 rarest tokens, so only those are join keys and only their rows are
+    counted per (label, vector); the t-1 commonest ones are looked up afterwards, for the pairs found, by (vector, token).
+    No token list travels with a pair, and a token of very many vectors is split into parts of bounded size.
     """
     exact = labels.where("target IS NOT NULL").select("label_id", F.col("target").alias("vec_id"), F.lit(1.0).alias("match_score"))
     exact = exact.join(vectors.select("vec_id"), "vec_id", "left_semi")
-    free = labels.where("target IS NULL").withColumn("_n", F.size("tokens")).where("_n > 0")
+    free = labels.where("target IS NULL").withColumn("tokens", F.array_distinct("tokens")).withColumn("_n", F.size("tokens")).where("_n > 0")
     need = F.greatest(F.lit(1), F.ceil((F.lit(threshold) - F.col("boost")) * F.least(F.col("_n"), F.lit(8)) - 1e-9))
-    frequency = vectors.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_f"))
+    held = vectors.select("vec_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    frequency = cut(held.groupBy("token").agg(F.count(F.lit(1)).alias("_f")))
+    # at most HOT_TOKENS tokens can be above this size, as the sizes add up to the total
+    part = max(HOT_TOKEN_ROWS, (frequency.agg(F.sum("_f")).first()[0] or 0) // HOT_TOKENS)
+    parts = F.ceil(F.col("_f") / part).cast("int")
+    hot = frequency.where(F.col("_f") > part).select("token", parts.alias("_parts"))
     spread = free.withColumn("_need", need.cast("int")).select(
-        "label_id", "_need", "_n", F.explode("tokens").alias("token")).join(frequency, "token")
+        "label_id", "_need", "_n", "boost", F.explode("tokens").alias("token")).join(frequency, "token")
     # tokens no vector has cannot match and are the rarest of all; they only lower the number still to be looked at
     seen = spread.groupBy("label_id").agg(
-        F.first("_need").alias("_need"), F.array_sort(F.collect_list(F.struct("_f", "token"))).alias("_t"))
-    keys = seen.where(F.size("_t") >= F.col("_need")).select(
-        "label_id", F.explode(F.transform(F.slice("_t", 1, F.size("_t") - F.col("_need") + 1), lambda x: x["token"])).alias("token"))
-    pairs = keys.join(vectors.select("vec_id", F.explode("tokens").alias("token")), "token").select("label_id", "vec_id").distinct()
-    full = pairs.join(free.select("label_id", F.col("tokens").alias("_lt"), "_n", "boost"), "label_id").join(
-        vectors.select("vec_id", F.col("tokens").alias("_vt")), "vec_id")
-    score = V.clamp01(F.size(F.array_intersect("_lt", "_vt")) / F.least(F.col("_n"), F.lit(8)) + F.col("boost"))
+        *[F.first(c).alias(c) for c in ("_need", "_n", "boost")],
+        F.array_sort(F.collect_list(F.struct("_f", "token", parts.alias("_parts")))).alias("_t")).where(F.size("_t") >= F.col("_need"))
+    rare = F.size("_t") - F.col("_need") + 1
+    keys = seen.select(
+        "label_id", F.named_struct(
+            F.lit("_n"), F.col("_n"), F.lit("boost"), F.col("boost"),
+            F.lit("rest"), F.transform(F.slice("_t", rare + 1, F.col("_need") - 1), lambda x: x["token"])).alias("_l"),
+        F.explode(F.slice("_t", F.lit(1), rare)).alias("_k"))
+    keys = keys.select("label_id", "_l", F.col("_k.token").alias("token"), F.explode(F.sequence(F.lit(0), F.col("_k._parts") - 1)).alias("_part"))
+    placed = held.join(F.broadcast(hot), "token", "left").select(
+        "vec_id", "token", F.pmod(F.xxhash64("vec_id"), F.coalesce("_parts", F.lit(1))).cast("int").alias("_part"))
+    pairs = keys.join(placed, ["token", "_part"]).groupBy("label_id", "vec_id").agg(
+        F.count(F.lit(1)).alias("_shared"), F.first("_l").alias("_l"))
+    more = pairs.select("*", F.explode_outer("_l.rest").alias("token")).join(
+        held.withColumn("_hit", F.lit(1)), ["vec_id", "token"], "left")
+    full = more.groupBy("label_id", "vec_id").agg(
+        (F.first("_shared") + F.coalesce(F.sum("_hit"), F.lit(0))).alias("_shared"), F.first("_l").alias("_l"))
+    score = V.clamp01(F.col("_shared") / F.least(F.col("_l._n"), F.lit(8)) + F.col("_l.boost"))
     fuzzy = full.select("label_id", "vec_id", score.alias("match_score")).where(F.col("match_score") >= threshold)
     return exact.select("label_id", "vec_id", "match_score").unionByName(fuzzy)
 

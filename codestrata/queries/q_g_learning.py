@@ -131,24 +131,24 @@ def function_vectors(b):
 def label_rows(b):
     """Every benchmark text is a teacher without target, every labelled document one with a target."""
     tok = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda t: F.length(t) >= 5))
-    docs = b.documents.where("lang = 'en'").select(F.col("doc_id").alias("vec_id"), tok(F.col("text")).alias("tokens"))
+    docs = b.documents.select(F.col("doc_id").alias("vec_id"), tok(F.col("text")).alias("tokens"))
     free = b.benchmark.select(
-        F.col("item_id").alias("label_id"), F.lit(None).cast("long").alias("target"), F.slice(tok(F.col("text")), 1, 10).alias("tokens"),
+        F.col("item_id").alias("label_id"), F.lit(None).cast("long").alias("target"), tok(F.col("text")).alias("tokens"),
         F.lit(0.0).alias("boost"))
     aimed = b.labels.select((F.col("doc_id") + 1_000_000).alias("label_id"), F.col("doc_id").alias("target"),
                             F.array().cast("array<string>").alias("tokens"), F.lit(0.0).alias("boost"))
     return docs, free.unionByName(aimed)
 
 
-ORACLE_RELATIONS["tvec"] = "SELECT doc_id AS vec_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: length(t) >= 5)) AS tokens FROM documents WHERE lang = 'en'"
+ORACLE_RELATIONS["tvec"] = "SELECT doc_id AS vec_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: length(t) >= 5)) AS tokens FROM documents"
 ORACLE_DEPENDS["tvec"] = ()
 ORACLE_RELATIONS["tlab"] = """
-    SELECT item_id AS label_id, (SELECT list(t ORDER BY i) FROM (SELECT t, min(i) AS i FROM (SELECT unnest(x) AS t, generate_subscripts(x, 1) AS i) GROUP BY t))[1:10] AS tokens FROM (
-        SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: length(t) >= 5) AS x FROM benchmark)"""
+    SELECT item_id AS label_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: length(t) >= 5)) AS tokens FROM benchmark"""
 ORACLE_DEPENDS["tlab"] = ()
 ORACLE_RELATIONS["lmatch"] = """
     SELECT doc_id + 1000000 AS label_id, doc_id AS vec_id, 1.0::DOUBLE AS match_score FROM labels WHERE doc_id IN (SELECT vec_id FROM tvec)
-    UNION ALL SELECT label_id, vec_id, s FROM (SELECT label_id, vec_id, least(1, len(list_intersect(l.tokens, v.tokens)) / CAST(least(len(l.tokens), 8) AS DOUBLE)) AS s FROM tlab l, tvec v) WHERE s >= 0.18"""
+    UNION ALL SELECT label_id, vec_id, s FROM (SELECT label_id, vec_id, least(1, count(*) / CAST(least(n, 8) AS DOUBLE)) AS s
+      FROM (SELECT label_id, len(tokens) AS n, unnest(tokens) AS t FROM tlab) JOIN (SELECT vec_id, unnest(tokens) AS t FROM tvec) USING (t) GROUP BY label_id, vec_id, n) WHERE s >= 0.18"""
 ORACLE_DEPENDS["lmatch"] = ("tvec", "tlab")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import versions
 from .tree import fingerprint
@@ -240,7 +240,7 @@ def pack_state(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
         latest = last_of_pack.groupBy(*keys).agg(F.max("_seq").alias("_latest"))
         marked = last_of_pack.join(latest, keys)
     else:
-        marked = last_of_pack.withColumn("_latest", F.max("_seq").over(Window.partitionBy(F.lit(0))))
+        marked = last_of_pack.withColumn("_latest", last_of_pack.agg(F.max("_seq")).scalar())
     state = lifecycle.join(marked.select(*keys, "pack_id", "_seq", "_latest", "_event"), [*keys, "pack_id"], "left")
     status = (
         F.when(F.col("_seq").isNull(), F.when(F.col("_initial") == "signed", "signed").otherwise("quarantined"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..operators.windows import latest_per
 
@@ -18,27 +19,40 @@ def merge_latest(current: DataFrame, incoming: DataFrame, keys: Sequence[str], o
     return latest_per(both, list(keys), [*order, "_in"]).drop("_in")
 
 
-def upsert_table(incoming: DataFrame, path: str, keys: Sequence[str], order: Sequence[str]) -> None:
-    """Keyed upsert into a parquet table with atomic switch of a version folder.
+def append_rows(rows: DataFrame, path: str, keys: Sequence[str], batch: str, buckets: int = 64) -> None:
+    """Adds the rows of one delivery to an append-only parquet table, spread over key buckets.
 
-    The merged table is written beside the current one; readers follow the ``_current`` marker, so a lost executor or
-    driver leaves the old version in place.
+    A delivery owns its ``_batch`` partitions.  Written again after a failure it replaces them and nothing else, so a
+    repeated delivery leaves the table as it was and a half-written one becomes whole.  No other file is touched.
     """
-    spark = incoming.sparkSession
-    version, current = read_version(spark, path)
-    merged = latest_per(incoming, list(keys), list(order)) if current is None else merge_latest(current, incoming, keys, order)
-    target = f"v{version + 1:09d}"
-    merged.write.mode("overwrite").parquet(f"{path}/{target}")
-    spark.createDataFrame([(target,)], "version string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
-
-
-def read_version(spark, path: str) -> tuple[int, DataFrame | None]:
-    jvm = spark._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_current/_SUCCESS")
-    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
-        return 0, None
-    name = spark.read.text(f"{path}/_current").first()[0]
-    return int(name[1:]), spark.read.parquet(f"{path}/{name}")
+    placed = rows.withColumn("_batch", F.lit(batch)).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    placed.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "_batch", "_bucket").parquet(path)
+
+
+def read_rows(spark: SparkSession, path: str, schema: str | T.StructType, without: str | None = None) -> DataFrame:
+    """Rows of an append-only table; of none if nothing has been written yet.  ``without`` leaves out one delivery."""
+    plain = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    stored = T.StructType([*plain.fields, T.StructField("_batch", T.StringType()), T.StructField("_bucket", T.IntegerType())])
+    try:
+        rows = spark.read.schema(stored).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], stored)
+    kept = rows if without is None else rows.where(F.col("_batch") != without)
+    return kept.drop("_batch", "_bucket")
+
+
+def upsert_table(incoming: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], batch: str) -> None:
+    """Keyed upsert; the newest row per key of a delivery is appended and :func:`read_latest` settles the rest."""
+    append_rows(latest_per(incoming, list(keys), list(order)), path, keys, batch)
+
+
+def read_latest(spark: SparkSession, path: str, schema: str | T.StructType, keys: Sequence[str], order: Sequence[str],
+                without: str | None = None) -> DataFrame:
+    """The newest row per key, by one aggregation over the deliveries."""
+    return latest_per(read_rows(spark, path, schema, without), list(keys), list(order))
 
 
 def replace_snapshot(df: DataFrame, path: str) -> None:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.runs import BATCH_PATTERN
 from ..sources.feeds import pack_state
-from ..sources.sinks import read_version, upsert_table
+from ..sources.sinks import append_rows, read_latest, upsert_table
 from ..sources.traces import parse_lines
 
 BATCH_SIZE = 16
+MAX_FAILURE_RATE = 5
+LATE_MS = 3_600_000
 
 
 def trace_stream(lines: DataFrame, delay: str = "10 minutes", prefix: str = "TRACE ") -> DataFrame:
@@ -38,67 +42,113 @@ def run_statistics_stream(runs: DataFrame, window: str = "1 hour", delay: str =
             F.col("_p")[0].alias("p50_duration_ms"), F.col("_p")[1].alias("p95_duration_ms")))
 
 
-BATCH_SCHEMA = T.StructType([
-    T.StructField("project_id", T.LongType()), T.StructField("batch", T.StringType()), T.StructField("run_count", T.LongType()),
-    T.StructField("passed_count", T.LongType()), T.StructField("complete", T.BooleanType())])
-_STATE = T.StructType([T.StructField("runs", T.LongType()), T.StructField("passed", T.LongType())])
+BATCH_SCHEMA = (
+    "project_id long, batch string, run_count long, passed_count long, failure_rate long, p95_duration_ms long, "
+    "peak_memory_bytes long, strongly_isolated boolean, eligible boolean, complete boolean, revision int")
+BATCH_COLUMNS = [field.split()[0] for field in BATCH_SCHEMA.split(", ")]
+_STATE = "passed long, peak long, last long, isolated boolean, revision int, durations array<long>, counts array<long>"
 
 
-def _count_batch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Two counters per batch are all the state; a batch is emitted when it is full or when it timed out."""
-    runs, passed = state.get if state.exists else (0, 0)
+def _batch_row(key: tuple, passed: int, peak: int, isolated: bool, revision: int, durations: dict[int, int]) -> tuple:
+    runs = sum(durations.values())
+    rank, p95 = math.ceil(runs * 0.95), 0
+    for value, times in sorted(durations.items()):
+        p95, rank = value, rank - times
+        if rank <= 0:
+            break
+    failed = math.floor((runs - passed) / runs * 100 + 0.5)
+    full = runs >= BATCH_SIZE
+    return (*key, runs, passed, failed, p95, peak, isolated, full and failed <= MAX_FAILURE_RATE and isolated, full, revision)
+
+
+def _gate_batch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Counters and a histogram of durations are all the state of a batch, whatever the number of its runs."""
+    passed, peak, last, isolated, revision, values, counts = state.get if state.exists else (0, 0, 0, True, 0, [], [])
+    durations = dict(zip(values, counts))
     if state.hasTimedOut:
         state.remove()
-        yield pd.DataFrame([(key[0], key[1], runs, passed, False)], columns=BATCH_SCHEMA.names)
+        rows = [] if revision else [_batch_row(key, passed, peak, isolated, 1, durations)]
+        yield pd.DataFrame(rows, columns=BATCH_COLUMNS)
         return
-    rows = []
     for frame in frames:
-        for ok in (frame["status"] == "passed").tolist():
-            runs, passed = runs + 1, passed + int(ok)
-            if runs == BATCH_SIZE:
-                rows.append((key[0], key[1], runs, passed, True))
-                runs, passed = 0, 0
-    if runs:
-        state.update((runs, passed))
-        state.setTimeoutDuration(3_600_000)
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(rows, columns=BATCH_SCHEMA.names)
-
-
-def stress_batch_stream(runs: DataFrame) -> DataFrame:
-    """Emits a stress batch as soon as sixteen of its runs have arrived."""
+        passed += int((frame["status"] == "passed").sum())
+        peak, last = max(peak, int(frame["peak_memory_bytes"].max())), max(last, int(frame["ms"].max()))
+        isolated = isolated and bool((frame["sandbox_kind"] != "none").all())
+        for value, times in frame["duration_ms"].value_counts().items():
+            durations[int(value)] = durations.get(int(value), 0) + int(times)
+    rows = []
+    if sum(durations.values()) >= BATCH_SIZE:
+        revision += 1
+        rows.append(_batch_row(key, passed, peak, isolated, revision, durations))
+    state.update((passed, peak, last, isolated, revision, list(durations), list(durations.values())))
+    state.setTimeoutTimestamp(max(last + LATE_MS, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(rows, columns=BATCH_COLUMNS)
+
+
+def stress_batch_stream(runs: DataFrame, delay: str = "2 hours") -> DataFrame:
+    """A stress batch with its training gate, emitted as soon as sixteen of its runs have arrived.
+
+    The gate asks for sixteen runs, at most 5 % of failures and isolation of every run, as :func:`stress_batches` does.
+    Late runs of an emitted batch emit it anew with the next ``revision``; the highest one counts.  All times are event
+    times (``ts``), so a replay gives the same rows: a batch without a run for an hour past the watermark is forgotten,
+    and emitted as not complete if it never filled up; runs later than ``delay`` are dropped by the watermark.  Missing
+    figures count as 0, a missing sandbox as none.
+    """
     batch = F.regexp_extract("sample_id", BATCH_PATTERN, 1)
-    stress = runs.where((F.col("experiment_kind") == "stress") & (batch != "")).select("project_id", batch.alias("batch"), "status")
+    stress = runs.withWatermark("ts", delay).where((F.col("experiment_kind") == "stress") & (batch != "")).select(
+        "ts", F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("ms"),
+        F.col("project_id").cast("long").alias("project_id"), batch.alias("batch"), F.coalesce("status", F.lit("")).alias("status"),
+        *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("duration_ms", "peak_memory_bytes")],
+        F.coalesce("sandbox_kind", F.lit("none")).alias("sandbox_kind"))
     return stress.groupBy("project_id", "batch").applyInPandasWithState(
-        _count_batch, BATCH_SCHEMA, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _gate_batch, BATCH_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _delivery(checkpoint: str, batch_id: int) -> str:
+    """Name of a micro-batch that stays the same when it is replayed and differs between streams."""
+    return f"{zlib.crc32(checkpoint.encode()):08x}-{batch_id:012d}"
+
+
+def _append(stream: DataFrame, checkpoint: str, write):
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write(batch, _delivery(checkpoint, batch_id))
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def journal_stream(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], checkpoint: str):
-    """Keyed latest-wins table; replays of a micro-batch leave it unchanged because the newest row wins."""
-    def write(batch: DataFrame, _: int) -> None:
-        upsert_table(batch, path, keys, order)
+    """Keyed latest-wins journal, read by :func:`read_latest`; a micro-batch writes its own rows only."""
+    return _append(rows, checkpoint, lambda batch, name: upsert_table(batch, path, keys, order, name))
+
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+PACK_EVENTS = "pack_id string, event string, score int, seq long"
 
 
-def pack_stream(events: DataFrame, log_path: str, state_path: str, checkpoint: str):
-    """Appends pack events to a keyed log and rewrites the state table from it."""
-    def write(batch: DataFrame, _: int) -> None:
-        upsert_table(batch, log_path, ["pack_id", "seq"], ["seq"])
-        _, log = read_version(batch.sparkSession, log_path)
-        pack_state(log.withColumn("_g", F.lit(0)), ["_g"]).drop("_g").write.mode("overwrite").parquet(state_path)
+def pack_stream(events: DataFrame, log_path: str, checkpoint: str):
+    """Appends pack events to a log by pack; :func:`read_packs` derives the states from it."""
+    named = events.select("pack_id", "event", F.col("score").cast("int").alias("score"), F.col("seq").cast("long").alias("seq"))
+    return _append(named, checkpoint, lambda batch, name: append_rows(batch, log_path, ["pack_id"], name))
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def read_packs(spark: SparkSession, log_path: str) -> DataFrame:
+    """State of every pack; an event delivered twice counts once."""
+    return pack_state(read_latest(spark, log_path, PACK_EVENTS, ["pack_id", "seq"], ["seq"]))
+
+
+FILE_INDEX = "project_id long, path string, hash string, seq long"
 
 
 def reindex_stream(files: DataFrame, index_path: str, checkpoint: str, process):
-    """Hands only files with a new content hash to ``process`` and remembers them in the index."""
-    def write(batch: DataFrame, _: int) -> None:
+    """Hands only files with a new content hash to ``process`` and remembers them in the index.
+
+    The index grows after ``process`` is through.  A replayed micro-batch does not see what it wrote itself, so its
+    files are handed over again (at least once) rather than lost.
+    """
+    def write(batch: DataFrame, name: str) -> None:
         keyed = batch.withColumn("hash", F.sha2("content", 256))
-        _, index = read_version(batch.sparkSession, index_path)
-        fresh = keyed if index is None else keyed.join(index, ["project_id", "path", "hash"], "left_anti")
-        process(fresh)
-        upsert_table(keyed.select("project_id", "path", "hash", "seq"), index_path, ["project_id", "path"], ["seq"])
+        index = read_latest(batch.sparkSession, index_path, FILE_INDEX, ["project_id", "path"], ["seq"], without=name)
+        process(keyed.join(index.select("project_id", "path", "hash"), ["project_id", "path", "hash"], "left_anti"))
+        entries = keyed.select(F.col("project_id").cast("long").alias("project_id"), "path", "hash", F.col("seq").cast("long").alias("seq"))
+        upsert_table(entries, index_path, ["project_id", "path"], ["seq"], name)
 
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _append(files, checkpoint, write)

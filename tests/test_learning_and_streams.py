@@ -1,10 +1,13 @@
 """Classifier gates and streaming jobs driven to completion."""
 
 import random
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from codestrata.operators import learning as L, runs as R
+from codestrata.sources import sinks
 from codestrata.streaming import jobs
 
 
@@ -58,23 +61,49 @@ def _drain(df, name, mode="append"):
     return df.sparkSession.table(name)
 
 
+def _stress(project, sample, status="passed", ms=1, memory=1, sandbox="container", day=1):
+    return (project, "stress", sample, status, ms, datetime(2024, 1, day), memory, sandbox)
+
+
+BATCH_RUNS = RUNS + ", peak_memory_bytes long, sandbox_kind string"
+GATE = ["run_count", "passed_count", "failure_rate", "p95_duration_ms", "peak_memory_bytes", "strongly_isolated", "eligible"]
+
+
 def test_stress_batch_completes_at_sixteen(spark, tmp_path):
-    from datetime import datetime
-    t = datetime(2024, 1, 1)
-    rows = [(1, "stress", f"stress-bounded-16x-9-{i:02d}", "passed", i + 1, t) for i in range(16)] + [(2, "stress", "stress-bounded-16x-9-00", "failed", 1, t)]
-    out = _drain(jobs.stress_batch_stream(_source(spark, str(tmp_path / "r"), rows, RUNS)), "batches").collect()
-    assert [(r["project_id"], r["batch"], r["run_count"], r["passed_count"], r["complete"]) for r in out] == [(1, "stress-bounded-16x-9", 16, 16, True)]
+    rows = [_stress(1, f"stress-bounded-16x-9-{i:02d}", ms=i + 1, memory=100 - i) for i in range(16)]
+    rows += [_stress(2, "stress-bounded-16x-9-00", "failed")]
+    rows += [_stress(3, f"stress-bounded-16x-7-{i:02d}", "failed" if i == 3 else "passed", ms=5) for i in range(16)]
+    rows += [_stress(4, f"stress-bounded-16x-7-{i:02d}", sandbox="none" if i == 15 else "container") for i in range(16)]
+    src = _source(spark, str(tmp_path / "r"), rows, BATCH_RUNS)
+    out = {r["project_id"]: r for r in _drain(jobs.stress_batch_stream(src), "batches").collect()}
+    assert [out[1][c] for c in GATE] == [16, 16, 0, 16, 100, True, True]
+    assert [out[3][c] for c in GATE] == [16, 15, 6, 5, 1, True, False]
+    assert [out[4][c] for c in GATE] == [16, 16, 0, 1, 1, False, False]
+    assert set(out) == {1, 3, 4} and all(r["complete"] and r["revision"] == 1 for r in out.values())
+    batch = R.stress_batches(spark.createDataFrame(rows, BATCH_RUNS)).where("run_count >= 16").collect()
+    assert {r["project_id"]: [r[c] for c in GATE] for r in batch} == {k: [r[c] for c in GATE] for k, r in out.items()}
+
+
+def test_late_runs_give_a_batch_anew_and_silence_ends_it(spark, tmp_path):
+    path, cp, out = str(tmp_path / "r"), str(tmp_path / "cp"), str(tmp_path / "out")
+    first = [_stress(1, f"stress-bounded-16x-9-{i:02d}", ms=i + 1) for i in range(16)] + [_stress(2, "stress-bounded-16x-9-00", "failed")]
+    late = [_stress(1, f"stress-bounded-16x-9-{i:02d}", "failed" if i >= 38 else "passed", ms=i + 1) for i in range(16, 40)]
+    for rows in (first, late + [_stress(9, "stress-bounded-16x-1-00", day=3)]):
+        q = jobs.stress_batch_stream(_source(spark, path, rows, BATCH_RUNS)).writeStream.format("parquet").option(
+            "path", out).option("checkpointLocation", cp).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+    got = {(r["project_id"], r["revision"]): (r["run_count"], r["failure_rate"], r["p95_duration_ms"], r["eligible"], r["complete"])
+           for r in spark.read.parquet(out).collect()}
+    assert got == {(1, 1): (16, 0, 16, True, True), (1, 2): (40, 5, 38, True, True), (2, 1): (1, 100, 1, False, False)}
 
 
 def test_windowed_statistics(spark, tmp_path):
-    from datetime import datetime
     rows = [(1, "stress", "s", "passed" if i < 15 else "failed", i + 1, datetime(2024, 1, 1, 0, i)) for i in range(16)]
     out = _drain(jobs.run_statistics_stream(_source(spark, str(tmp_path / "r"), rows, RUNS)), "stats", "update").collect()
     assert (out[0]["sample_count"], out[0]["failure_rate"], out[0]["p50_duration_ms"], out[0]["p95_duration_ms"]) == (16, 6, 8, 16)
 
 
 def test_trace_stream_drops_repeats(spark, tmp_path):
-    from datetime import datetime
     line = 'TRACE {"functionName":"f","event":"enter"}'
     rows = [(1, "stdout", 1, line, datetime(2024, 1, 1)), (1, "stdout", 1, line, datetime(2024, 1, 1, 0, 1)), (1, "stdout", 2, "noise", datetime(2024, 1, 1))]
     src = _source(spark, str(tmp_path / "t"), rows, "run_id long, source string, seq long, line string, ts timestamp")
@@ -84,8 +113,9 @@ def test_trace_stream_drops_repeats(spark, tmp_path):
 def test_pack_lifecycle_stream(spark, tmp_path):
     rows = [("a", "signed", 95, 1), ("a", "activate", 0, 2), ("b", "signed", 95, 3), ("b", "activate", 0, 4), ("c", "quarantined", 40, 5), ("c", "activate", 0, 6)]
     src = _source(spark, str(tmp_path / "e"), rows, "pack_id string, event string, score int, seq long")
-    jobs.pack_stream(src, str(tmp_path / "log"), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination(120)
-    got = {r["pack_id"]: r["status"] for r in spark.read.parquet(str(tmp_path / "state")).collect()}
+    assert jobs.read_packs(spark, str(tmp_path / "log")).count() == 0
+    jobs.pack_stream(src, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination(120)
+    got = {r["pack_id"]: r["status"] for r in jobs.read_packs(spark, str(tmp_path / "log")).collect()}
     assert got == {"a": "superseded", "b": "active", "c": "quarantined"}
 
 
@@ -98,7 +128,32 @@ def test_reindex_hands_over_changed_files_only(spark, tmp_path):
 
 
 def test_journal_stream_keeps_newest(spark, tmp_path):
-    from codestrata.sources.sinks import read_version
     src = _source(spark, str(tmp_path / "j"), [(1, "x", 1), (1, "y", 2), (2, "z", 1)], "k int, v string, ts long")
     jobs.journal_stream(src, str(tmp_path / "t"), ["k"], ["ts"], str(tmp_path / "cp")).awaitTermination(120)
-    assert {(r["k"], r["v"]) for r in read_version(spark, str(tmp_path / "t"))[1].collect()} == {(1, "y"), (2, "z")}
+    now = sinks.read_latest(spark, str(tmp_path / "t"), "k int, v string, ts long", ["k"], ["ts"])
+    assert {(r["k"], r["v"]) for r in now.collect()} == {(1, "y"), (2, "z")}
+
+
+def test_a_delivery_written_twice_counts_once(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k int, v string, ts long"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    sinks.append_rows(frame([(1, "x", 1), (2, "y", 1)]), path, ["k"], "a")
+    sinks.append_rows(frame([(1, "z", 2)]), path, ["k"], "b")
+    sinks.append_rows(frame([(1, "x", 1), (2, "y", 1)]), path, ["k"], "a")
+    assert sorted(tuple(r) for r in sinks.read_rows(spark, path, schema).collect()) == [(1, "x", 1), (1, "z", 2), (2, "y", 1)]
+    assert sinks.read_latest(spark, path, schema, ["k"], ["ts"], without="b").where("k = 1").first()["v"] == "x"
+
+
+def test_reindex_that_fails_half_way_loses_no_file(spark, tmp_path):
+    seen, schema = [], "project_id int, path string, content string, seq long"
+    src, args = _source(spark, str(tmp_path / "f"), [(0, "a", "1", 1), (0, "b", "1", 1)], schema), (str(tmp_path / "i"), str(tmp_path / "cp"))
+
+    def fails(df):
+        raise RuntimeError("lost")
+
+    broken = jobs.reindex_stream(src, *args, fails)
+    with pytest.raises(Exception, match="lost"):
+        broken.awaitTermination(120)
+    for _ in range(2):
+        jobs.reindex_stream(src, *args, lambda df: seen.append({r["path"] for r in df.collect()})).awaitTermination(120)
+    assert seen == [{"a", "b"}]

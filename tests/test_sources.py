@@ -113,9 +113,9 @@ def test_next_in_order_across_empty_buckets(spark):
 def test_upsert_and_index(spark, tmp_path):
     path = str(tmp_path / "t")
     frame = lambda rows: spark.createDataFrame(rows, "k int, v string, ts int")
-    sinks.upsert_table(frame([(1, "a", 1), (2, "b", 1)]), path, ["k"], ["ts"])
-    sinks.upsert_table(frame([(1, "old", 0), (2, "new", 2), (3, "c", 1)]), path, ["k"], ["ts"])
-    _, now = sinks.read_version(spark, path)
+    sinks.upsert_table(frame([(1, "a", 1), (2, "b", 1)]), path, ["k"], ["ts"], "a")
+    sinks.upsert_table(frame([(1, "old", 0), (2, "new", 2), (3, "c", 1)]), path, ["k"], ["ts"], "b")
+    now = sinks.read_latest(spark, path, frame([(1, "a", 1)]).schema, ["k"], ["ts"])
     assert {(r["k"], r["v"]) for r in now.collect()} == {(1, "a"), (2, "new"), (3, "c")}
     sinks.write_index({"t": now.withColumn("run_id", F.lit(5))}, str(tmp_path / "index"))
     assert spark.read.parquet(str(tmp_path / "index/t")).where("run_id = 5").count() == 3
