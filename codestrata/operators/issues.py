@@ -40,12 +40,14 @@ def union_issues(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def union_obligations(parts: Sequence[DataFrame]) -> DataFrame:
-    """Obligations of all sources, the last one per id."""
+    """Obligations of all sources, the last one per id; of several in one source the one with the largest values."""
     tagged = [p.withColumn("_src", F.lit(i)) for i, p in enumerate(parts)]
     out = tagged[0]
     for p in tagged[1:]:
         out = out.unionByName(p)
-    return latest_per(out, ["project_id", "obligation_id"], ["_src"]).drop("_src")
+    keys = ["project_id", "obligation_id"]
+    rest = sorted(set(parts[0].columns) - set(keys))
+    return latest_per(out, keys, ["_src", *rest]).drop("_src")
 
 
 def evidence_audit(issues: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:

@@ -60,9 +60,18 @@ def verb_class(name: Column) -> Column:
     return first_match([(v, word_text(name).rlike(rf"\b({p})\b")) for v, p in VERB_CLASSES], "summary")
 
 
-def algorithm_tags(text: Column) -> Column:
-    """Algorithm families, then a linear scan when none of the traversals was named."""
-    found = flags([(n, F.lower(text).rlike(p)) for n, p in ALGORITHM_TAGS.items()])
+def is_recursive(name: Column, body: Column) -> Column:
+    """The body calls its own name outside the header that declares it."""
+    quoted = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
+    header = F.concat(F.lit(r"(?is)^(.*?)(?:function|def|fn|func)\s+"), quoted, F.lit(r"[^\n{]*"))
+    rest = F.regexp_replace(body, header, F.lit("$1"))
+    return (name != "") & F.regexp_like(rest, F.concat(F.lit(r"\b"), quoted, F.lit(r"\s*\(")))
+
+
+def algorithm_tags(text: Column, recursive: Column | None = None) -> Column:
+    """Algorithm families, recursion first, then a linear scan when none of the traversals was named."""
+    named = [] if recursive is None else [("recursion", recursive)]
+    found = flags([*named, *[(n, F.lower(text).rlike(p)) for n, p in ALGORITHM_TAGS.items()]])
     loop = F.lower(text).rlike(r"for\s*\(|for\s+.+\s+in\s+|while\s*\(") & ~F.arrays_overlap(
         found, F.array(F.lit("breadth-first"), F.lit("depth-first")))
     tagged = F.when(loop, F.array_append(found, "linear-scan")).otherwise(found)

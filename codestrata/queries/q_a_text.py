@@ -165,15 +165,17 @@ def basin_column():
 
 
 @query("remedy_hints", """
-    SELECT function_id, array_to_string(list_distinct(list_filter(list_transform(risks, lambda r: CASE
-               WHEN contains(r, 'injection') AND NOT contains(r, 'code') THEN 'parameterize-queries'
-               WHEN contains(r, 'injection') THEN 'parameterize-queries'
-               WHEN contains(r, 'command') THEN 'allowlist-commands' WHEN contains(r, 'path') THEN 'confine-paths'
-               WHEN contains(r, 'overflow') THEN 'capacity-limit' END), lambda h: h IS NOT NULL)), '|') AS hint_list,
-           CASE WHEN return_type = 'inferred' THEN 1 ELSE 0 END AS needs_type
-    FROM facts WHERE len(risks) = 1""")
+    WITH r AS (SELECT function_id, unnest(risks) AS r, generate_subscripts(risks, 1) AS i FROM facts),
+         h AS (SELECT function_id, min(i) AS i, CASE
+               WHEN regexp_matches(r, 'sql|orm|injection') THEN 'parameterize-queries' WHEN regexp_matches(r, 'command|exec|system|code-injection') THEN 'allowlist-commands'
+               WHEN regexp_matches(r, 'path|file|read') THEN 'confine-paths' WHEN contains(r, 'csrf') THEN 'csrf-token' WHEN contains(r, 'cors') THEN 'explicit-origins'
+               WHEN contains(r, 'jwt') THEN 'verify-token-claims' WHEN regexp_matches(r, 'lock|deadlock|concurrency') THEN 'lock-order-timeout'
+               WHEN regexp_matches(r, 'device|hardware|watchdog|offline') THEN 'heartbeat-watchdog' WHEN regexp_matches(r, 'overflow|capacity') THEN 'capacity-limit'
+               WHEN regexp_matches(r, 'timeout|retry') THEN 'timeout-backoff' END AS hint FROM r GROUP BY function_id, hint),
+         l AS (SELECT function_id, array_to_string(list(hint ORDER BY i)[1:4], '|') AS hints FROM h WHERE hint IS NOT NULL GROUP BY function_id)
+    SELECT function_id, coalesce(hints, '') AS hint_list, CASE WHEN return_type IN ('inferred', 'unknown') THEN 1 ELSE 0 END AS needs_type FROM facts LEFT JOIN l USING (function_id)""")
 def remedy_hints(b):
-    f = function_facts(b).where(F.size("risks") == 1)
+    f = function_facts(b)
     return f.select(
         "function_id", F.array_join(text.remedy_hints(F.col("risks")), "|").alias("hint_list"),
         F.when(F.array_contains(

@@ -48,10 +48,10 @@ def call_edges(b):
     return E.build_edges(f, E.resolve_calls(b.fn)).select("src", "dst", "confidence")
 
 
-@query("isolated_nodes", "SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7)")
+@query("isolated_nodes", "SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
 def isolated_nodes(b):
-    fns = b.part.select(F.col("p_partkey").alias("function_id"))
-    links = b.lineitem.where("l_linenumber = 7").select(F.col("l_partkey").alias("src"), F.col("l_partkey").alias("dst"))
+    fns = b.customer.select(F.col("c_custkey").alias("function_id"))
+    links = b.events.select(F.col("user_id").alias("src"), F.col("user_id").alias("dst"))
     return E.isolated(fns, links).select(F.col("function_id").alias("node"))
 
 

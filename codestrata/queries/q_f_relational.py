@@ -200,14 +200,13 @@ def issue_union(b):
 
 
 @query("obligation_union", """
-    SELECT project_id, obligation_id, domain, state FROM (SELECT project_id, 'verify-issue-' || CAST(issue_id AS VARCHAR) AS obligation_id,
+    SELECT project_id, obligation_id, arg_max(domain, (confidence, domain, state)) AS domain, arg_max(state, (confidence, domain, state)) AS state
+    FROM (SELECT project_id, 'verify-issue-' || CAST(issue_id AS VARCHAR) AS obligation_id, confidence,
         CASE WHEN issue_id % 3 = 0 THEN 'security' ELSE CASE category WHEN 'security' THEN 'security' WHEN 'environment' THEN 'environment' ELSE 'functionality' END END AS domain,
-        CASE WHEN issue_id % 3 = 0 THEN 'proved' WHEN status = 'Confirmed' THEN 'violated' WHEN status = 'Likely' THEN 'observed' ELSE 'unproved' END AS state, issue_id,
-        count(*) OVER (PARTITION BY project_id, issue_id) AS dup FROM issues) WHERE dup = 1""")
+        CASE WHEN issue_id % 3 = 0 THEN 'proved' WHEN status = 'Confirmed' THEN 'violated' WHEN status = 'Likely' THEN 'observed' ELSE 'unproved' END AS state FROM issues) GROUP BY 1, 2""")
 def obligation_union(b):
-    unique = b.issues.join(b.issues.groupBy("project_id", "issue_id").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1"), ["project_id", "issue_id"], "left_semi")
-    o = I.issue_obligations(unique)
-    proofs = I.issue_obligations(unique.where("issue_id % 3 = 0")).withColumn("domain", F.lit("security")).withColumn("state", F.lit("proved"))
+    o = I.issue_obligations(b.issues)
+    proofs = I.issue_obligations(b.issues.where("issue_id % 3 = 0")).withColumn("domain", F.lit("security")).withColumn("state", F.lit("proved"))
     return I.union_obligations([o, proofs]).select("project_id", "obligation_id", "domain", "state")
 
 
@@ -231,18 +230,18 @@ def grouped_issue_report(b):
 
 
 @query("file_summary", """
-    WITH f AS (SELECT file_id, min(path) AS path, count(*) AS n, count(DISTINCT category) AS r FROM facts GROUP BY file_id),
+    WITH f AS (SELECT file_id, min(path) AS path, count(*) AS n, array_to_string(list_sort(list(DISTINCT category))[1:5], '|') AS role_names FROM facts GROUP BY file_id),
          i AS (SELECT 'src/mod_' || CAST(CAST(floor(l_suppkey / 5) AS BIGINT) % 7 AS VARCHAR) || '/file_' || CAST(l_suppkey AS VARCHAR)
-                   || CASE l_suppkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' ELSE '.rs' END AS path FROM lineitem WHERE l_linenumber = 1)
-    SELECT file_id, n AS function_count, CAST(least(5, r) AS BIGINT) AS role_count, (SELECT count(*) FROM i WHERE i.path = f.path) AS issue_count FROM f""")
+                   || CASE l_suppkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' ELSE '.rs' END AS path FROM lineitem)
+    SELECT file_id, n AS function_count, role_names, (SELECT count(*) FROM i WHERE i.path = f.path) AS issue_count FROM f""")
 def file_summary(b):
     fns = function_facts(b).select("file_id", "path", F.col("category").alias("role"))
     files = fns.groupBy("file_id").agg(F.min("path").alias("path"))
     k = F.col("l_suppkey")
     ext = F.when(k % 4 == 0, ".ts").when(k % 4 == 1, ".py").when(k % 4 == 2, ".go").otherwise(".rs")
-    iss = b.lineitem.where("l_linenumber = 1").select(F.concat(
+    iss = b.lineitem.select(F.concat(
         F.lit("src/mod_"), (F.floor(k / 5) % 7).cast("string"), F.lit("/file_"), k.cast("string"), ext, F.lit(":12 run()")).alias("evidence"))
-    return I.file_summary(files, fns, iss).select("file_id", "function_count", F.size("roles").cast("long").alias("role_count"), "issue_count")
+    return I.file_summary(files, fns, iss).select("file_id", "function_count", F.array_join("roles", "|").alias("role_names"), "issue_count")
 
 
 @query("contract_coverage", """

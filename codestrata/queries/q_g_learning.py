@@ -100,9 +100,9 @@ def weight_norm(b):
 
 @query("weight_steps", """
     SELECT p_partkey AS k, round(accepted, 6) AS accepted, gate FROM (SELECT *, CASE WHEN allowed = 0 THEN 'rejected' WHEN abs(d) <= allowed THEN 'accepted' ELSE 'clamped' END AS gate, before + greatest(-allowed, least(allowed, d)) AS accepted
-      FROM (SELECT p_partkey, 0.1::DOUBLE AS before, greatest(0, 0.018::DOUBLE - (p_partkey % 12) * 0.002::DOUBLE) AS allowed, (p_size / 200.0::DOUBLE) * 0.56 + 0.1::DOUBLE * 0.28 + 0.1::DOUBLE * 0.16 - 0.1::DOUBLE AS d FROM part WHERE p_partkey % 12 <> 9))""")
+      FROM (SELECT p_partkey, 0.1::DOUBLE AS before, greatest(0, 0.018::DOUBLE - (p_partkey % 12) * 0.002::DOUBLE) AS allowed, (p_size / 200.0::DOUBLE) * 0.56 + 0.1::DOUBLE * 0.28 + 0.1::DOUBLE * 0.16 - 0.1::DOUBLE AS d FROM part))""")
 def weight_steps(b):
-    w = b.part.where("p_partkey % 12 <> 9").select(F.col("p_partkey").alias("k"), F.lit(0.1).alias("before"), (F.col("p_size") / 200.0).alias("supervised"),
+    w = b.part.select(F.col("p_partkey").alias("k"), F.lit(0.1).alias("before"), (F.col("p_size") / 200.0).alias("supervised"),
                       F.lit(0.1).alias("evolved"), F.lit(0.1).alias("self_candidate"), (F.col("p_partkey") % 12).alias("errors"))
     return L.clamp_steps(w, 0.018).select("k", F.round("accepted", 6).alias("accepted"), "gate")
 

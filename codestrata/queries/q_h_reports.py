@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import reports as P
-from .facts import flow_nodes, function_facts, with_degrees
+from .facts import flow_nodes, function_facts, sql_flags, sql_rx, with_degrees
 from .q_a_text import BASIN_SQL, STAGES_SQL, basin_column, stages
 from .registry import query
 
@@ -18,10 +18,15 @@ def verb_classes(b):
     return b.fn.select("function_id", P.verb_class(F.col("name")).alias("verb"))
 
 
-@query("algorithm_tags", """
-    SELECT function_id, CASE p_size % 10 WHEN 2 THEN 'breadth-first' ELSE 'other' END AS first_tag FROM fn WHERE p_size % 10 = 2""")
+@query("algorithm_tags", f"""
+    WITH t AS (SELECT function_id, {sql_flags([('recursion', 'c1 IS NOT NULL AND function_id % 4 = 0'), *[(n, sql_rx('lower(body)', p)) for n, p in P.ALGORITHM_TAGS.items()]])} AS found, lower(body) AS body FROM fn),
+         s AS (SELECT function_id, CASE WHEN regexp_matches(body, 'for\\s*\\(|for\\s+.+\\s+in\\s+|while\\s*\\(') AND NOT list_has_any(found, ['breadth-first', 'depth-first']) THEN list_append(found, 'linear-scan') ELSE found END AS found FROM t)
+    SELECT function_id, CASE WHEN len(found) = 0 THEN 'sequential' ELSE array_to_string(found, '|') END AS tags FROM s""")
 def algorithm_tags(b):
-    return b.fn.where("p_size % 10 = 2").select("function_id", F.get(P.algorithm_tags(F.col("body")), F.lit(0)).alias("first_tag"))
+    # every fourth function goes by the name it calls first, so that it calls itself
+    name = F.when(F.col("function_id") % 4 == 0, F.coalesce("callee1", "name")).otherwise(F.col("name"))
+    tags = P.algorithm_tags(F.col("body"), P.is_recursive(name, F.col("body")))
+    return b.fn.select("function_id", F.array_join(tags, "|").alias("tags"))
 
 
 @query("structure_tags", """
@@ -77,11 +82,11 @@ def basin_rollup(b):
 
 @query("type_conflicts", """
     SELECT p_type AS project_id, name, CAST(count(DISTINCT type) AS BIGINT) AS type_count FROM (SELECT p_type, 'arg' || CAST(p_size % 7 AS VARCHAR) AS name,
-        CASE WHEN p_size % 5 = 0 THEN 'unknown' ELSE 'T' || CAST(p_size % 3 AS VARCHAR) END AS type FROM part WHERE p_size % 7 < 5) GROUP BY 1, 2
+        CASE WHEN p_size % 5 = 0 THEN 'unknown' ELSE 'T' || CAST(p_size % 3 AS VARCHAR) END AS type FROM part) GROUP BY 1, 2
     HAVING count(DISTINCT type) > 2 OR (bool_or(type = 'unknown') AND count(DISTINCT type) > 1)""")
 def type_conflicts(b):
     k = F.col("p_size")
-    f = b.part.where("p_size % 7 < 5").select(F.col("p_type").alias("project_id"), F.array(F.concat(
+    f = b.part.select(F.col("p_type").alias("project_id"), F.array(F.concat(
         F.lit("arg"), (k % 7).cast("string"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(": T"), (k % 3).cast("string"))))).alias("params"))
     return P.type_conflicts(f)
 
@@ -297,11 +302,11 @@ def completion(b):
 
 @query("layer_coverage", """
     SELECT layer, tables, row_count, coverage, CASE WHEN coverage >= 72 THEN 'active' WHEN coverage >= 42 THEN 'seeded' ELSE 'missing' END AS status FROM (
-      SELECT p_brand AS layer, CAST(count(*) AS BIGINT) AS tables, CAST(coalesce(sum(n), 0) AS BIGINT) AS row_count, CAST(least(100, floor(count(*) FILTER (WHERE p_size % 3 > 0) / count(*) * 54 + least(1, coalesce(sum(n), 0) / (count(*) * 3)) * 46 + 0.5)) AS BIGINT) AS coverage
-      FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 4 < 2 GROUP BY 1) ON l_partkey = p_partkey GROUP BY p_brand)""")
+      SELECT lang AS layer, CAST(count(*) AS BIGINT) AS tables, CAST(coalesce(sum(n), 0) AS BIGINT) AS row_count, CAST(least(100, floor(count(*) FILTER (WHERE documents.doc_id % 3 > 0) / count(*) * 54 + least(1, coalesce(sum(n), 0) / (count(*) * 3)) * 46 + 0.5)) AS BIGINT) AS coverage
+      FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l ON l.doc_id = documents.doc_id GROUP BY lang)""")
 def layer_coverage(b):
-    cat = b.part.select(F.col("p_brand").alias("layer"), F.col("p_partkey").alias("table_name"), F.when(F.col("p_size") % 3 > 0, "seeded").otherwise("missing").alias("maturity"))
-    rows = b.lineitem.where("l_linenumber = 1 AND l_partkey % 4 < 2").groupBy(F.col("l_partkey").alias("table_name")).agg(F.count(F.lit(1)).alias("row_count"))
+    cat = b.documents.select(F.col("lang").alias("layer"), F.col("doc_id").alias("table_name"), F.when(F.col("doc_id") % 3 > 0, "seeded").otherwise("missing").alias("maturity"))
+    rows = b.labels.groupBy(F.col("doc_id").alias("table_name")).agg(F.count(F.lit(1)).alias("row_count"))
     return P.layer_coverage(cat, rows)
 
 

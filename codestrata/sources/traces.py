@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.taint import BOUNDARY_PATTERNS
 from ..operators.windows import top_n
+from ..session import cut
 
+GRAM = 6
 EVENT_KINDS = ("enter", "exit", "error", "transfer")
 TRACE_SCHEMA = "struct<functionName:string,event:string,dataNames:array<string>,`from`:string,`to`:string>"
 FINDING_MARKS = ("AddressSanitizer", "UndefinedBehaviorSanitizer", "runtime error:", "ThreadSanitizer")
@@ -117,15 +119,42 @@ def boundaries(functions: DataFrame, limit: int | None = None) -> DataFrame:
     return out
 
 
+def _grams(text: Column, size: int | Column) -> Column:
+    """Distinct substrings of ``size`` characters."""
+    width = F.lit(size) if isinstance(size, int) else size
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: F.substr(text, i, width))
+    return F.when(F.length(text) >= width, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
 def observe_boundaries(found: DataFrame, events: DataFrame) -> DataFrame:
-    """C17: a boundary is observed when a transfer from its kind names no target or one found in its expression."""
-    seen = events.where("event = 'transfer'").select(
-        "run_id", F.regexp_extract("from_name", r"^<(.*)>$", 1).alias("kind"),
-        F.lower(F.trim(F.coalesce("to_name", F.lit("")))).alias("target")).where("kind <> ''")
-    # targets repeat over runs: collapse them before they meet the boundaries
-    targets = seen.groupBy("kind", "target").agg(F.count_distinct("run_id").alias("runs"))
-    joined = found.join(targets, "kind", "left")
-    hit = F.col("target").isin("", "unknown") | F.contains(F.lower("expression"), F.col("target"))
-    per = joined.groupBy(*found.columns).agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("_hit"))
-    return per.select(
-        *found.columns, F.when(F.col("_hit"), "runtime-observed").otherwise("static-candidate").alias("status"))
+    """C17: a boundary is observed when a transfer from its kind names no target or one found in its expression.
+
+    Targets are looked up in an index of the distinct expressions by substrings of up to six characters.  A target can
+    only occur where all its substrings do, so one with a substring in no expression is dropped, and the others meet
+    the expressions that hold their rarest substring.  Repeated expressions are searched once.  An expression or target
+    that is null counts as one without text and without target.
+    """
+    seen = cut(events.where("event = 'transfer'").select(
+        F.regexp_extract("from_name", r"^<(.*)>$", 1).alias("_kind"),
+        F.lower(F.trim(F.coalesce("to_name", F.lit("")))).alias("_target")).where("_kind <> ''").distinct())
+    blank = F.col("_target").isin("", "unknown")
+    whole = seen.where(blank).select("_kind").distinct().withColumn("_all", F.lit(True))
+    width = F.least(F.length("_target"), F.lit(GRAM))
+    named = seen.where(~blank).withColumn("_q", width)
+    sizes = sorted(row[0] for row in named.select("_q").distinct().collect())  # GRAM of them at most
+    text = F.lower(F.coalesce("expression", F.lit("")))
+    out = found.withColumn("_kind", F.col("kind")).withColumn("_text", text).join(whole, "_kind", "left")
+    hit = F.col("_all")
+    if sizes:
+        grams = F.array_distinct(F.concat(*[_grams(F.col("_text"), q) for q in sizes]))
+        index = cut(found.select(F.col("kind").alias("_kind"), text.alias("_text")).distinct().select(
+            "_kind", "_text", F.explode(grams).alias("_gram")))
+        known = index.groupBy("_kind", "_gram").agg(F.count(F.lit(1)).alias("_f"))
+        parts = named.select("_kind", "_target", F.explode(_grams(F.col("_target"), F.col("_q"))).alias("_gram"))
+        keys = parts.join(known, ["_kind", "_gram"], "left").groupBy("_kind", "_target").agg(
+            F.min_by("_gram", F.struct("_f", "_gram")).alias("_gram"), F.bool_and(F.col("_f").isNotNull()).alias("_whole")).where("_whole")
+        hits = keys.join(index, ["_kind", "_gram"]).where(F.contains("_text", F.col("_target"))).select("_kind", "_text").distinct()
+        out = out.join(hits.withColumn("_named", F.lit(True)), ["_kind", "_text"], "left")
+        hit = F.coalesce(hit, F.col("_named"))
+    status = F.when(hit, "runtime-observed").otherwise("static-candidate")
+    return out.select(*found.columns, status.alias("status"))
