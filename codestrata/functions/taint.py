@@ -22,6 +22,37 @@ BOUNDARY_PATTERNS = {
                       r"system\s*\(|popen\s*\()\b",
 }
 
+# Vocabularies of the path analysis, the first match counts.
+PATH_SOURCES = (
+    ("environment", r"\b(env|environment|process\.env|os\.getenv)\b"),
+    ("file", r"\b(read_file|readfile|open\s*\(|file|path)\b"),
+    ("network", r"\b(fetch|http|socket|websocket|network)\b"),
+    ("device", r"\b(sensor|serial|gpio|device|hardware)\b"),
+    ("database", r"\b(select|database|db|repository|cursor)\b"),
+    ("request", r"\b(request|req|payload|body|query|form|header|cookie)\b"),
+)
+PATH_PARAMETER = r"\b(params?|argument|argv|input|stdin)\b"
+PATH_SOURCE_API = r"\b(env|process\.env|os\.getenv|fetch|socket|read_file|readfile|stdin|argv|sensor|device)\b"
+PATH_ROOT_INPUT = r"\b(request|req|payload|body|query|params|input)\b"
+PATH_SINKS = (
+    ("command", r"\b(exec|spawn|system|popen|subprocess|eval|shell|command)\b|command-execution"),
+    ("dom", r"innerhtml|dangerouslysetinnerhtml|document\.write|dom sink|xss"),
+    ("file", r"\b(writefile|write_file|appendfile|unlink|remove_file|rename|file\.write|open\s*\([^)]*[\"'][awx])\b"),
+    ("network", r"\b(send|post|put|upload|fetch|socket\.write|http\.request)\b"),
+    ("sql", r"sql-injection|\b(execute|executemany|raw_sql|rawquery)\b|\b(insert|update|delete)\s+(?:into|from|\w+\s+set)\b"),
+    ("database-write", r"\b(commit|flush|save|persist|repository\.(?:add|update|delete)|session\.(?:add|delete|commit))\b"),
+    ("shared-state", r"\b(global|shared_state|cache\.(?:set|put)|state\s*=|store\.set)\b|state-write"),
+)
+# kinds of sink, what neutralises them in name, summary and validations, and in the body
+PATH_SANITIZERS = (
+    (("sql", "database-write"), r"\b(parameterized|bindparam|prepared|orm|schema|validate|parse_safe)\b|input-validation",
+     r"\b(bindparam|prepare|parameterized)\b"),
+    (("dom",), r"\b(sanitize|escape|encode|textcontent)\b", r"\b(dom_purify|escape_html)\b"),
+    (("file",), r"\b(resolve|realpath|normalize|allowlist|whitelist|validate_path)\b", r"\b(realpath|resolve_path)\b"),
+    (("command",), r"\b(allowlist|whitelist|validate|authorize|permission)\b|input-validation|access-check", None),
+)
+PATH_SANITIZER = r"\b(validate|sanitize|authorize|permission|allowlist|schema)\b"
+
 
 def _signals(*parts: Column) -> Column:
     return F.lower(F.concat_ws(" ", *parts))
@@ -31,77 +62,27 @@ def path_source_kind(name, summary, external_inputs, body, is_root) -> Column:
     """Kind of input a function acquires, null when it is no source."""
     text = _signals(name, summary, F.concat_ws(" ", external_inputs), body)
     declared = nonempty(external_inputs)
-    api = matches(
-        r"\b(env|process\.env|os\.getenv|fetch|socket|read_file|readfile|stdin|argv|sensor|device)\b", text)
-    root = is_root & matches(r"\b(request|req|payload|body|query|params|input)\b", text)
-    kind = first_match(
-        [
-            ("environment", matches(r"\b(env|environment|process\.env|os\.getenv)\b", text)),
-            ("file", matches(r"\b(read_file|readfile|open\s*\(|file|path)\b", text)),
-            ("network", matches(r"\b(fetch|http|socket|websocket|network)\b", text)),
-            ("device", matches(r"\b(sensor|serial|gpio|device|hardware)\b", text)),
-            ("database", matches(r"\b(select|database|db|repository|cursor)\b", text)),
-            ("request", matches(r"\b(request|req|payload|body|query|form|header|cookie)\b", text)),
-            ("parameter", matches(r"\b(params?|argument|argv|input|stdin)\b", text) | declared),
-        ],
-        "unknown",
-    )
-    return F.when(declared | api | root, kind)
+    chain = [(kind, matches(pattern, text)) for kind, pattern in PATH_SOURCES]
+    kind = first_match([*chain, ("parameter", matches(PATH_PARAMETER, text) | declared)], "unknown")
+    return F.when(declared | matches(PATH_SOURCE_API, text) | (is_root & matches(PATH_ROOT_INPUT, text)), kind)
 
 
 def path_sink_kind(name, summary, risks, side_effects, body) -> Column:
     """Sensitive operation a function performs, null when none."""
     text = _signals(name, summary, F.concat_ws(" ", risks), F.concat_ws(" ", side_effects), body)
-    return first_match(
-        [
-            ("command", matches(
-                r"\b(exec|spawn|system|popen|subprocess|eval|shell|command)\b|command-execution", text)),
-            ("dom", matches(r"innerhtml|dangerouslysetinnerhtml|document\.write|dom sink|xss", text)),
-            ("file", matches(
-                r"\b(writefile|write_file|appendfile|unlink|remove_file|rename|file\.write|"
-                r"open\s*\([^)]*[\"'][awx])\b", text)),
-            ("network", matches(r"\b(send|post|put|upload|fetch|socket\.write|http\.request)\b", text)),
-            ("sql", matches(
-                r"sql-injection|\b(execute|executemany|raw_sql|rawquery)\b|"
-                r"\b(insert|update|delete)\s+(?:into|from|\w+\s+set)\b", text)),
-            ("database-write", matches(
-                r"\b(commit|flush|save|persist|repository\.(?:add|update|delete)|session\.(?:add|delete|commit))\b",
-                text)),
-            ("shared-state", matches(
-                r"\b(global|shared_state|cache\.(?:set|put)|state\s*=|store\.set)\b|state-write", text)),
-        ]
-    )
+    return first_match([(kind, matches(pattern, text)) for kind, pattern in PATH_SINKS])
 
 
 def is_path_sanitizer(name, summary, validations, body, sink_kind) -> Column:
     """Whether a function on a path neutralises data for that kind of sink."""
     text = _signals(name, summary, F.concat_ws(" ", validations))
     code = F.lower(body)
-    return (
-        F.when(
-            sink_kind.isin("sql", "database-write"),
-            matches(r"\b(parameterized|bindparam|prepared|orm|schema|validate|parse_safe)\b|input-validation", text)
-            | matches(r"\b(bindparam|prepare|parameterized)\b", code),
-        )
-        .when(
-            sink_kind == "dom",
-            matches(r"\b(sanitize|escape|encode|textcontent)\b", text)
-            | matches(r"\b(dom_purify|escape_html)\b", code),
-        )
-        .when(
-            sink_kind == "file",
-            matches(r"\b(resolve|realpath|normalize|allowlist|whitelist|validate_path)\b", text)
-            | matches(r"\b(realpath|resolve_path)\b", code),
-        )
-        .when(
-            sink_kind == "command",
-            matches(r"\b(allowlist|whitelist|validate|authorize|permission)\b|input-validation|access-check", text),
-        )
-        .otherwise(
-            nonempty(validations)
-            | matches(r"\b(validate|sanitize|authorize|permission|allowlist|schema)\b", text)
-        )
-    )
+    chain = None
+    for kinds, in_text, in_code in PATH_SANITIZERS:
+        found = matches(in_text, text)
+        found = found | matches(in_code, code) if in_code else found
+        chain = F.when(sink_kind.isin(*kinds), found) if chain is None else chain.when(sink_kind.isin(*kinds), found)
+    return chain.otherwise(nonempty(validations) | matches(PATH_SANITIZER, text))
 
 
 def edge_sink_class(name, summary, side_effects, outputs, params) -> Column:

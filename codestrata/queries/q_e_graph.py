@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import taint as V
 from ..operators import binding, edges as E, graph as G, pointsto as P, taint as T
 from ..session import cut
 from .bindings import ORACLE_DEPENDS, ORACLE_RELATIONS
-from .facts import function_facts
+from .facts import function_facts, sql_rx
 from .registry import query
 
 
@@ -153,28 +154,28 @@ def topological_depth(b):
 
 
 _PATHS = """WITH RECURSIVE p AS (SELECT function_id AS start, function_id AS node, [function_id] AS path FROM fn_base WHERE local_ix < 4
-    UNION ALL SELECT start, dst, list_append(path, dst) FROM p JOIN edges ON src = node WHERE len(path) < 7 AND NOT list_contains(path, dst))"""
+    UNION ALL SELECT start, dst, list_append(path, dst) FROM p JOIN edges ON src = node WHERE len(path) < 14 AND NOT list_contains(path, dst))"""
 
 
 @query("path_enum", _PATHS + """ SELECT start, node, array_to_string(path, '>') AS path FROM p WHERE len(path) > 1 AND node % 5 = 4""")
 def path_enum(b):
     starts = b.fn_base.where("local_ix < 4").select("project_id", F.col("function_id").alias("node"))
     goals = b.fn_base.where("function_id % 5 = 4").select("project_id", F.col("function_id").alias("node"))
-    p = G.expand_paths(b.edges, starts, goals, 7)
+    p = G.expand_paths(b.edges, starts, goals)
     return p.select("start", "node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query("upstream_chain", """
     WITH RECURSIVE u AS (SELECT function_id AS target, function_id AS node, [function_id] AS path FROM fn_base WHERE function_id % 8 = 3
-      UNION ALL SELECT target, src, list_append(path, src) FROM u JOIN edges ON dst = node WHERE len(path) < 9 AND NOT list_contains(path, src)),
+      UNION ALL SELECT target, src, list_append(path, src) FROM u JOIN edges ON dst = node WHERE NOT list_contains(path, src)),
       hit AS (SELECT target, min(len(path)) AS n FROM u WHERE node NOT IN (SELECT dst FROM edges) GROUP BY target)
     SELECT f.function_id AS target, CAST(coalesce(n, 1) AS BIGINT) AS chain_length FROM fn_base f LEFT JOIN hit ON target = f.function_id WHERE f.function_id % 8 = 3""")
 def upstream_chain(b):
     t = b.fn_base.where("function_id % 8 = 3").select(F.col("function_id").alias("node"))
-    return G.upstream_chain(b.edges, t, 9).select("target", F.size("chain").cast("long").alias("chain_length"))
+    return G.upstream_chain(b.edges, t).select("target", F.size("chain").cast("long").alias("chain_length"))
 
 
-@query("main_path", _PATHS.replace("local_ix < 4", "local_ix = 1").replace("len(path) < 7", "len(path) < 9") + """
+@query("main_path", _PATHS.replace("local_ix < 4", "local_ix = 1").replace("len(path) < 14", "len(path) < 9") + """
     , best AS (SELECT start, max(len(path)) AS n FROM p GROUP BY start)
     SELECT f.project_id, CASE WHEN count(e.dst) >= 2 THEN CAST(1 + count(e.dst) AS BIGINT) ELSE CAST(max(n) AS BIGINT) END AS path_length
     FROM fn_base f LEFT JOIN edges e ON e.src = f.function_id JOIN best ON best.start = f.function_id WHERE f.local_ix = 1 GROUP BY f.project_id""")
@@ -213,13 +214,16 @@ def taint_fixpoint(b):
     return taint_facts(b)
 
 
-@query("sink_verdict", """
+SINK_VERDICT_SQL = """
     SELECT function_id, sink_kind, coalesce(n, 0) AS tainted_variables, CASE WHEN ex THEN 'exposed' WHEN n IS NOT NULL THEN 'sanitized' ELSE 'candidate' END AS status
     FROM (SELECT function_id, CASE WHEN regexp_matches(t, '(?i)execute|query|rawsql|cursor\\.execute') THEN 'sql' WHEN regexp_matches(t, '(?i)exec|spawn|system\\s*\\(|runtime\\.getruntime') THEN 'command'
             WHEN regexp_matches(t, '(?i)writefile|open\\s*\\(|sendfile|path\\.join') THEN 'file' WHEN regexp_matches(t, '(?i)fetch|request|http|socket') THEN 'network'
             WHEN regexp_matches(t, '(?i)innerhtml|render|template') THEN 'dom-template' END AS sink_kind
           FROM (SELECT function_id, name || ' ' || body || ' ' || array_to_string(side_effects, ' ') AS t FROM facts))
-    LEFT JOIN (SELECT function_id AS f, count(*) AS n, bool_or(NOT sanitized) AS ex FROM tfact GROUP BY 1) ON f = function_id WHERE sink_kind IS NOT NULL""")
+    LEFT JOIN (SELECT function_id AS f, count(*) AS n, bool_or(NOT sanitized) AS ex FROM tfact GROUP BY 1) ON f = function_id WHERE sink_kind IS NOT NULL"""
+
+
+@query("sink_verdict", SINK_VERDICT_SQL)
 def sink_verdict(b):
     f = cut(function_facts(b))
     return T.sink_verdicts(f, T.taint_fixpoint(f, cfg(b), b.edges)[0])
@@ -306,12 +310,16 @@ def heap_objects(b):
     return P.heap_objects(cfg(b)).select("object_id", "function_id", "release_count")
 
 
-@query("arg_param_binding", """
+ORACLE_RELATIONS["abind"] = """
     SELECT a.function_id AS src, c.function_id AS dst, CAST(0 AS BIGINT) AS position, a.arg0 AS name,
            CASE c.p_size % 4 WHEN 0 THEN 'request: string' WHEN 1 THEN 'value' WHEN 2 THEN 'unknown' ELSE 'payload: string' END AS parameter FROM fn a JOIN fn c ON c.function_id = a.c1
     UNION ALL SELECT a.function_id, c.function_id, 1, '7', CASE c.p_size % 4 WHEN 0 THEN 'limit: number' WHEN 1 THEN 'value' WHEN 2 THEN 'unknown' ELSE 'user' END FROM fn a JOIN fn c ON c.function_id = a.c1
     UNION ALL SELECT a.function_id, c.function_id, 0, 'first', CASE c.p_size % 4 WHEN 0 THEN 'request: string' WHEN 1 THEN 'value' WHEN 2 THEN 'unknown' ELSE 'payload: string' END
-    FROM fn a JOIN fn c ON c.function_id = a.c2 WHERE a.c1 IS NULL OR a.c1 <> a.c2""")
+    FROM fn a JOIN fn c ON c.function_id = a.c2 WHERE a.c1 IS NULL OR a.c1 <> a.c2"""
+ORACLE_DEPENDS["abind"] = ("fn",)
+
+
+@query("arg_param_binding", "SELECT * FROM abind")
 def arg_param_binding(b):
     return binding.bind_arguments(function_facts(b), b.edges).select("src", "dst", "position", "name", "parameter")
 
@@ -363,32 +371,76 @@ def edge_items(b, f):
         F.when(F.col("src") % 7 == 0, "runtime").otherwise("ast").alias("grade"), "confidence")
 
 
-def paths(b, n=5):
+def paths(b):
     f = cut(function_facts(b))
     facts, _ = T.taint_fixpoint(f, cfg(b), b.edges)
-    return T.taint_paths(f, b.edges, T.sink_verdicts(f, facts), edge_items(b, f), n)
-
-
-@query("taint_paths")
+    return T.taint_paths(f, b.edges, T.sink_verdicts(f, facts), edge_items(b, f))
+
+
+def _cases(pairs, column):
+    return " ".join(f"WHEN {sql_rx(column, pattern)} THEN '{kind}'" for kind, pattern in pairs)
+
+
+_CLEAN = " ".join(
+    f"WHEN sink_kind IN ({', '.join(repr(k) for k in kinds)}) THEN {sql_rx('t', in_text)}" + (f" OR {sql_rx('code', in_code)}" if in_code else "")
+    for kinds, in_text, in_code in V.PATH_SANITIZERS)
+ORACLE_RELATIONS["vdict"] = SINK_VERDICT_SQL
+ORACLE_DEPENDS["vdict"] = ("facts", "tfact")
+ORACLE_RELATIONS["psrc"] = f"""
+    SELECT function_id AS node, CASE {_cases(V.PATH_SOURCES, 't')} WHEN {sql_rx('t', V.PATH_PARAMETER)} OR declared THEN 'parameter' ELSE 'unknown' END AS source_kind
+    FROM (SELECT function_id, len(external_inputs) > 0 AS declared, lower(concat_ws(' ', name, summary, array_to_string(external_inputs, ' '), body)) AS t FROM facts)
+    WHERE declared OR {sql_rx('t', V.PATH_SOURCE_API)} OR (function_id NOT IN (SELECT dst FROM edges) AND {sql_rx('t', V.PATH_ROOT_INPUT)})"""
+ORACLE_DEPENDS["psrc"] = ("facts", "edges")
+ORACLE_RELATIONS["psink"] = f"""
+    SELECT * FROM (SELECT project_id, function_id AS sink, CASE {_cases(V.PATH_SINKS, 't')} END AS sink_kind
+      FROM (SELECT project_id, function_id, lower(concat_ws(' ', name, summary, array_to_string(risks, ' '), array_to_string(side_effects, ' '), body)) AS t FROM facts)) WHERE sink_kind IS NOT NULL"""
+ORACLE_DEPENDS["psink"] = ("facts",)
+ORACLE_RELATIONS["ppath"] = """
+    SELECT psink.project_id, start, sink, source_kind, sink_kind, path FROM (
+        WITH RECURSIVE w AS (SELECT node AS start, node, [node] AS path FROM psrc
+          UNION ALL SELECT start, dst, list_append(path, dst) FROM w JOIN edges ON src = w.node WHERE len(path) < 14 AND NOT list_contains(path, dst))
+        SELECT * FROM w WHERE len(path) > 1) AS walk JOIN psink ON sink = walk.node JOIN psrc ON psrc.node = start"""
+ORACLE_DEPENDS["ppath"] = ("psrc", "psink", "edges")
+ORACLE_RELATIONS["tpath"] = f"""
+    WITH clean AS (SELECT start, path, count(*) FILTER (WHERE CASE {_CLEAN} ELSE nv OR {sql_rx('t', V.PATH_SANITIZER)} END) AS sanitizers
+           FROM (SELECT start, path, sink_kind, unnest(path) AS n FROM ppath)
+           JOIN (SELECT function_id, len(validations) > 0 AS nv, lower(concat_ws(' ', name, summary, array_to_string(validations, ' '))) AS t, lower(body) AS code FROM facts) ON function_id = n
+           GROUP BY start, path),
+         item AS (SELECT src, dst, count(*) AS items FROM abind GROUP BY 1, 2),
+         hop AS (SELECT start, path, bool_and(coalesce(items, 0) > 0) AS bound, bool_and(edges.src % 7 = 0) AS observed, min(CASE WHEN edges.src % 7 = 0 THEN 4 ELSE 1 END) AS grade_rank, min(confidence) AS conf
+           FROM (SELECT start, path, unnest(list_zip(path[1:len(path)-1], path[2:len(path)])) AS e FROM ppath) JOIN edges ON edges.src = e[1] AND edges.dst = e[2]
+           LEFT JOIN item ON item.src = edges.src AND item.dst = edges.dst GROUP BY start, path),
+         st AS (SELECT ppath.*, sanitizers, grade_rank, least(a.confidence, z.confidence, conf) AS low,
+             CASE WHEN v.status = 'exposed' THEN 'exposed' WHEN v.status = 'sanitized' OR sanitizers > 0 THEN 'sanitized' WHEN observed OR bound THEN 'exposed' ELSE 'candidate' END AS status
+           FROM ppath JOIN clean USING (start, path) JOIN hop USING (start, path) LEFT JOIN vdict v ON v.function_id = sink
+           JOIN facts a ON a.function_id = start JOIN facts z ON z.function_id = sink)
+    SELECT project_id, start, sink, source_kind, sink_kind, path, CAST(sanitizers AS BIGINT) AS sanitizers, status, CASE grade_rank WHEN 4 THEN 'runtime' ELSE 'ast' END AS grade,
+           CAST(greatest(28, least(100, low - CASE WHEN status = 'candidate' THEN 18 ELSE 0 END)) AS BIGINT) AS confidence FROM st"""
+ORACLE_DEPENDS["tpath"] = ("ppath", "abind", "vdict", "facts", "edges")
+
+
+@query("taint_paths", "SELECT project_id, start, sink, source_kind, sink_kind, array_to_string(path, '>') AS path, sanitizers, status, grade, confidence FROM tpath")
 def taint_paths(b):
     p = paths(b)
     return p.select("project_id", "start", "sink", "source_kind", "sink_kind", F.array_join(F.transform(
         "path", lambda x: x.cast("string")), ">").alias("path"), "sanitizers", "status", "grade", "confidence")
 
 
-@query("exposed_paths")
+@query("exposed_paths", """
+    SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY confidence DESC, len(path) DESC, path) AS path_rank, start, sink, confidence
+    FROM tpath WHERE status = 'exposed' QUALIFY path_rank <= 8""")
 def exposed_paths(b):
     return T.exposed_report(paths(b)).select("project_id", "path_rank", "start", "sink", "confidence")
 
 
-@query("annotated_edges", _PATHS.replace("len(path) < 7", "len(path) < 5") + """
+@query("annotated_edges", _PATHS + """
     , h AS (SELECT start % 3 AS r, unnest(list_zip(path[1:len(path)-1], path[2:len(path)])) AS e FROM p WHERE len(path) > 1 AND node % 5 = 4)
     SELECT src, dst, CASE max(CASE r WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END) WHEN 3 THEN 'exposed' WHEN 2 THEN 'candidate' WHEN 1 THEN 'sanitized' ELSE 'none' END AS taint_status, count(r) AS path_count
     FROM edges LEFT JOIN h ON e[1] = src AND e[2] = dst GROUP BY src, dst""")
 def annotated_edges(b):
     starts = b.fn_base.where("local_ix < 4").select("project_id", F.col("function_id").alias("node"))
     goals = b.fn_base.where("function_id % 5 = 4").select("project_id", F.col("function_id").alias("node"))
-    p = G.expand_paths(b.edges, starts, goals, 5).withColumn(
+    p = G.expand_paths(b.edges, starts, goals).withColumn(
         "status", F.when(F.col("start") % 3 == 0, "exposed").when(F.col("start") % 3 == 1, "candidate").otherwise("sanitized"))
     return T.annotate_edges(b.edges, p).select("src", "dst", "taint_status", "path_count")
 
