@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import flow, taint
-from ..functions.common import flags, lookup, nonempty, round_half_up
+from ..functions.common import clamp, flags, lookup, nonempty, round_half_up
 from ..functions.rule_table import (
     CONTEXTS, MUTATION_WORDS, PATTERN_SIGNALS, RULES, STRUCTURAL_SIGNALS, WEAK_TOKEN_BAD, WEAK_TOKEN_GOOD, Context, Rule,
 )
@@ -278,3 +278,30 @@ AREA_TARGETS = (
 def area_targets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(c, n, t.split()) for c, n, t in AREA_TARGETS], "category string, target_count int, required_tags array<string>")
+
+
+# Entries of each kind a seeded library should hold; levels of seeds without signed sources.
+LIBRARY_TARGETS = {
+    "version_constraint": 18, "sdk_api": 18, "fault_sample": 20, "benchmark": 16, "repair_recipe": 16, "environment": 10, "hardware": 10,
+}
+SEED_LEVELS = {"traceability": 42, "freshness": 24, "conflict_control": 30}
+SEED_BENCHMARK, SEED_REPAIR = 44, 22
+
+
+def data_quality(entries: DataFrame, keys: Sequence[str] = ("library_id",)) -> DataFrame:
+    """Data quality of knowledge libraries from the entries they hold (``kind``; other kinds do not count).
+
+    Coverage is the mean share of the seven targets; benchmarks and repairs count by being there at all.
+    """
+    counts = entries.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in LIBRARY_TARGETS])
+    shares = sum((F.least(F.lit(100.0), F.col(k) / n * 100) for k, n in LIBRARY_TARGETS.items()), F.lit(0.0))
+    levels = {k: F.lit(v).cast("long").alias(k) for k, v in SEED_LEVELS.items()}
+    out = counts.select(
+        *keys, clamp(round_half_up(shares / len(LIBRARY_TARGETS)), 0, 100).alias("coverage"), *levels.values(),
+        F.when(F.col("benchmark") > 0, SEED_BENCHMARK).otherwise(0).cast("long").alias("benchmark_reproducibility"),
+        F.when(F.col("repair_recipe") > 0, SEED_REPAIR).otherwise(0).cast("long").alias("repair_verification"))
+    score = (
+        F.col("coverage") * 0.34 + F.col("traceability") * 0.2 + F.col("freshness") * 0.12 + F.col("benchmark_reproducibility") * 0.14
+        + F.col("repair_verification") * 0.12 + F.col("conflict_control") * 0.08)
+    out = out.withColumn("score", clamp(round_half_up(score), 0, 100))
+    return out.withColumn("status", F.when(F.col("score") >= 82, "validated").when(F.col("score") >= 55, "reviewable").otherwise("seed"))

@@ -493,3 +493,50 @@ def stage_lookup(functions: DataFrame, stages: DataFrame, files: DataFrame) -> D
 def top_functions(scored: DataFrame, n: int = 36) -> DataFrame:
     """most visible functions of each project."""
     return top_n(scored, ["project_id"], [F.desc("score"), F.col("function_id")], n, "position")
+
+
+def scenario_coverage(projects: DataFrame, scenarios: Sequence[tuple[str, str, str, Sequence[str]]], readiness: DataFrame,
+                      vectors: DataFrame, evidence: DataFrame) -> DataFrame:
+    """How far each project covers the validation scenarios of the model.
+
+    ``scenarios`` is the model's fixed list (id, dimension, source table, required words).  ``projects``: ``project_id,
+    text``; ``readiness``: ``project_id, source_table, readiness``; ``vectors``: ``project_id, source_table, dims`` (a map);
+    ``evidence``: ``project_id, scenario_id, dimension, passed, eligible, confidence, text``.  A vector counts by its
+    source table or a dimension of 0.48 or more, an evidence by its scenario or its dimension, each of them once.
+    Vectors are counted before they meet a scenario.  Nulls count as not passed, without text and of no table.
+    """
+    longest = max(len(s[3]) for s in scenarios)
+    rows = F.array(*[F.struct(
+        F.lit(i).alias("scenario_id"), F.lit(d).alias("dimension"), F.lit(t).alias("source_table"),
+        F.array(*[F.lit(w.lower()) for w in words]).cast("array<string>").alias("required")) for i, d, t, words in scenarios])
+    base = projects.select("project_id", F.lower(F.coalesce("text", F.lit(""))).alias("_text"), F.inline(rows))
+    strong = F.explode(F.map_keys(F.map_filter("dims", lambda _, v: v >= 0.48))).alias("dimension")
+    by_table = vectors.groupBy("project_id", "source_table").agg(F.count(F.lit(1)).alias("_t"))
+    by_both = vectors.select("project_id", "source_table", strong).groupBy("project_id", "source_table", "dimension").agg(
+        F.count(F.lit(1)).alias("_b"))
+    by_dim = by_both.groupBy("project_id", "dimension").agg(F.sum("_b").alias("_d"))
+    wanted = base.select("project_id", F.col("scenario_id").alias("_sid"), F.col("dimension").alias("_dim"), "required")
+    own = wanted.join(evidence.withColumn("_sid", F.col("scenario_id")), ["project_id", "_sid"])
+    other = wanted.join(evidence.withColumn("_dim", F.col("dimension")), ["project_id", "_dim"]).where(
+        F.coalesce(F.col("scenario_id") != F.col("_sid"), F.lit(True)))
+    said = F.lower(F.coalesce("text", F.lit("")))
+    passed = F.coalesce("passed", F.lit(False))
+    columns = ["project_id", "_sid", "required", "passed", "eligible", "confidence", "text"]
+    proofs = own.select(*columns).unionByName(other.select(*columns)).groupBy("project_id", F.col("_sid").alias("scenario_id")).agg(
+        F.count_if(passed).alias("checked"), F.count_if(passed & F.coalesce("eligible", F.lit(False))).alias("mature"),
+        F.avg(F.when(passed, F.col("confidence"))).alias("_c"),
+        F.array(*[F.coalesce(F.bool_or(F.contains(said, F.get("required", F.lit(i)))), F.lit(False)) for i in range(longest)]).alias("_said"))
+    joined = (
+        base.join(readiness, ["project_id", "source_table"], "left").join(by_table, ["project_id", "source_table"], "left")
+        .join(by_dim, ["project_id", "dimension"], "left").join(by_both, ["project_id", "source_table", "dimension"], "left")
+        .join(proofs, ["project_id", "scenario_id"], "left").fillna(0, ["readiness", "_t", "_d", "_b", "checked", "mature", "_c"]))
+    hits = F.size(F.filter(
+        F.transform("required", lambda w, i: F.contains("_text", w) | F.coalesce(F.get(F.col("_said"), i), F.lit(False))), lambda x: x))
+    counted = joined.withColumn("vector_count", F.col("_t") + F.col("_d") - F.col("_b")).withColumn("required_hits", hits.cast("long"))
+    score = (
+        F.col("readiness") * 0.28 + F.least(F.lit(100), F.col("vector_count") * 8) * 0.22
+        + F.least(F.lit(100), F.col("required_hits") * 34) * 0.18 + F.col("_c") * 0.32)
+    coverage = F.greatest(F.lit(0), F.least(F.lit(100), round_half_up(score)))
+    out = counted.withColumn("coverage", coverage)
+    status = F.when((F.col("coverage") >= 82) & (F.col("mature") > 0), "passed").when(F.col("coverage") >= 58, "ready").otherwise("blocked")
+    return out.select("project_id", "scenario_id", "dimension", "vector_count", "required_hits", "checked", "mature", "coverage", status.alias("status"))

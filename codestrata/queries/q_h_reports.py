@@ -356,3 +356,63 @@ def stage_lookup(b):
     f = function_facts(b).select("function_id", "file_id")
     files = b.fn.groupBy("file_id").agg(F.first("language").alias("language"))
     return P.stage_lookup(f, stages(b), files).select("function_id", "stage_role", "file_language")
+
+
+_ENTRY_KINDS = ("version_constraint", "sdk_api", "fault_sample", "benchmark", "repair_recipe", "environment", "hardware", "library_entry")
+_ENTRY_SQL = "CASE (l_orderkey + l_suppkey * l_linenumber) % 40 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_ENTRY_KINDS)) + " ELSE 'other' END"
+
+
+@query("data_quality", f"""
+    WITH e AS (SELECT l_suppkey AS library_id, {_ENTRY_SQL} AS kind FROM lineitem),
+         c AS (SELECT library_id, CAST(floor((least(100, count(*) FILTER (WHERE kind = 'version_constraint') / 18 * 100) + least(100, count(*) FILTER (WHERE kind = 'sdk_api') / 18 * 100)
+             + least(100, count(*) FILTER (WHERE kind = 'fault_sample') / 20 * 100) + least(100, count(*) FILTER (WHERE kind = 'benchmark') / 16 * 100)
+             + least(100, count(*) FILTER (WHERE kind = 'repair_recipe') / 16 * 100) + least(100, count(*) FILTER (WHERE kind = 'environment') / 10 * 100)
+             + least(100, count(*) FILTER (WHERE kind = 'hardware') / 10 * 100)) / 7 + 0.5::DOUBLE) AS BIGINT) AS coverage,
+             CASE WHEN bool_or(kind = 'benchmark') THEN 44 ELSE 0 END AS b, CASE WHEN bool_or(kind = 'repair_recipe') THEN 22 ELSE 0 END AS r FROM e GROUP BY 1)
+    SELECT library_id, coverage, score, CASE WHEN score >= 82 THEN 'validated' WHEN score >= 55 THEN 'reviewable' ELSE 'seed' END AS status FROM (
+      SELECT *, CAST(floor(coverage * 0.34::DOUBLE + 42 * 0.2::DOUBLE + 24 * 0.12::DOUBLE + b * 0.14::DOUBLE + r * 0.12::DOUBLE + 30 * 0.08::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS score FROM c)""")
+def data_quality(b):
+    from ..operators.rules import data_quality as quality
+
+    entries = b.lineitem.select(F.col("l_suppkey").alias("library_id"), F.expr(_ENTRY_SQL).alias("kind"))
+    return quality(entries).select("library_id", "coverage", "score", "status")
+
+
+_SCENARIOS = (
+    ("s1", "runtime", "view", ("Trace A", "seven")), ("s2", "security", "click", ("trace n", "acct 1", "none")),
+    ("s3", "repair", "purchase", ()), ("s4", "runtime", "error", ("acct",)))
+_PROJECT_TEXT = "'Project of nation ' || CAST(s_nationkey AS STRING) || CASE WHEN s_suppkey % 3 = 0 THEN ' ACCT 1' ELSE ' seven' END"
+_DIM_SQL = "CASE l_returnflag WHEN 'A' THEN 'runtime' WHEN 'N' THEN 'security' ELSE 'repair' END"
+
+
+@query("scenario_coverage", f"""
+    WITH s AS (SELECT * FROM (VALUES ('s1', 'runtime', 'view', ['trace a', 'seven']), ('s2', 'security', 'click', ['trace n', 'acct 1', 'none']),
+           ('s3', 'repair', 'purchase', CAST([] AS VARCHAR[])), ('s4', 'runtime', 'error', ['acct'])) AS t(sid, dim, tab, required)),
+         p AS (SELECT s_suppkey AS project_id, lower({_PROJECT_TEXT}) AS t FROM supplier),
+         v AS (SELECT user_id % 120 + 1 AS project_id, event_type AS tab, value / 100 >= 0.48 AS runtime, (event_id % 100) / 100 >= 0.48 AS security FROM events),
+         e AS (SELECT l_suppkey AS project_id, 's' || CAST(l_linenumber AS VARCHAR) AS sid, {_DIM_SQL} AS dim, l_linestatus = 'F' AS passed, l_quantity > 25 AS eligible,
+                 CAST(l_quantity AS BIGINT) AS confidence, lower('Trace ' || l_returnflag) AS t FROM lineitem),
+         vc AS (SELECT p.project_id, s.sid, count(v.tab) AS n FROM p CROSS JOIN s LEFT JOIN v ON v.project_id = p.project_id
+                 AND (v.tab = s.tab OR (s.dim = 'runtime' AND v.runtime) OR (s.dim = 'security' AND v.security)) GROUP BY 1, 2),
+         ec AS (SELECT p.project_id, s.sid, count(*) FILTER (WHERE e.passed) AS checked, count(*) FILTER (WHERE e.passed AND e.eligible) AS mature,
+                 coalesce(avg(e.confidence) FILTER (WHERE e.passed), 0) AS c, coalesce(list(DISTINCT e.t) FILTER (WHERE e.t IS NOT NULL), []) AS texts
+                 FROM p CROSS JOIN s LEFT JOIN e ON e.project_id = p.project_id AND (e.sid = s.sid OR e.dim = s.dim) GROUP BY 1, 2),
+         h AS (SELECT p.project_id, s.sid, s.dim, len(list_filter(required, lambda w: contains(p.t, w) OR len(list_filter(texts, lambda x: contains(x, w))) > 0)) AS hits,
+                 n, checked, mature, c, CASE WHEN tab = 'view' THEN p.project_id % 101 WHEN tab = 'error' THEN 100 ELSE 0 END AS ready
+                 FROM p CROSS JOIN s JOIN vc ON vc.project_id = p.project_id AND vc.sid = s.sid JOIN ec ON ec.project_id = p.project_id AND ec.sid = s.sid)
+    SELECT project_id, sid AS scenario_id, dim AS dimension, n AS vector_count, hits AS required_hits, checked, mature, coverage,
+           CASE WHEN coverage >= 82 AND mature > 0 THEN 'passed' WHEN coverage >= 58 THEN 'ready' ELSE 'blocked' END AS status
+    FROM (SELECT *, CAST(greatest(0, least(100, floor(ready * 0.28::DOUBLE + least(100, n * 8) * 0.22::DOUBLE + least(100, hits * 34) * 0.18::DOUBLE + c * 0.32::DOUBLE + 0.5::DOUBLE))) AS BIGINT) AS coverage FROM h)""")
+def scenario_coverage(b):
+    projects = b.supplier.select(F.col("s_suppkey").alias("project_id"), F.expr(_PROJECT_TEXT).alias("text"))
+    ready = projects.select("project_id", F.inline(F.array(
+        F.struct(F.lit("view").alias("source_table"), (F.col("project_id") % 101).alias("readiness")),
+        F.struct(F.lit("error").alias("source_table"), F.lit(100).cast("long").alias("readiness")))))
+    vectors = b.events.select(
+        (F.col("user_id") % 120 + 1).alias("project_id"), F.col("event_type").alias("source_table"),
+        F.create_map(F.lit("runtime"), F.col("value") / 100, F.lit("security"), (F.col("event_id") % 100) / 100).alias("dims"))
+    evidence = b.lineitem.select(
+        F.col("l_suppkey").alias("project_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("scenario_id"),
+        F.expr(_DIM_SQL).alias("dimension"), (F.col("l_linestatus") == "F").alias("passed"), (F.col("l_quantity") > 25).alias("eligible"),
+        F.col("l_quantity").cast("long").alias("confidence"), F.concat(F.lit("Trace "), "l_returnflag").alias("text"))
+    return P.scenario_coverage(projects, _SCENARIOS, ready, vectors, evidence)
