@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import code, feeds, manifests, sinks, traces, tree
 from .bindings import ORACLE_DEPENDS, ORACLE_RELATIONS
-from .facts import function_facts
+from .facts import function_facts, q, sql_rx
 from .registry import query
 
 _HREF_PAGE = "html"
@@ -46,25 +46,31 @@ def source_scan_filter(b):
     SELECT page_id, CAST(len(l) AS BIGINT) AS n, array_to_string(l[1:5], '|') AS first_imports FROM (
         SELECT page_id, (SELECT list(m ORDER BY i) FROM (SELECT m, min(i) AS i FROM (
             SELECT unnest(x) AS m, generate_subscripts(x, 1) AS i) GROUP BY m)) AS l
-        FROM (SELECT page_id, list_filter(regexp_extract_all(html, '<a href="([^"]*)">', 1), lambda h: h <> '') AS x FROM page_files
-              WHERE page_id % 5 <> 2)) WHERE l IS NOT NULL""")
+        FROM (SELECT page_id, list_concat(list_filter(regexp_extract_all(html, '<a href="([^"]*)">', 1), lambda h: h <> ''),
+                CASE WHEN page_id % 5 = 2 THEN regexp_extract_all(html, '"([^"]+)":\\s*"[^"]+"', 1) ELSE [] END) AS x FROM page_files)) WHERE l IS NOT NULL""")
 def import_extract(b):
-    f = pages_as_files(b).where("page_id % 5 <> 2")
+    f = pages_as_files(b)
     out = f.select("page_id", tree.imports(F.col("path"), F.col("content"), limit=None).alias("l")).where("size(l) > 0")
     return out.select("page_id", F.size("l").cast("long").alias("n"), F.array_join(F.slice("l", 1, 5), "|").alias("first_imports"))
 
 
-@query("environment_and_device_refs", """
-    SELECT page_id, array_to_string(list_concat(CASE WHEN page_id % 3 = 0 THEN ['PAGE_KEY', 'HOME_DIR'] ELSE [] END,
-             CASE WHEN page_id % 5 = 2 THEN ['manifest:package.json'] ELSE [] END), '|') AS env_refs,
-           CASE WHEN page_id % 4 = 0 THEN 'Serial.read|digitalWrite|GPIO' ELSE '' END AS device_refs
-    FROM page_files WHERE NOT regexp_matches(html, '\\b(PORT|DATABASE_URL|API_KEY|SECRET|TOKEN|NODE_ENV|PYTHONPATH|CLASSPATH|GPIO|PWM|UART|I2C|SPI|ADC|DAC)\\b')
-      AND NOT regexp_matches(html, '(?i)\\b(relay|motor|sensor|watchdog|heartbeat|safeStop)\\b')""")
+def _distinct_sql(lists: str) -> str:
+    return f"(SELECT coalesce(string_agg(m, '|' ORDER BY i), '') FROM (SELECT m, min(i) AS i FROM (SELECT unnest(x) AS m, generate_subscripts(x, 1) AS i FROM (SELECT {lists} AS x)) GROUP BY m))"
+
+
+def _groups_sql(text: str, patterns) -> str:
+    return "flatten([" + ", ".join(f"regexp_extract_all({text}, {q(p)}, 1)" for p in patterns) + "])"
+
+
+_ENVIRONMENT_SQL = f"""list_concat({_groups_sql("path || chr(10) || content", tree.ENVIRONMENT_PATTERNS)}, list_concat(
+    CASE WHEN page_id % 5 = 2 THEN ['manifest:package.json'] ELSE [] END, CASE WHEN {sql_rx("content", tree.WELL_KNOWN_VARIABLES)} THEN ['runtime-env'] ELSE [] END))"""
+
+
+@query("environment_and_device_refs", f"""
+    SELECT page_id, {_distinct_sql(_ENVIRONMENT_SQL)} AS env_refs, {_distinct_sql(_groups_sql("content", tree.DEVICE_PATTERNS))} AS device_refs
+    FROM (SELECT page_id, path, html || tail AS content FROM page_files)""")
 def environment_and_device_refs(b):
-    f = pages_as_files(b).where(
-        ~F.col("content").rlike(tree.WELL_KNOWN_VARIABLES) & ~F.regexp_replace("content", "Serial.read digitalWrite GPIO$", "")
-        .rlike(r"\b(GPIO|PWM|UART|I2C|SPI|ADC|DAC)\b") & ~F.col("content").rlike(tree.DEVICE_PATTERNS[3]))
-    return f.select(
+    return pages_as_files(b).select(
         "page_id", F.array_join(tree.environment_refs(F.col("path"), F.col("content")), "|").alias("env_refs"),
         F.array_join(tree.device_refs(F.col("content")), "|").alias("device_refs"))
 
