@@ -86,3 +86,20 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     """Last non-null value so far inside one file."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+
+
+def max_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], bucket: Column) -> DataFrame:
+    """Running maxima over the earlier rows of a group, by name; null before the first value.
+
+    ``bucket`` must not decrease along ``order``. Windows run inside (group, bucket) only, and what earlier buckets hold is
+    carried in by a table with one row per bucket, so a group of any size is spread over as many tasks as it has buckets.
+    """
+    marked = df.withColumns({"_bucket": bucket, **{f"_v_{n}": v for n, v in values.items()}})
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = marked.withColumns({f"_w_{n}": F.max(f"_v_{n}").over(inner) for n in values})
+    earlier = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_k__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    heads = marked.groupBy(*[F.col(k).alias(f"_k_{k}") for k in (*keys, "_bucket")]).agg(*[F.max(f"_v_{n}").alias(f"_h_{n}") for n in values])
+    carried = heads.select(*[f"_k_{k}" for k in (*keys, "_bucket")], *[F.max(f"_h_{n}").over(earlier).alias(f"_c_{n}") for n in values])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, "_bucket")]
+    joined = within.join(carried, same)
+    return joined.select(*df.columns, *[F.greatest(f"_w_{n}", f"_c_{n}").alias(n) for n in values])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import flow
 from ..functions.common import first_match, flags, lookup, round_half_up
-from ..operators.windows import first_per, latest_per, top_n
+from ..operators.windows import first_per, latest_per, max_before, top_n
 from ..session import cut
 from ..sources.tree import word_text
 
@@ -209,15 +209,31 @@ def corridors(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _touched(segments: DataFrame, cell: float) -> DataFrame:
+    """Each segment with the grid cells (_cx, _cy) that it runs through: as many as it is long, not as its box is large."""
+    left, right = F.least("x1", "x2"), F.greatest("x1", "x2")
+    columns = segments.withColumn("_cx", F.explode(F.sequence(F.floor(left / cell), F.floor(right / cell))))
+    slope = (F.col("y2") - F.col("y1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0))
+
+    def height(x: Column) -> Column:
+        return F.col("y1") + (x - F.col("x1")) * slope
+
+    one, two = (height(F.greatest(left, F.col("_cx") * cell)), height(F.least(right, (F.col("_cx") + 1) * cell)))
+    upright = slope.isNull()
+    low = F.when(upright, F.least("y1", "y2")).otherwise(F.least(one, two))
+    high = F.when(upright, F.greatest("y1", "y2")).otherwise(F.greatest(one, two))
+    # heights are rounded, so a border within reach of the rounding belongs to both cells
+    slack = F.lit(1e-9) * (F.abs("y1") + F.abs("y2") + F.lit(cell))
+    return columns.withColumn("_cy", F.explode(F.sequence(F.floor((low - slack) / cell), F.floor((high + slack) / cell))))
+
+
 def crossings(segments: DataFrame, cell: float) -> DataFrame:
     """Pairs of segments that cross, per map: ``map_id, seg_id, x1, y1, x2, y2`` (and ``a, b``, the end nodes).
 
-    Segments are put into every grid cell their box touches and compared inside a cell only; a pair that shares several
-    cells is counted once.
+    Segments are put into the grid cells they run through and compared inside a cell only; a pair that shares several
+    cells is counted once. Segments without a length cross nothing; maps without crossings have no row.
     """
-    cells = segments.withColumn("_cx", F.explode(F.sequence(
-        F.floor(F.least("x1", "x2") / cell), F.floor(F.greatest("x1", "x2") / cell)))).withColumn("_cy", F.explode(F.sequence(
-            F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
+    cells = _touched(segments, cell)
     left = cells.select("map_id", "_cx", "_cy", *[F.col(c).alias(f"l_{c}") for c in ("seg_id", "x1", "y1", "x2", "y2", "a", "b")])
     right = cells.select("map_id", "_cx", "_cy", *[F.col(c).alias(f"r_{c}") for c in ("seg_id", "x1", "y1", "x2", "y2", "a", "b")])
 
@@ -231,21 +247,88 @@ def crossings(segments: DataFrame, cell: float) -> DataFrame:
     return pairs.select("map_id", "l_seg_id", "r_seg_id").distinct().groupBy("map_id").agg(F.count(F.lit(1)).alias("crossings"))
 
 
-def baseline_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Baseline of every snapshot among the earlier ones of its group.
+#: The room kept between two nodes on top of their radii.
+NODE_GAP = 10
 
-    Newest earlier stable one of the same project, else newest earlier stable one, else newest earlier one.  The three
-    running maxima are prefix aggregates over (group, time), never a self-join.
+
+def overlaps(nodes: DataFrame, cell: float) -> DataFrame:
+    """Pairs of nodes nearer than their radii plus a gap, per map: ``map_id, x, y, radius``, one row per node.
+
+    Nodes at one place and of one radius become one row with their number. Places meet in the square of cells that their
+    reach covers, and only as groups (cell, radius): a pair of groups that lies near enough as a whole is counted by the
+    product of its numbers, one that lies apart as a whole is dropped, and only places of the others are compared. A
+    dense spot therefore costs cells, not pairs. Nodes without a place do not count; maps without overlaps have no row.
+    """
+    placed = nodes.where("x IS NOT NULL AND y IS NOT NULL").groupBy("map_id", "x", "y", "radius").agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(placed.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)}))
+    key = ["map_id", "cx", "cy", "radius"]
+    cells = placed.groupBy(*key).agg(F.sum("n").alias("n"), *[f("x" if ax == "x" else "y").alias(f"{b}{ax}") for ax in "xy" for b, f in (("low_", F.min), ("high_", F.max))])
+    widest = placed.groupBy("map_id").agg(F.max("radius").alias("widest"))
+    reach = F.ceil((F.col("radius") + F.col("widest") + NODE_GAP) / cell)
+    steps = cells.join(widest, "map_id").withColumn("_dx", F.explode(F.sequence(-reach, reach))).withColumn("_dy", F.explode(F.sequence(-reach, reach)))
+    here = steps.select("map_id", *[F.col(c).alias(f"l_{c}") for c in (*key[1:], "n", "low_x", "high_x", "low_y", "high_y")],
+                        (F.col("cx") + F.col("_dx")).alias("r_cx"), (F.col("cy") + F.col("_dy")).alias("r_cy"))
+    there = cells.select("map_id", *[F.col(c).alias(f"r_{c}") for c in (*key[1:], "n", "low_x", "high_x", "low_y", "high_y")])
+    met = here.join(there, ["map_id", "r_cx", "r_cy"]).where(
+        F.struct("l_cx", "l_cy", "l_radius") <= F.struct("r_cx", "r_cy", "r_radius"))
+    need = F.col("l_radius") + F.col("r_radius") + NODE_GAP
+    gap = [F.greatest(F.lit(0.0), F.col(f"r_low_{a}") - F.col(f"l_high_{a}"), F.col(f"l_low_{a}") - F.col(f"r_high_{a}")) for a in "xy"]
+    span = [F.greatest(F.col(f"r_high_{a}") - F.col(f"l_low_{a}"), F.col(f"l_high_{a}") - F.col(f"r_low_{a}")) for a in "xy"]
+    same = (F.col("l_cx") == F.col("r_cx")) & (F.col("l_cy") == F.col("r_cy")) & (F.col("l_radius") == F.col("r_radius"))
+    whole = span[0] * span[0] + span[1] * span[1] < need * need
+    met = cut(met.where(gap[0] * gap[0] + gap[1] * gap[1] < need * need).withColumns({"same": same, "whole": whole}))
+    pairs = F.when(F.col("same"), F.expr("l_n * (l_n - 1) div 2")).otherwise(F.col("l_n") * F.col("r_n"))
+    by_group = met.where("whole").groupBy("map_id").agg(F.sum(pairs).alias("pairs"))
+
+    def places(side: str) -> DataFrame:
+        return placed.select("map_id", *[F.col(c).alias(f"{side}_{c}") for c in key[1:]], *[F.col(c).alias(f"{side}{c}") for c in "xyn"])
+
+    open_ = met.where("NOT whole").select("map_id", *[f"{s}_{c}" for s in "lr" for c in key[1:]], "same")
+    one = open_.join(places("l"), ["map_id", *[f"l_{c}" for c in key[1:]]]).join(places("r"), ["map_id", *[f"r_{c}" for c in key[1:]]])
+    dx, dy = F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry")
+    once = ~F.col("same") | (F.struct("lx", "ly") <= F.struct("rx", "ry"))
+    at_once = F.col("same") & (F.col("lx") == F.col("rx")) & (F.col("ly") == F.col("ry"))
+    number = F.when(at_once, F.expr("ln * (ln - 1) div 2")).otherwise(F.col("ln") * F.col("rn"))
+    by_place = one.where(once & (dx * dx + dy * dy < need * need)).groupBy("map_id").agg(F.sum(number).alias("pairs"))
+    total = by_group.unionByName(by_place).groupBy("map_id").agg(F.sum("pairs").alias("overlaps"))
+    return total.where("overlaps > 0")
+
+
+def map_quality(overlap: DataFrame, crossing: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Readability of each map from its overlaps, crossings, primary channels and placed nodes.
+
+    ``edges``: ``map_id, status, primary``; ``nodes``: ``map_id, x, y, basin, is_aggregate``.
     """
-    from pyspark.sql import Window
+    placed = nodes.groupBy("map_id").agg(
+        F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("placed"),
+        F.count_if("is_aggregate").alias("aggregates"), F.count_distinct(F.nullif(F.col("basin"), F.lit(""))).alias("basins"))
+    drawn = edges.groupBy("map_id").agg(
+        F.count_if("primary").alias("primary_channels"),
+        F.count_if(F.col("status").isin("Open", "Overflow Risk", "Blocked")).alias("issue_segments"))
+    out = placed.join(drawn, "map_id", "left").join(overlap, "map_id", "left").join(crossing, "map_id", "left")
+    out = out.fillna(0, ["primary_channels", "issue_segments", "overlaps", "crossings"])
+    zero = F.lit(0)
+    score = 94 - F.col("overlaps") * 9 - F.least(F.lit(18), F.col("crossings") * 2) - F.greatest(
+        zero, 8 - F.col("primary_channels")) * 2 - F.greatest(zero, F.col("placed") - 44)
+    out = out.withColumn("readability", F.greatest(zero, F.least(F.lit(100), score)))
+    return out.withColumn("status", F.when(F.col("readability") >= 82, "clear").when(F.col("readability") >= 64, "usable").otherwise("untidy"))
+
+
+def baseline_snapshots(snapshots: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """Baseline of every snapshot among the earlier ones of its group.
 
-    before = lambda *k: Window.partitionBy(*k).orderBy("created_at", "snapshot_id").rowsBetween(Window.unboundedPreceding, -1)
+    Newest earlier stable one of the same project, else newest earlier stable one, else newest earlier one. The three
+    are running maxima carried over time buckets (months of ``created_at`` unless given), never a self-join: a hot group
+    is spread over its months. Null groups, projects and times count as values of their own.
+    """
+    bucket = F.trunc("created_at", "month") if bucket is None else bucket
     ref = F.struct("created_at", "snapshot_id")
     stable = F.when(F.col("status") == "stable", ref)
-    own = F.max(stable).over(before("group_id", "project_hash"))
-    any_stable = F.max(stable).over(before("group_id"))
-    anyone = F.max(ref).over(before("group_id"))
-    return snapshots.withColumn("baseline_id", F.coalesce(own, any_stable, anyone)["snapshot_id"])
+    order = ["created_at", "snapshot_id"]
+    group = max_before(snapshots, ["group_id"], order, {"_any_stable": stable, "_anyone": ref}, bucket)
+    found = max_before(group, ["group_id", "project_hash"], order, {"_own": stable}, bucket)
+    baseline = F.coalesce("_own", "_any_stable", "_anyone")["snapshot_id"].alias("baseline_id")
+    return found.select(*snapshots.columns, baseline)
 
 
 def compare_snapshots(current: DataFrame, baseline: DataFrame) -> DataFrame:

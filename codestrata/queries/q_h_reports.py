@@ -159,18 +159,59 @@ def corridors(b):
     return P.corridors(e)
 
 
-@query("map_crossings", """
-    WITH s AS (SELECT o_custkey % 100 AS map_id, o_orderkey AS id, o_orderkey % 97 AS x1, o_custkey % 89 AS y1, o_orderkey % 97 + o_custkey % 11 AS x2, o_custkey % 89 + o_orderkey % 13 AS y2, o_orderkey % 5000 AS a, 10000 + o_orderkey % 4999 AS b FROM orders),
+_SEGMENTS = """s AS (SELECT o_custkey % 100 AS map_id, o_orderkey AS id, o_orderkey % 97 AS x1, o_custkey % 89 AS y1, o_orderkey % 97 + o_custkey % 11 AS x2, o_custkey % 89 + o_orderkey % 13 AS y2, o_orderkey % 5000 AS a, 10000 + o_orderkey % 4999 AS b FROM orders),
       o AS (SELECT l.map_id, sign((l.y2 - l.y1) * (r.x1 - l.x2) - (l.x2 - l.x1) * (r.y1 - l.y2)) AS p, sign((l.y2 - l.y1) * (r.x2 - l.x2) - (l.x2 - l.x1) * (r.y2 - l.y2)) AS q,
          sign((r.y2 - r.y1) * (l.x1 - r.x2) - (r.x2 - r.x1) * (l.y1 - r.y2)) AS u, sign((r.y2 - r.y1) * (l.x2 - r.x2) - (r.x2 - r.x1) * (l.y2 - r.y2)) AS v
-        FROM s l JOIN s r ON l.map_id = r.map_id AND l.id < r.id AND l.a <> r.a AND l.a <> r.b AND l.b <> r.a AND l.b <> r.b
-         AND l.x1 <= r.x2 + 0 AND r.x1 <= l.x2 AND l.y1 <= r.y2 AND r.y1 <= l.y2)
-    SELECT map_id, CAST(count(*) AS BIGINT) AS crossings FROM o WHERE p <> q AND u <> v GROUP BY map_id""")
-def map_crossings(b):
+        FROM s l JOIN s r ON l.map_id = r.map_id AND l.id < r.id AND l.a <> r.a AND l.a <> r.b AND l.b <> r.a AND l.b <> r.b),
+      c AS (SELECT map_id, CAST(count(*) AS BIGINT) AS crossings FROM o WHERE p <> q AND u <> v GROUP BY map_id)"""
+
+
+def _segments(b):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    s = b.orders.select((c % 100).alias("map_id"), k.alias("seg_id"), (k % 97).alias("x1"), (c % 89).alias("y1"), (k % 97 + c % 11).alias("x2"),
-                        (c % 89 + k % 13).alias("y2"), (k % 5000).alias("a"), (10000 + k % 4999).alias("b"))
-    return P.crossings(s, 10.0)
+    return b.orders.select((c % 100).alias("map_id"), k.alias("seg_id"), (k % 97).alias("x1"), (c % 89).alias("y1"), (k % 97 + c % 11).alias("x2"),
+                           (c % 89 + k % 13).alias("y2"), (k % 5000).alias("a"), (10000 + k % 4999).alias("b"))
+
+
+@query("map_crossings", f"WITH {_SEGMENTS} SELECT map_id, crossings FROM c")
+def map_crossings(b):
+    return P.crossings(_segments(b), 10.0)
+
+
+_PLACES = """p AS (SELECT p_partkey % 40 AS map_id, p_partkey AS id, CAST(p_partkey * 7919 % 1511 AS DOUBLE) AS x, CAST(p_size * 37 + p_partkey * 31 % 997 AS DOUBLE) AS y,
+      CASE p_size % 5 WHEN 0 THEN 52 WHEN 1 THEN 50 WHEN 2 THEN 42 WHEN 3 THEN 40 ELSE 34 END AS radius, p_brand AS basin, p_type LIKE 'PROMO%' AS agg FROM part)"""
+
+
+def _places(b):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    radius = F.when(s % 5 == 0, 52).when(s % 5 == 1, 50).when(s % 5 == 2, 42).when(s % 5 == 3, 40).otherwise(34)
+    return b.part.select((k % 40).alias("map_id"), (k * 7919 % 1511).cast("double").alias("x"), (s * 37 + k * 31 % 997).cast("double").alias("y"),
+                         radius.alias("radius"), F.col("p_brand").alias("basin"), F.col("p_type").startswith("PROMO").alias("is_aggregate"))
+
+
+@query("map_overlaps", f"""
+    WITH {_PLACES}
+    SELECT l.map_id, CAST(count(*) AS BIGINT) AS overlaps FROM p l JOIN p r ON l.map_id = r.map_id AND l.id < r.id
+      AND (l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y) < (l.radius + r.radius + 10) * (l.radius + r.radius + 10) GROUP BY 1""")
+def map_overlaps(b):
+    return P.overlaps(_places(b), 32.0)
+
+
+@query("map_quality", f"""
+    WITH {_SEGMENTS}, {_PLACES},
+      w AS (SELECT l.map_id, count(*) AS n FROM p l JOIN p r ON l.map_id = r.map_id AND l.id < r.id
+        AND (l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y) < (l.radius + r.radius + 10) * (l.radius + r.radius + 10) GROUP BY 1),
+      e AS (SELECT ps AS map_id, count(*) FILTER (WHERE l_quantity > 25) AS prim, count(*) FILTER (WHERE l_returnflag = 'R') AS bad FROM (SELECT *, l_partkey % 40 AS ps FROM lineitem) GROUP BY 1),
+      n AS (SELECT map_id, count(*) AS placed, count(*) FILTER (WHERE agg) AS aggs, count(DISTINCT basin) AS basins FROM p GROUP BY 1),
+      q AS (SELECT n.*, coalesce(prim, 0) AS prim, coalesce(bad, 0) AS bad, coalesce(w.n, 0) AS ov, coalesce(crossings, 0) AS cr FROM n LEFT JOIN e USING (map_id) LEFT JOIN w USING (map_id) LEFT JOIN c USING (map_id)),
+      z AS (SELECT *, greatest(0, least(100, 94 - ov * 9 - least(18, cr * 2) - greatest(0, 8 - prim) * 2 - greatest(0, placed - 44))) AS score FROM q)
+    SELECT map_id, CAST(ov AS BIGINT) AS overlaps, CAST(cr AS BIGINT) AS crossings, CAST(aggs AS BIGINT) AS aggregates, CAST(basins AS BIGINT) AS basins, CAST(prim AS BIGINT) AS primary_channels, CAST(bad AS BIGINT) AS issue_segments,
+      CAST(score AS BIGINT) AS readability, CASE WHEN score >= 82 THEN 'clear' WHEN score >= 64 THEN 'usable' ELSE 'untidy' END AS status FROM z""")
+def map_quality(b):
+    nodes = _places(b)
+    edges = b.lineitem.select((F.col("l_partkey") % 40).alias("map_id"), F.when(F.col("l_returnflag") == "R", "Blocked").otherwise("Flowing").alias("status"),
+                              (F.col("l_quantity") > 25).alias("primary"))
+    return P.map_quality(P.overlaps(nodes, 32.0), P.crossings(_segments(b), 10.0), edges, nodes).select(
+        "map_id", "overlaps", "crossings", "aggregates", "basins", "primary_channels", "issue_segments", F.col("readability").cast("long").alias("readability"), "status")
 
 
 def snapshots(b):
