@@ -1,11 +1,12 @@
-"""Vectors, labels, centroids, classifier."""
+"""Vectors, labels, centroids, classifier, training signals and candidates."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import learning as L
+from ..operators import evolution as E, learning as L
+from ..session import cut
 from .bindings import ORACLE_DEPENDS, ORACLE_RELATIONS
 from .facts import function_facts, with_degrees
 from .registry import query
@@ -230,6 +231,134 @@ def error_signals(b):
     return L.error_signals({"rule": (base.where("l_returnflag = 'A'"), 3), "run": (base.where("l_returnflag = 'N'"), 2)}).select("project_id", "ref", "kind")
 
 
+_TEACHERS = ("rule_match", "benchmark", "version_constraint", "human_review")
+_LABELS = "[" + ", ".join(f"'{x}'" for x in L.LABELS) + "]"
+_DIMS = "[" + ", ".join(f"'{x}'" for x in L.DIMENSIONS) + "]"
+_SIGNALS = f"""o AS (SELECT o_custkey % 60 AS g, o_orderkey AS v, o_orderkey % 10 AS st, {_LABELS}[o_orderkey % 6 + 1] AS label, {_LABELS}[o_orderkey // 7 % 6 + 1] AS teacher,
+        {_LABELS}[o_orderkey // 5 % 6 + 1] AS predicted, 55 + o_orderkey * 11 % 45 AS trust, 40 + o_orderkey * 7 % 60 AS consensus, 60 + o_orderkey * 13 % 40 AS conf,
+        o_orderpriority || ' ' || {_LABELS}[o_orderkey % 6 + 1] AS ev, ['teacher_conflict', 'unsafe_consensus', 'low_trust'][o_orderkey // 10 % 3 + 1] AS reason FROM orders),
+      g AS (SELECT g, 50 + g * 7 % 50 AS consensus, 50 + g * 11 % 50 AS trust, g % 10 AS improvement, g % 7 AS centroids, count(*) FILTER (WHERE st IN (6, 7)) // 20 AS quar,
+        count(*) FILTER (WHERE st IN (6, 7) AND reason = 'teacher_conflict') // 20 AS conf, CASE WHEN g % 5 = 0 THEN 'low-trust-or-consensus' ELSE 'stable-checkpoint' END AS trig FROM o GROUP BY g),
+      b AS (
+        SELECT g, 1 AS branch, 36 AS cap, CAST(v AS VARCHAR) AS ref, v AS k, CASE reason WHEN 'teacher_conflict' THEN reason WHEN 'unsafe_consensus' THEN 'low_consensus' ELSE 'weak_evidence' END AS kind,
+          CASE reason WHEN 'teacher_conflict' THEN 'risk' ELSE 'watch' END AS sev, label, conf AS c, ev FROM o WHERE st IN (6, 7)
+        UNION ALL SELECT g, 2, 8, CAST(v AS VARCHAR), v, 'prediction_teacher_drift', CASE WHEN trust >= 86 THEN 'risk' ELSE 'watch' END, teacher, trust, ev FROM o WHERE st < 6 AND label <> teacher AND trust >= 78
+        UNION ALL SELECT g, 3, 8, CAST(v AS VARCHAR), v, 'low_consensus', CASE WHEN consensus < 54 THEN 'risk' ELSE 'watch' END, teacher, 100 - consensus, ev FROM o WHERE st < 6 AND consensus < 68
+        UNION ALL SELECT g, 4, 8, CAST(v AS VARCHAR), v, 'high_confidence_low_evidence', CASE WHEN conf >= 90 THEN 'risk' ELSE 'watch' END, label, conf, ev FROM o WHERE st > 7 AND conf >= 82
+        UNION ALL SELECT g, 5, 6, CAST(v AS VARCHAR), v, 'repair_unverified', 'watch', teacher, trust, ev FROM o WHERE st < 6 AND teacher = 'repair_candidate' AND NOT regexp_matches(lower(ev), 'test|pass|benchmark')
+        UNION ALL SELECT g, 6, 6, CAST(v AS VARCHAR), v, 'benchmark_deviation', 'watch', teacher, 100 - trust, ev FROM o WHERE st < 6 AND teacher = 'performance_hotspot' AND trust < 76
+        UNION ALL SELECT g, 7, 1, trig, 0, 'rollback_triggered', 'critical', NULL, 90, trig FROM g WHERE trig <> 'stable-checkpoint'
+        UNION ALL SELECT g, 8, 6, CAST(v * 2 AS VARCHAR), v, 'prediction_teacher_drift', CASE WHEN conf >= 84 THEN 'risk' ELSE 'watch' END, predicted, conf, ev FROM o WHERE st < 6 AND predicted <> teacher AND conf >= 72),
+      r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY branch, k) AS place FROM (SELECT *, row_number() OVER (PARTITION BY g, branch ORDER BY k) AS n FROM b) WHERE n <= cap),
+      w AS (SELECT r.*, CASE sev WHEN 'critical' THEN 24::DOUBLE WHEN 'risk' THEN 13::DOUBLE ELSE 6::DOUBLE END * CASE kind WHEN 'teacher_conflict' THEN 1.35::DOUBLE WHEN 'low_consensus' THEN 0.95::DOUBLE
+          WHEN 'weak_evidence' THEN 0.85::DOUBLE WHEN 'high_confidence_low_evidence' THEN 1.08::DOUBLE WHEN 'prediction_teacher_drift' THEN 1.2::DOUBLE WHEN 'benchmark_deviation' THEN 0.92::DOUBLE
+          WHEN 'repair_unverified' THEN 0.88::DOUBLE ELSE 1.6::DOUBLE END * (0.72::DOUBLE + c / 100 * 0.28::DOUBLE) AS raw FROM r JOIN g USING (g) WHERE place <= greatest(16, centroids * 6)),
+      s AS (SELECT g AS group_id, CAST(place AS BIGINT) AS place, kind AS signal_kind, sev AS severity, ref, label, c AS confidence, ev,
+        CAST(floor(raw * CASE kind WHEN 'high_confidence_low_evidence' THEN 1.25::DOUBLE ELSE 0.82::DOUBLE END + 0.5) AS BIGINT) AS confidence_impact,
+        CAST(floor(raw * CASE WHEN kind IN ('teacher_conflict', 'weak_evidence') THEN 1.2::DOUBLE ELSE 0.9::DOUBLE END + 0.5) AS BIGINT) AS knowledge_impact,
+        CAST(floor(raw * CASE WHEN kind IN ('rollback_triggered', 'prediction_teacher_drift') THEN 1.25::DOUBLE ELSE 1::DOUBLE END + 0.5) AS BIGINT) AS fitness_impact FROM w)"""
+
+
+def _training(b):
+    k = F.col("o_orderkey")
+    pick = lambda at: F.element_at(F.array(*[F.lit(x) for x in L.LABELS]), (at + 1).cast("int"))
+    label, teacher, state = pick(k % 6), pick(F.floor(k / 7) % 6), k % 10
+    evidence = F.concat_ws(" ", "o_orderpriority", label)
+    reason = F.element_at(F.array(F.lit("teacher_conflict"), F.lit("unsafe_consensus"), F.lit("low_trust")), (F.floor(k / 10) % 3 + 1).cast("int"))
+    o = b.orders.select(
+        (F.col("o_custkey") % 60).alias("group_id"), k.alias("vec_id"), state.alias("state"), label.alias("label"), teacher.alias("teacher_label"), (k * 2).alias("run_id"),
+        pick(F.floor(k / 5) % 6).alias("predicted"), (55 + k * 11 % 45).alias("trust"), (40 + k * 7 % 60).alias("consensus"), (60 + k * 13 % 40).alias("confidence"),
+        evidence.alias("evidence"), reason.alias("reason"), (label != teacher).alias("corrected"))
+    g = F.col("group_id")
+    held = F.col("state").isin(6, 7)
+    groups = o.groupBy("group_id").agg(F.count_if(held).alias("_q"), F.count_if(held & (F.col("reason") == "teacher_conflict")).alias("_c")).select(
+        "group_id", (50 + g * 7 % 50).alias("consensus"), (50 + g * 11 % 50).alias("trust"), (g % 10).alias("improvement"), (g % 7).alias("centroids"),
+        F.floor(F.col("_q") / 20).alias("quarantined_count"), F.floor(F.col("_c") / 20).alias("conflict_count"),
+        F.when(g % 5 == 0, "low-trust-or-consensus").otherwise("stable-checkpoint").alias("trigger"))
+    return groups, E.training_signals(o, o.where("state < 6"), o.where(held), o, groups)
+
+
+@query("training_signals", f"""WITH {_SIGNALS}
+    SELECT group_id, place, signal_kind, severity, ref, label, CAST(confidence AS BIGINT) AS confidence, confidence_impact, knowledge_impact, fitness_impact FROM s""")
+def training_signals(b):
+    return _training(b)[1].select("group_id", F.col("place").cast("long").alias("place"), "signal_kind", "severity", "ref", "label", *[
+        F.col(c).cast("long").alias(c) for c in ("confidence", "confidence_impact", "knowledge_impact", "fitness_impact")])
+
+
+_BRED = _SIGNALS + f""",
+      d AS (SELECT g.*, unnest({_DIMS}) AS name, unnest(range(14)) AS i FROM g),
+      t AS (SELECT g.*, unnest({list(_TEACHERS)}) AS name, unnest(range(4)) AS i FROM g),
+      tr AS (SELECT *, 40 + (g * 13 + i * 17) % 60 AS rel, (g + i) % 9 AS acc, g * i % 4 AS cf FROM t),
+      x AS (SELECT group_id AS g, count(*) AS n, count(*) FILTER (WHERE severity = 'critical') AS crit, count(*) FILTER (WHERE severity = 'risk') AS risk, avg(fitness_impact) AS imp,
+        count(*) FILTER (WHERE signal_kind = 'teacher_conflict' OR label = 'security_risk') AS sec, count(*) FILTER (WHERE signal_kind = 'rollback_triggered' OR label = 'stability_risk') AS stab FROM s GROUP BY 1),
+      pr AS (SELECT group_id AS g, name, count(*) AS p FROM (SELECT group_id, ev, unnest({_DIMS}) AS name FROM s) WHERE contains(lower(ev), name) GROUP BY 1, 2),
+      dv AS (SELECT d.g, d.name, coalesce(p, 0) AS p, (5 + (d.g + i) % 20) / 100 AS sup, (5 + (d.g * 3 + i * 5) % 30) / 100 AS cand, coalesce(CASE WHEN d.g % 3 > 0 THEN (10 + d.g * i % 37) / 100 END, (5 + (d.g + i) % 20) / 100) AS inh
+        FROM d LEFT JOIN pr ON pr.g = d.g AND pr.name = d.name),
+      dm AS (SELECT dv.*, sec, stab, greatest(0, least(1, inh + floor(((cand - inh) * 100 - p) * 1000 + 0.5) / 1000 / 600)) AS m FROM dv LEFT JOIN x ON x.g = dv.g),
+      th AS (SELECT g.g, name, name = 'min_consensus' AS ic, CASE WHEN name = 'min_consensus' THEN g.consensus ELSE g.trust END AS lev, quar, conf, coalesce(n, 0) AS n FROM g LEFT JOIN x ON x.g = g.g, (SELECT unnest(['min_consensus', 'min_trust']) AS name)),
+      tm AS (SELECT *, greatest(0, least(1, lev / 100 + CASE WHEN ic THEN CASE WHEN conf > 0 THEN 6::DOUBLE ELSE -2::DOUBLE END ELSE CASE WHEN quar > 0 THEN 4::DOUBLE ELSE -1::DOUBLE END END / 600)) AS m,
+        CASE WHEN ic THEN greatest(70, lev - conf * 2) ELSE greatest(72, lev - quar) END AS lost FROM th),
+      lg AS (SELECT g, unnest(CASE WHEN g % 2 = 0 THEN ['c', 'python'] ELSE ['unknown'] END) AS name FROM g),
+      pop AS (
+        SELECT g AS group_id, 'dimension' AS kind, name, unnest(['parent', 'mutation', 'crossover', 'guard']) AS strategy, unnest([inh, CASE name WHEN 'security' THEN greatest(0, least(1, m + coalesce(sec, 0) * 0.012::DOUBLE))
+            WHEN 'stability' THEN greatest(0, least(1, m + coalesce(stab, 0) * 0.012::DOUBLE)) ELSE m END, floor((sup + cand) / 2 * 1000 + 0.5) / 1000, inh]) AS value FROM dm
+        UNION ALL SELECT g, 'teacher', name, unnest(['parent', 'mutation', 'crossover', 'guard']), unnest([rel / 100, greatest(0, least(1, rel / 100 + CASE WHEN rel >= 76 THEN 4::DOUBLE WHEN rel >= 55 THEN -4::DOUBLE ELSE -18::DOUBLE END / 600)),
+            greatest(0, least(1, (rel + acc * 2 - cf * 5) / 100)), rel / 100]) FROM tr
+        UNION ALL SELECT g, 'threshold', name, unnest(['parent', 'mutation', 'crossover', 'guard']), unnest([lev / 100, greatest(0, least(1, greatest(m, CASE WHEN ic THEN 0.58::DOUBLE + n * 0.004::DOUBLE ELSE 0.62::DOUBLE + n * 0.003::DOUBLE END))),
+            greatest(0, least(1, (lev + lost) / 200)), greatest(lev / 100, CASE WHEN ic THEN 0.72::DOUBLE ELSE 0.76::DOUBLE END)]) FROM tm
+        UNION ALL SELECT g, 'language', name, 'mutation', greatest(0, least(1, CASE WHEN name = 'unknown' THEN 42::DOUBLE / 100 ELSE 78::DOUBLE / 100 END + CASE WHEN name = 'unknown' THEN -8::DOUBLE ELSE 2::DOUBLE END / 600)) FROM lg),
+      bars AS (SELECT group_id AS g, strategy, max(value) FILTER (WHERE name = 'min_consensus') AS bc, max(value) FILTER (WHERE name = 'min_trust') AS bt FROM pop WHERE kind = 'threshold' GROUP BY 1, 2),
+      fit0 AS (SELECT bars.*, coalesce(crit, 0) AS crit, floor(g.trust * 0.42::DOUBLE + g.consensus * 0.38::DOUBLE + improvement * 0.2::DOUBLE + 0.5) AS acc, 100 - quar * 3 - conf * 9 - coalesce(crit, 0) * 18 AS stb,
+          floor(rel - coalesce(risk, 0) * 2 + 0.5) AS saf, 52 + nl * 7 + centroids * 5 AS gen,
+          floor(coalesce(crit, 0) * 22 + coalesce(risk, 0) * 5 + greatest(0, bc * 100 - g.consensus) * 0.35::DOUBLE + greatest(0, bt * 100 - g.trust) * 0.3::DOUBLE + coalesce(imp, 0) * 0.7::DOUBLE + 0.5) AS pen
+        FROM bars JOIN g ON g.g = bars.g LEFT JOIN x ON x.g = bars.g JOIN (SELECT g, avg(rel) AS rel FROM tr GROUP BY 1) r ON r.g = bars.g JOIN (SELECT g, count(*) AS nl FROM lg GROUP BY 1) l ON l.g = bars.g),
+      fit1 AS (SELECT g, strategy, crit, greatest(0, least(100, acc)) AS acc, greatest(0, least(100, stb)) AS stb, greatest(0, least(100, saf)) AS saf, greatest(0, least(100, gen)) AS gen, greatest(0, least(100, pen)) AS pen FROM fit0),
+      fit AS (SELECT *, greatest(0, least(100, floor(acc * 0.32::DOUBLE + stb * 0.26::DOUBLE + saf * 0.26::DOUBLE + gen * 0.16::DOUBLE - pen * 0.36::DOUBLE + 0.5))) AS f FROM fit1),
+      best AS (SELECT g, arg_max(strategy, (f, -list_position(['parent', 'mutation', 'crossover', 'guard'], strategy))) AS strategy, max(f) AS f, max(f) FILTER (WHERE strategy = 'parent') AS pf, max(crit) AS crit FROM fit GROUP BY 1),
+      sel AS (SELECT g, crit, CASE WHEN crit > 0 THEN 'guard' WHEN f >= pf + 2 THEN strategy ELSE 'parent' END AS strategy FROM best)"""
+
+
+def _bred(b):
+    groups, signals = _training(b)
+    g, i = F.col("group_id"), F.col("i")
+    named = lambda names: groups.select("group_id", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("i", "name"))
+    dims = named(L.DIMENSIONS).select(
+        "group_id", F.lit("dimension").alias("kind"), "name", F.when(g % 3 > 0, (10 + g * i % 37) / 100).alias("parent"), ((5 + (g + i) % 20) / 100).alias("supervised"),
+        ((5 + (g * 3 + i * 5) % 30) / 100).alias("candidate"))
+    reliability = 40 + (g * 13 + i * 17) % 60
+    teachers = named(_TEACHERS).select(
+        "group_id", F.lit("teacher").alias("kind"), "name", reliability.alias("reliability"), F.when(reliability >= 76, "trusted").when(reliability >= 55, "watch").otherwise("quarantined").alias("status"),
+        ((g + i) % 9).alias("accepted"), (g * i % 4).alias("conflicts"))
+    spoken = F.when(g % 2 == 0, F.array(F.lit("c"), F.lit("python"))).otherwise(F.array(F.lit("unknown")))
+    genes = L.union_rows([dims, teachers, groups.select("group_id", F.lit("language").alias("kind"), F.explode(spoken).alias("name"))])
+    signals = cut(signals)
+    return groups, genes, signals, E.breed(genes, groups, signals)
+
+
+@query("bred_candidates", f"WITH {_BRED} SELECT group_id, strategy, kind, name, value FROM pop")
+def bred_candidates(b):
+    return _bred(b)[3].select("group_id", "strategy", "kind", "name", "value")
+
+
+@query("candidate_fitness", f"""WITH {_BRED}
+    SELECT g AS group_id, strategy, CAST(acc AS BIGINT) AS accuracy, CAST(stb AS BIGINT) AS stability, CAST(saf AS BIGINT) AS safety, CAST(gen AS BIGINT) AS generality, CAST(pen AS BIGINT) AS penalty, CAST(f AS BIGINT) AS fitness FROM fit""")
+def candidate_fitness(b):
+    groups, genes, signals, population = _bred(b)
+    return E.candidate_fitness(population, genes, groups, signals).select("group_id", "strategy", *[
+        F.col(c).cast("long").alias(c) for c in ("accuracy", "stability", "safety", "generality", "penalty", "fitness")])
+
+
+@query("selected_weights", f"""WITH {_BRED},
+      own AS (SELECT sel.g, sel.strategy, name, value FROM sel JOIN pop ON sel.g = group_id AND sel.strategy = pop.strategy AND kind = 'dimension')
+    SELECT own.g AS group_id, own.strategy, CASE WHEN sel.crit > 0 THEN 'rollback' WHEN own.strategy IN ('mutation', 'crossover') THEN 'selected' ELSE 'mutating' END AS status, name,
+      floor(value / sum(value) OVER (PARTITION BY own.g) * 1000 + 0.5) / 1000 AS weight FROM own JOIN sel USING (g)""")
+def selected_weights(b):
+    groups, genes, signals, population = _bred(b)
+    population = cut(population)
+    chosen = cut(E.selected_candidate(E.candidate_fitness(population, genes, groups, signals)))
+    return E.selected_weights(population, chosen).join(chosen, "group_id").select("group_id", "strategy", "status", "name", "weight")
+
+
 @query("promotion_gates", """
     SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'rolled_back' WHEN o_custkey % 40 >= 24 THEN 'isolated' WHEN o_orderkey % 101 >= 88 AND o_custkey % 100 >= 78 THEN 'promoted' ELSE 'held' END AS gate,
            CASE WHEN o_orderkey % 101 < 62 OR o_custkey % 100 < 55 THEN 'low-trust-or-consensus' WHEN o_orderkey % 3 > 0 OR o_custkey % 20 > 12 THEN 'teacher-conflict-quarantine' ELSE 'stable-checkpoint' END AS rollback FROM orders""")
