@@ -446,14 +446,13 @@ def annotated_edges(b):
 
 
 @query("security_clauses", """
-    SELECT l_partkey AS function_id, 'exposed' AS status, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_partkey % 4 = 0 GROUP BY 1
-    UNION ALL SELECT l_suppkey, 'exposed', CAST(count(*) AS BIGINT) FROM lineitem WHERE l_partkey % 4 <> 0 AND l_suppkey % 4 = 0 GROUP BY 1""")
+    SELECT coalesce(s.s_suppkey, l_suppkey) AS function_id, CASE WHEN l_returnflag = 'A' THEN 'exposed' ELSE 'guarded' END AS status,
+      CASE l_linestatus WHEN 'F' THEN 'compiler' ELSE 'ast' END AS evidence_grade, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS orders
+    FROM lineitem LEFT JOIN supplier s ON s.s_suppkey = l_partkey GROUP BY 1, 2, 3""")
 def security_clauses(b):
     p = b.lineitem.select(
         F.col("l_partkey").alias("sink"), F.col("l_suppkey").alias("start"), F.col("l_orderkey").alias("path_id"),
-        F.lit("ast").alias("grade"), F.lit("exposed").alias("status"), F.lit(1).alias("confidence"))
-    fns = b.part.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("function_id"))
-    return p.join(fns.withColumnRenamed("function_id", "sink"), "sink", "left_semi").transform(
-        lambda d: T.security_clauses(d, fns)).groupBy("function_id", "status").agg(F.count(F.lit(1)).alias("n")).unionByName(
-        p.join(fns.withColumnRenamed("function_id", "sink"), "sink", "left_anti").transform(
-            lambda d: T.security_clauses(d, fns)).groupBy("function_id", "status").agg(F.count(F.lit(1)).alias("n")))
+        F.when(F.col("l_linestatus") == "F", "runtime").otherwise("ast").alias("grade"), F.when(F.col("l_returnflag") == "A", "exposed").otherwise("guarded").alias("status"),
+        F.lit(1).alias("confidence"))
+    clauses = T.security_clauses(p, b.supplier.select(F.col("s_suppkey").alias("function_id")))
+    return clauses.groupBy("function_id", "status", "evidence_grade").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path_id").alias("orders"))

@@ -247,11 +247,12 @@ def file_summary(b):
 @query("contract_coverage", """
     SELECT f.project_id, CAST(count(*) AS BIGINT) AS functions, CAST(count(c.n) AS BIGINT) AS covered, CAST(coalesce(sum(n), 0) AS BIGINT) AS clauses, CAST(coalesce(sum(s), 0) AS BIGINT) AS security_clauses,
            CAST(coalesce(sum(g), 0) AS BIGINT) AS strong_clauses, CASE WHEN coalesce(sum(n), 0) = 0 THEN 'empty' WHEN count(c.n) = count(*) AND sum(g) > 0 THEN 'contract-ready' ELSE 'partial' END AS status
-    FROM fn_base f LEFT JOIN (SELECT l_partkey AS k, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'A') AS s, count(*) FILTER (WHERE l_linestatus = 'F') AS g FROM lineitem
-        WHERE l_partkey % 200 < 150 GROUP BY 1) c ON k = f.function_id GROUP BY f.project_id""")
+    FROM fn_base f LEFT JOIN (SELECT l_partkey - l_partkey % 4 // 3 AS k, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'A') AS s, count(*) FILTER (WHERE l_linestatus = 'F') AS g FROM lineitem
+        GROUP BY 1) c ON k = f.function_id GROUP BY f.project_id""")
 def contract_coverage(b):
-    clauses = b.lineitem.where("l_partkey % 200 < 150").select(
-        F.col("l_partkey").alias("function_id"), F.when(F.col("l_returnflag") == "A", "security").otherwise("range").alias("kind"),
+    # each fourth function passes its clauses on to the one before and has none
+    clauses = b.lineitem.select(
+        F.expr("l_partkey - l_partkey % 4 div 3").alias("function_id"), F.when(F.col("l_returnflag") == "A", "security").otherwise("range").alias("kind"),
         F.when(F.col("l_linestatus") == "F", "ast").otherwise("lexical").alias("grade"))
     return I.contract_coverage(b.fn_base.select("project_id", "function_id"), clauses)
 
