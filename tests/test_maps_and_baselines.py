@@ -40,6 +40,18 @@ def test_a_long_segment_costs_its_length(spark):
     assert P._touched(one, 10.0).count() < 400  # its box holds 10 000 cells
 
 
+def test_crossing_pairs_are_added_up_where_they_are_found(spark):
+    """Pairs grow with the square of a map, so none of them may go through a shuffle; a pair in many cells counts once."""
+    n = 60  # two fans of long segments: each of one crosses each of the other, in cells of many shapes
+    rows = [(0, i, 0.0, i * 1.0, 500.0, 300.0 + i, i, 1000 + i) for i in range(n)] + [(0, n + i, 0.0, 300.0 + i, 500.0, i * 1.0, n + i, 2000 + i) for i in range(n)]
+    rows += [(1, 1, 0.0, 0.0, None, 1.0, 1, 2), (1, 2, 0.0, 1.0, 1.0, 0.0, 3, 4)]
+    segments = spark.createDataFrame(rows, "map_id int, seg_id int, x1 double, y1 double, x2 double, y2 double, a int, b int")
+    found = P.crossings(segments, 10.0)
+    shuffles = [line for line in found._jdf.queryExecution().toString().splitlines() if "Exchange" in line]
+    assert shuffles and not [line for line in shuffles if "seg_id" in line]
+    assert [tuple(r) for r in found.collect()] == [(0, n * n)]
+
+
 @pytest.mark.parametrize("cell", [7.0, 32.0, 200.0])
 def test_overlaps_with_dense_spots(spark, cell):
     rnd = random.Random(3)
