@@ -24,6 +24,8 @@ BASE_TRUST = {
 MARGIN = 0.42
 MAX_LABELS, MAX_ANCHORS = 256, 1024
 HOT_TOKEN_ROWS, HOT_TOKENS = 200_000, 2_000
+# votes are counted in these units: 840 is a multiple of 1 to 8, so shares of up to eight tokens times two percentages come out whole
+VOTE_UNITS = 840 * 10_000_000
 
 
 def dim(name: str, dims: str = "dims") -> Column:
@@ -264,9 +266,11 @@ def match_labels(vectors: DataFrame, labels: DataFrame, threshold: float = 0.18)
 def vote(candidates: DataFrame) -> DataFrame:
     """Winning label per vector, consensus, margin and quarantine reason.
 
-    ``candidates``: ``vec_id, label, label_id, trust, label_confidence, match_score, targeted``.
+    ``candidates``: ``vec_id, label, label_id, trust, label_confidence, match_score, targeted``.  Votes are whole numbers of
+    ``1 / VOTE_UNITS``: their sums do not hang on the order of the rows, and equal votes stay equal.
     """
-    weighted = candidates.withColumn("_v", F.col("match_score") * (F.col("trust") / 100) * (F.col("label_confidence") / 100))
+    weighted = candidates.withColumn("_v", round_half_up(
+        F.col("match_score") * (F.col("trust") / 100) * (F.col("label_confidence") / 100) * F.lit(float(VOTE_UNITS))))
     best = F.struct((-F.col("_v")).alias("k"), "label_id", "trust", "match_score", "targeted")
     per_label = weighted.groupBy("vec_id", "label").agg(F.sum("_v").alias("_votes"), F.min(best).alias("_best"))
     ranked = F.struct((-F.col("_votes")).alias("k"), "label")
@@ -275,14 +279,15 @@ def vote(candidates: DataFrame) -> DataFrame:
     second = per_label.join(summary.select("vec_id", F.col("_w.label").alias("_wl")), "vec_id").where("label <> _wl").groupBy(
         "vec_id").agg(F.max("_votes").alias("_second"))
     out = summary.join(second, "vec_id", "left")
-    top, again = F.col("_w._votes"), F.coalesce("_second", F.lit(0.0))
-    consensus = round_half_up(top / F.when(F.col("_total") == 0, 1).otherwise(F.col("_total")) * 100)
-    out = out.withColumn("consensus", consensus).withColumn("margin", top - again)
+    out = out.withColumn("_top", F.col("_w._votes")).withColumn("_lead", F.col("_top") - F.coalesce("_second", F.lit(0)))
+    # the rounded percentage, in whole numbers
+    consensus = F.when(F.col("_total") == 0, F.lit(0)).otherwise(F.expr("(200 * _top + _total) div (2 * _total)"))
+    out = out.withColumn("consensus", consensus.cast("long")).withColumn("margin", F.col("_lead") / F.lit(VOTE_UNITS))
     lead = F.col("_w._best")
     reason = (
         F.when(lead["trust"] < 52, "low_trust").when((lead["match_score"] < 0.28) & ~lead["targeted"], "weak_evidence")
         .when((F.col("labels") > 1) & (F.col("consensus") < 54), "teacher_conflict")
-        .when((F.col("labels") > 1) & (F.col("consensus") < 64) & (F.col("margin") < 0.08), "unsafe_consensus"))
+        .when((F.col("labels") > 1) & (F.col("consensus") < 64) & (F.col("_lead") < VOTE_UNITS // 100 * 8), "unsafe_consensus"))
     accepted = round_half_up(lead["trust"] * (0.66 + lead["match_score"] * 0.2 + F.col("consensus") / 700))
     return out.select(
         "vec_id", F.col("_w.label").alias("teacher_label"), lead["label_id"].alias("label_id"), "labels", "consensus", "margin",

@@ -170,13 +170,13 @@ def candidates(b):
 
 ORACLE_RELATIONS["votes"] = """
     WITH c AS (SELECT vec_id, label_id, match_score, 'c' || CAST(label_id % 3 AS VARCHAR) AS label, 50 + label_id % 45 AS trust, label_id >= 1000000 AS targeted,
-                 match_score * ((50 + label_id % 45) / 100) * ((60 + label_id % 40) / 100) AS v FROM lmatch),
+                 CAST(floor(match_score * ((50 + label_id % 45) / 100) * ((60 + label_id % 40) / 100) * 8400000000.0::DOUBLE + 0.5) AS BIGINT) AS v FROM lmatch),
          p AS (SELECT vec_id, label, sum(v) AS votes, arg_min(struct_pack(label_id := label_id, trust := trust, m := match_score, t := targeted), (-v, label_id)) AS best FROM c GROUP BY 1, 2),
          w AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label) AS r, sum(votes) OVER (PARTITION BY vec_id) AS total, count(*) OVER (PARTITION BY vec_id) AS labels,
                  coalesce(lead(votes) OVER (PARTITION BY vec_id ORDER BY votes DESC, label), 0) AS nxt FROM p)
-    SELECT vec_id, label AS teacher_label, best.label_id AS label_id, labels, CAST(floor(votes / total * 100 + 0.5) AS BIGINT) AS consensus,
-           CASE WHEN best.trust < 52 THEN 'low_trust' WHEN best.m < 0.28 AND NOT best.t THEN 'weak_evidence' WHEN labels > 1 AND floor(votes / total * 100 + 0.5) < 54 THEN 'teacher_conflict'
-                WHEN labels > 1 AND floor(votes / total * 100 + 0.5) < 64 AND votes - nxt < 0.08 THEN 'unsafe_consensus' END AS quarantine_reason FROM w WHERE r = 1"""
+    SELECT vec_id, label AS teacher_label, best.label_id AS label_id, labels, CAST((200 * votes + total) // (2 * total) AS BIGINT) AS consensus,
+           CASE WHEN best.trust < 52 THEN 'low_trust' WHEN best.m < 0.28 AND NOT best.t THEN 'weak_evidence' WHEN labels > 1 AND (200 * votes + total) // (2 * total) < 54 THEN 'teacher_conflict'
+                WHEN labels > 1 AND (200 * votes + total) // (2 * total) < 64 AND votes - nxt < 672000000 THEN 'unsafe_consensus' END AS quarantine_reason FROM w WHERE r = 1"""
 ORACLE_DEPENDS["votes"] = ("lmatch",)
 
 

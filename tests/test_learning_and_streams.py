@@ -35,6 +35,16 @@ def test_label_match_prefix_filter_is_exact(spark):
     assert {(r["label_id"], r["vec_id"]) for r in got.collect()} == want
 
 
+def test_equal_votes_stay_equal_in_any_order(spark):
+    """0.1 + 0.2 + 0.3 is more than 0.3 + 0.3 in floating point, or not, as the rows come; as votes they are the same."""
+    votes = [("b", 0.1), ("b", 0.2), ("b", 0.3), ("a", 0.3), ("a", 0.3)]
+    rows = [(vec, label, i, 100, 100, m, True) for vec, part in ((1, votes), (2, votes[::-1])) for i, (label, m) in enumerate(part)]
+    rows += [(3, "a", 7, 100, 100, 0.54, True), (3, "b", 8, 100, 100, 0.46, True)]  # a lead of 0.08 is not below 0.08
+    c = spark.createDataFrame(rows, "vec_id int, label string, label_id int, trust int, label_confidence int, match_score double, targeted boolean").coalesce(1)
+    got = {r.vec_id: (r.teacher_label, r.consensus, r.margin, r.quarantine_reason) for r in L.vote(c).collect()}
+    assert got == {1: ("a", 50, 0.0, "teacher_conflict"), 2: ("a", 50, 0.0, "teacher_conflict"), 3: ("a", 54, 0.08, None)}
+
+
 def test_nearest_rank_on_one_hot_group(spark):
     df = spark.range(20000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(-1).alias("k"), (F.col("id") * 7919 % 10007 - 300).alias("v"))
     got = {r["k"]: (r["p50"], r["p95"]) for r in R.nearest_rank(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
