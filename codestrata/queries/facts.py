@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import flow, text
+from ..session import spread
 from .bindings import ORACLE_DEPENDS, ORACLE_RELATIONS, Bound
 
 
 def function_facts(b: Bound) -> DataFrame:
     """Every text-derived column of a function."""
-    df = b.fn.select(
+    df = spread(b.fn, "function_id").select(
         "function_id", "project_id", "file_id", "slot", "path", "name", "language", "body", "hint", "p_size",
         text.params(F.col("params_text")).alias("params"),
     )
