@@ -10,7 +10,7 @@ from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut
+from ..session import cut_dealt as cut
 from .windows import first_per
 
 
@@ -185,7 +185,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """Component id (its smallest node) of every node, by contraction of chains and colouring of the core."""
     comp = cut(_components(cut(_links(edges).where("src <> dst").select("src", "dst"))))
     names = comp.groupBy("component").agg(F.min("node").alias("_name"))
-    return comp.join(names, "component").select("node", F.col("_name").alias("component"))
+    return comp.join(names, "component").select("node", F.col("_name").alias("component")).hint("merge")
 
 
 def _coloured(links: DataFrame) -> DataFrame:
