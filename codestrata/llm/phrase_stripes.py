@@ -41,20 +41,25 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 class _Words:
-    """The words of a chunk of one language: bytes, hashes, number of the piece each stands in, and ids by value."""
+    """The words of a chunk of one language: hash, number of the piece and id of each; bytes and hashes of different ones.
+
+    Bytes are held once per different word: an object for each word of a chunk takes many times the chunk itself.
+    """
 
     def __init__(self, lang: str, texts: list[bytes]):
         data = b"\n".join(texts)  # pieces end with their text
         kind = _KIND[np.frombuffer(data, np.uint8)]
         begins = np.flatnonzero((kind == 0) & (np.concatenate([[1], kind[:-1]]) != 0))
-        self.lang, self.list = lang, data.translate(_CLEAN).split()
-        self.piece = np.cumsum(kind == 2, dtype=np.int32)[begins]
-        self.hash = _word_hashes(self.list)
-        self.distinct, self.first, self.id = np.unique(self.hash, return_index=True, return_inverse=True)
+        self.lang, self.piece = lang, np.cumsum(kind == 2, dtype=np.int32)[begins]
+        del kind, begins
+        listed = data.translate(_CLEAN).split()
+        self.hash = _word_hashes(listed)
+        self.distinct, first, self.id = np.unique(self.hash, return_index=True, return_inverse=True)
+        self.word = [listed[i] for i in first.tolist()]
 
     def places(self, k: int, tables: list[np.ndarray]) -> np.ndarray:
         """Starts of phrases of ``k`` words both whose parts of ``k - 1`` words may be frequent."""
-        n = len(self.list)
+        n = len(self.id)
         start = np.full(len(self.distinct), _lang_key(self.lang))
         good = may_hold(tables[0], _extend(start, self.distinct))[self.id]
         keys = _extend(start, self.distinct)[self.id]
@@ -94,14 +99,13 @@ def _by_language(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[_Wor
 def _first_words(chunk: int):
     """The stripe of the empty prefix, as rows: lang, word, n; the row of a null word carries all words of the chunk."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words in _by_language(batches, chunk):
-            seen = np.bincount(words.id, minlength=len(words.distinct))
-            listed = [words.list[i] for i in words.first.tolist()]
-            columns = [pa.array([words.lang] * (len(listed) + 1)), pa.array([*listed, None], pa.string()), pa.array(np.append(seen, len(words.list)))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
+    def counted(words: _Words) -> pa.RecordBatch:
+        seen = np.bincount(words.id, minlength=len(words.distinct))
+        columns = [pa.array([words.lang] * (len(seen) + 1)), pa.array([*words.word, None], pa.string()), pa.array(np.append(seen, len(words.id)))]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
-    return run
+    # map holds no chunk while the next one is made
+    return lambda batches: map(counted, _by_language(batches, chunk))
 
 
 def _stripes(k: int, held: list, chunk: int, lanes: int, buckets: int):
@@ -110,36 +114,43 @@ def _stripes(k: int, held: list, chunk: int, lanes: int, buckets: int):
     Each line is a stripe, its fields parted by tabs: the prefix, then next words, each with its count unless that is one.
     """
 
+    def packed(words: _Words, tables: list[np.ndarray]) -> pa.RecordBatch | None:
+        at = words.places(k, tables)
+        if not len(at):
+            return None
+        size = len(words.distinct)
+        name = words.id[at]
+        for i in range(1, k - 1):  # equal prefixes get equal names
+            name = np.unique(name * size + words.id[at + i], return_inverse=True)[1]
+        entries, where, seen = np.unique(name * size + words.id[at + k - 1], return_index=True, return_counts=True)
+        place, prefix = at[where], entries // size
+        del at, name, where, entries
+        keys = words.hash[place]
+        for i in range(1, k - 1):
+            keys = _extend(keys, words.hash[place + i])
+        lane = (words.hash[place + k - 1] >> np.uint64(32)) % np.uint64(lanes)
+        bucket = (mix(keys + lane) % np.uint64(buckets)).astype(np.int64)
+        del keys, lane
+        order = np.argsort(bucket, kind="stable")
+        place, prefix, seen, bucket = place[order], prefix[order], seen[order], bucket[order]
+        del order
+        word, ids = words.word, words.id
+        tabbed = [b"\t" + w for w in word]
+        fields = [tabbed[i] for i in ids[place + k - 1].tolist()]
+        for i in np.flatnonzero(seen > 1).tolist():
+            fields[i] += b" %d" % seen[i]
+        new = np.diff(bucket, prepend=-1) != 0
+        for i in np.flatnonzero((np.diff(prefix, prepend=-1) != 0) | new).tolist():
+            start = place[i]
+            fields[i] = b"\n" + b" ".join([word[w] for w in ids[start : start + k - 1].tolist()]) + fields[i]
+        cuts = np.append(np.flatnonzero(new), len(fields)).tolist()
+        stripes = [b"".join(fields[a:b])[1:] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([words.lang] * len(stripes)), pa.array(bucket[new]), pa.array(stripes, pa.string())], ["lang", "bucket", "stripes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [t.value for t in held]
-        for words in _by_language(batches, chunk):
-            at = words.places(k, tables)
-            if not len(at):
-                continue
-            size = len(words.distinct)
-            name = words.id[at]
-            for i in range(1, k - 1):  # equal prefixes get equal names
-                name = np.unique(name * size + words.id[at + i], return_inverse=True)[1]
-            entries, where, seen = np.unique(name * size + words.id[at + k - 1], return_index=True, return_counts=True)
-            place, prefix = at[where], entries // size
-            keys = words.hash[place]
-            for i in range(1, k - 1):
-                keys = _extend(keys, words.hash[place + i])
-            lane = (words.hash[place + k - 1] >> np.uint64(32)) % np.uint64(lanes)
-            bucket = (mix(keys + lane) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            place, prefix, seen, bucket = place[order], prefix[order], seen[order], bucket[order]
-            listed = words.list
-            fields = [b"\t" + listed[i] for i in (place + k - 1).tolist()]
-            for i in np.flatnonzero(seen > 1).tolist():
-                fields[i] += b" %d" % seen[i]
-            new = np.diff(bucket, prepend=-1) != 0
-            for i in np.flatnonzero((np.diff(prefix, prepend=-1) != 0) | new).tolist():
-                start = place[i]
-                fields[i] = b"\n" + b" ".join(listed[start : start + k - 1]) + fields[i]
-            cuts = np.append(np.flatnonzero(new), len(fields)).tolist()
-            packed = [b"".join(fields[a:b])[1:] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(packed)), pa.array(bucket[new]), pa.array(packed, pa.string())], ["lang", "bucket", "stripes"])
+        # map and filter hold no chunk while the next one is made
+        return filter(None, map(lambda words: packed(words, tables), _by_language(batches, chunk)))
 
     return run
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import weakref
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from codestrata.llm import phrase_stripes
 from codestrata.llm.doubling_dedup import ladder, lengths, strip_repeats
 from codestrata.llm.fill_in_middle import fill_in_middle, line_list, restored
 from codestrata.llm.phrase_stripes import collocations
@@ -121,6 +124,25 @@ def test_collocations(spark, bits):
     assert collocations(table.limit(0)).collect() == []
 
 
+def test_stripes_hold_one_chunk_and_each_word_once(monkeypatch):
+    made, most = [], []
+
+    class Watched(phrase_stripes._Words):
+        def __init__(self, lang, texts):
+            most.append(sum(w() is not None for w in made))
+            super().__init__(lang, texts)
+            made.append(weakref.ref(self))
+            listed = [v for v in vars(self).values() if isinstance(v, list)]
+            assert all(len(v) <= 3 for v in listed)
+
+    monkeypatch.setattr(phrase_stripes, "_Words", Watched)
+    batch = pa.record_batch([pa.array(["en"] * 9), pa.array(["a b c " * 50] * 9)], ["lang", "text"])
+    open_ = type("Held", (), {"value": np.full(16, ~np.uint64(0))})
+    runs = [phrase_stripes._first_words(300), phrase_stripes._stripes(3, [open_, open_], 300, 3, 8)]
+    assert [len(list(run(iter([batch])))) for run in runs] == [9, 9]
+    assert most == [0] * 18
+
+
 def test_collocation_scores_are_exact(spark):
     # 1000 * a * n / (l * r) with products beyond 64 bits, computed as in the operator's expression
     big = spark.sql("SELECT cast(1000 AS decimal(4,0)) * cast(9999999999999 AS decimal(13,0)) * cast(9999999999999999 AS decimal(16,0)) div (cast(9999999999998 AS decimal(13,0)) * cast(9999999999997 AS decimal(13,0))) AS s")
