@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -168,14 +169,27 @@ def components(edges: DataFrame) -> DataFrame:
     return known
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, bound: int) -> DataFrame:
+def _sets_of(docs: DataFrame, needed: DataFrame, bound: int, held: list[DataFrame]) -> DataFrame:
+    """sig, tokens of the classes ``needed`` (sig, rk). Tables of ``held`` have no set in common; what they lack is derived and added."""
+    n_needed = needed.count()
+    missing = needed.select("sig", "rk")
+    for table in held:
+        missing = missing.join(table.select("sig"), "sig", "left_anti")
+    missing = cut(missing) if held else missing
+    n_missing = missing.count() if held else n_needed
+    if n_missing:
+        # one row per class is fetched by its content key; texts are shuffled only if the list of keys passes the bound
+        texts = docs.select("text", row_key().alias("rk")).join(lookup(missing, n_missing, bound), "rk").select("sig", "text")
+        held.append(cut(texts.mapInArrow(_sets, "sig long, tokens array<long>").dropDuplicates(["sig"])))
+    if not held:
+        return docs.sparkSession.createDataFrame([], "sig long, tokens array<long>")
+    return reduce(DataFrame.unionByName, held).join(lookup(needed.select("sig"), n_needed, bound), "sig", "left_semi")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, bound: int, held: list[DataFrame]) -> DataFrame:
     """Pairs (a, b) of signatures whose whole sets reach the similarity."""
     ids = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    needed = cut(classes.select("sig", "rk").join(ids, "sig"))
-    n_needed = needed.count()
-    # one row per class is fetched by its content key; texts are shuffled only if the list of keys passes the bound
-    texts = docs.select("text", row_key().alias("rk")).join(lookup(needed, n_needed, bound), "rk").select("sig", "text")
-    sets = cut(texts.mapInArrow(_sets, "sig long, tokens array<long>").dropDuplicates(["sig"]))
+    sets = _sets_of(docs, cut(classes.select("sig", "rk").join(ids, "sig")), bound, held)
     one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a")
     two = one.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -203,11 +217,10 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"v": sig, "links": linked.sum(axis=1).astype(np.int64)})
 
 
-def _group_links(docs: DataFrame, classes: DataFrame, group_of: DataFrame, bound: int) -> DataFrame:
+def _group_links(docs: DataFrame, classes: DataFrame, group_of: DataFrame, bound: int, held: list[DataFrame]) -> DataFrame:
     """v, links: links of each set to others of its group. All pairs of a group are compared, in blocks of its members."""
     needed = cut(classes.select("sig", "rk").join(group_of.withColumnRenamed("v", "sig"), "sig"))
-    texts = docs.select("text", row_key().alias("rk")).join(lookup(needed.select("sig", "rk"), needed.count(), bound), "rk").select("sig", "text")
-    sets = cut(texts.mapInArrow(_sets, "sig long, tokens array<long>").dropDuplicates(["sig"]))
+    sets = _sets_of(docs, needed, bound, held)
     blocks = needed.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / _MEMBERS).cast("long").alias("nb"))
     placed = needed.join(blocks, "root").select("sig", "root", F.pmod(F.xxhash64("sig"), F.col("nb")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
     met = placed.select("sig", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets, "sig")
@@ -325,17 +338,18 @@ def _classes(docs: DataFrame, bound: int = BROADCAST_ROWS, count: bool = False)
     keyed = source.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text")
     features = cut(keyed.mapInArrow(_features(frequent), schema))
     classes = cut(features.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk")))
-    groups = cut(components(_verified(source, classes, cut(_leader_pairs(features)), bound)))
+    held: list[DataFrame] = []  # sets are derived and written once, by the first step that needs them
+    groups = cut(components(_verified(source, classes, cut(_leader_pairs(features)), bound, held)))
     for round_ in range(ROUNDS):
-        links = _verified(source, classes, cut(_near_pairs(features, groups, round_)), bound)
+        links = _verified(source, classes, cut(_near_pairs(features, groups, round_)), bound, held)
         if links.isEmpty():
             break
         groups = _merged(groups, links)
     # what is left to open are sets whose nearest neighbours outside their group do not link
-    reached = _merged(groups, _verified(source, classes, _open_pairs(features, groups), bound))
+    reached = _merged(groups, _verified(source, classes, _open_pairs(features, groups), bound, held))
     named = classes.join(reached.withColumnRenamed("v", "sig"), "sig", "left")
     if count:
-        named = named.join(_group_links(source, classes, reached, bound).groupBy("v").agg(F.sum("links").alias("links")).withColumnRenamed("v", "sig"), "sig", "left")
+        named = named.join(_group_links(source, classes, reached, bound, held).groupBy("v").agg(F.sum("links").alias("links")).withColumnRenamed("v", "sig"), "sig", "left")
     else:
         named = named.withColumn("links", F.lit(None).cast("long"))
     named = named.withColumn("root", F.coalesce("root", "sig"))

@@ -12,6 +12,8 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import brute  # noqa: E402
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from codestrata.llm import group_join  # noqa: E402
 from codestrata.llm.group_join import near_duplicates, one_of_each  # noqa: E402
 from codestrata.llm.language_tree import language_id  # noqa: E402
@@ -225,3 +227,14 @@ def test_links_inside_groups(spark, monkeypatch):
     rows += [(len(rows), None), (len(rows) + 1, ""), (0, rows[0][1])]
     found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "links").collect()
     assert sorted(tuple(r) for r in found) == brute.links(rows)
+
+
+def test_sets_are_derived_once(spark):
+    table = spark.createDataFrame([(i, f"a b c d e f{i}") for i in range(6)] + [(0, "a b c d e f0")], "doc_id long, text string")
+    keys = table.select(F.col("doc_id").alias("sig"), group_join.row_key().alias("rk")).distinct()
+    held = []
+    for low, high in ((0, 3), (1, 5), (2, 4)):
+        found = group_join._sets_of(table, keys.where(f"sig BETWEEN {low} AND {high}"), 100, held).collect()
+        assert sorted(r.sig for r in found) == list(range(low, high + 1))
+        assert all(len(r.tokens) == 2 for r in found)
+    assert [sorted(r.sig for r in t.collect()) for t in held] == [[0, 1, 2, 3], [4, 5]]
