@@ -105,7 +105,7 @@ def constraints(functions: DataFrame, cfg: DataFrame, edges: DataFrame) -> tuple
     back = functions.select(F.col("function_id").alias("fn"), F.explode(
         F.regexp_extract_all("body", F.lit(RETURN), 1)).alias("var")).select(
         "fn", "var", F.col("fn").alias("to_fn"), F.lit("$return").alias("to_var"))
-    calls = edge_calls(functions, edges)
+    calls = cut(edge_calls(functions, edges).select("src", "dst", "params", "assignee", "args"))  # read twice below
     args = argument_pairs(calls).select(F.col("src").alias("fn"), F.col("variable").alias("var"),
                                         F.col("dst").alias("to_fn"), F.col("parameter").alias("to_var"))
     result = calls.where("assignee IS NOT NULL").select(
@@ -148,7 +148,7 @@ def points_to(functions: DataFrame, cfg: DataFrame, edges: DataFrame, max_rounds
     """
     addresses, copies, accesses = constraints(functions, cfg, edges)
     addresses, copies, accesses = cut(addresses), cut(copies), cut(accesses)
-    return solve(addresses, copies, accesses, max_rounds)
+    return solve(addresses, copies, accesses, max_rounds) | {"accesses": accesses}
 
 
 def solve(addresses: DataFrame, copies: DataFrame, accesses: DataFrame, max_rounds: int | None = None,
@@ -255,11 +255,12 @@ def context_heaps(functions: DataFrame, cfg: DataFrame, edges: DataFrame, soluti
     """A private points-to state of the callee for every call string.
 
     The same solver runs on constraints whose function is the context; arguments and results seed it, allocations of
-    the callee get one copy per context.
+    the callee get one copy per context. ``solution``: :func:`points_to` of the same functions, whose copies and accesses
+    are taken over.
     """
-    calls = cut(edge_calls(functions, edges).where("args IS NOT NULL"))
+    calls = cut(edge_calls(functions, edges).where("args IS NOT NULL").select("src", "dst", "params", "args"))
     contexts = cut(call_contexts(calls.select("src", "dst").distinct(), depth))
-    _, copies, accesses = constraints(functions, cfg, edges)
+    copies, accesses = solution["copies"], solution["accesses"]
     passed = argument_pairs(calls).join(
         solution["pts"].select(F.col("fn").alias("src"), F.col("var").alias("variable"), "obj"), ["src", "variable"]).select(
         F.concat_ws(">", "src", "dst").alias("inner_id"), F.col("parameter").alias("var"), "obj")

@@ -38,7 +38,7 @@ def flow_rules(functions: DataFrame, cfg: DataFrame, edges: DataFrame) -> tuple[
         (F.col("sanitizer") | F.col("_own")).alias("clean")).select("fn", "var", "to_fn", F.explode("defs").alias("to_var"), "clean")
     returns = nodes.where("kind = 'return' AND NOT sanitizer").select(
         F.col("function_id").alias("fn"), F.explode("uses").alias("var")).distinct()
-    calls = edge_calls(functions, edges)
+    calls = cut(edge_calls(functions, edges).select("src", "dst", "params", "assignee", "args"))  # read twice below
     targets = marks.select(F.col("function_id").alias("dst"), F.col("sanitizer").alias("_s"))
     passed = argument_pairs(calls).join(targets, "dst").select(
         F.col("src").alias("fn"), F.col("variable").alias("var"), F.col("dst").alias("to_fn"),

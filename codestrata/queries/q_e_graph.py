@@ -283,7 +283,8 @@ def call_contexts(b):
 
 @query("context_points_to")
 def context_points_to(b):
-    return P.context_heaps(function_facts(b), cfg(b), b.edges, solution(b))["pts"]
+    f = cut(function_facts(b).select("project_id", "function_id", "name", "params", "body"))
+    return P.context_heaps(f, cfg(b), b.edges, P.points_to(f, cfg(b), b.edges))["pts"]
 
 
 @query("ssa_numbering", """

@@ -57,6 +57,17 @@ def test_context_heaps_keep_call_sites_apart(spark):
     assert ctx[("a>s", "p")] == {"param:a:x"} and ctx[("b>s", "p")] == {"param:b:z"}
 
 
+def test_contexts_take_over_the_constraints(spark, monkeypatch):
+    functions = fn(spark, ("a", "a", ["x"], "r = same(x)\n", [], []), ("s", "same", ["p"], "return p\n", [], []))
+    cfg = spark.createDataFrame([("s", 0, "entry", [], [], "", "")], CFG)
+    edges = spark.createDataFrame([(0, "a", "s")], EDGE)
+    s = pointsto.points_to(functions, cfg, edges)
+    made = []
+    monkeypatch.setattr(pointsto, "constraints", lambda *_: made.append(1))
+    assert pts(pointsto.context_heaps(functions, cfg, edges, s))[("a>s", "p")] == {"param:a:x"}
+    assert not made
+
+
 def test_taint_crosses_calls_and_sanitizers_hold(spark):
     functions = fn(
         spark, ("r", "read_request", ["request"], "dangerous(request)\nclean(request)\n", ["external-input"], []),
