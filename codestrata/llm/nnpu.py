@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,20 +22,17 @@ def features_of(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in _STEMS if len(word) > k)]
 
 
-def text_features(text: str | None) -> set[str]:
-    return {f for w in set(_WORD.findall((text or "").lower())) for f in features_of(w)}
+def choose_features(p: dict[str, int], u: dict[str, int], n_p: int, n_u: int, size: int) -> list[str]:
+    """Features that are commoner among the confirmed examples, by their standardised excess; ties by name.
 
-
-def choose_features(positive: list[set[str]], unlabelled: list[set[str]], size: int, least: int = 4) -> list[str]:
-    """Features that are commoner among the confirmed examples, by their standardised excess; ties by name."""
-    p, u = Counter(f for s in positive for f in s), Counter(f for s in unlabelled for f in s)
-    n_p, n_u = max(len(positive), 1), max(len(unlabelled), 1)
+    ``p`` and ``u`` count the confirmed and the unlabelled texts that have a feature, out of ``n_p`` and ``n_u``.
+    """
 
     def excess(f: str) -> float:
         a, b = p[f] / n_p, u[f] / n_u
         return (a - b) / ((b + 1 / n_u) / n_p) ** 0.5
 
-    ranked = sorted((-excess(f), f) for f in p if p[f] >= least)
+    ranked = sorted((-excess(f), f) for f in p)
     return [f for e, f in ranked[:size] if e < -3]
 
 
@@ -67,21 +63,32 @@ def fit_nnpu(p_rows: list[np.ndarray], u_rows: list[np.ndarray], dim: int, prior
     return w
 
 
-def _fit_member(size: int, prior: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[bool, list[set[str]]] = {True: [], False: []}
-        for batch in batches:
-            for text, confirmed in zip(batch.column("text").to_pylist(), batch.column("confirmed").to_pylist(), strict=True):
-                sets[confirmed].append(text_features(text))
-        if not sets[True] or not sets[False]:
-            return
-        names = choose_features(sets[True], sets[False], size)
-        place = {f: i for i, f in enumerate(names)}
-        rows = [[np.array(sorted(place[f] for f in s if f in place), np.int64) for s in sets[c]] for c in (True, False)]
-        w = fit_nnpu(*rows, len(names), prior)
-        yield pa.RecordBatch.from_arrays([pa.array([*names, ""]), pa.array(w)], ["feature", "weight"])
+class _Member:
+    """The examples of one member: every feature is held once and numbered, a text is an array of numbers."""
 
-    return run
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.texts: dict[bool, list[np.ndarray]] = {True: [], False: []}
+
+    def add(self, text: str | None, confirmed: bool) -> None:
+        numbers, found = self.numbers, set()
+        for word in set(_WORD.findall((text or "").lower())):
+            for f in features_of(word):
+                found.add(numbers.setdefault(f, len(numbers)))
+        self.texts[confirmed].append(np.fromiter(found, np.int32, len(found)))
+
+    def fit(self, size: int, prior: float, least: int = 4) -> tuple[list[str], np.ndarray] | None:
+        """Chosen features and their weights, the bias last; nothing unless there are examples of both kinds."""
+        if not self.texts[True] or not self.texts[False]:
+            return None
+        p, u = (np.bincount(np.concatenate(self.texts[c]), minlength=len(self.numbers)) for c in (True, False))
+        enough = {f: i for f, i in self.numbers.items() if p[i] >= least}
+        counts = [{f: int(x[i]) for f, i in enough.items()} for x in (p, u)]
+        names = choose_features(*counts, len(self.texts[True]), len(self.texts[False]), size)
+        place = np.full(len(self.numbers), -1)
+        place[[enough[f] for f in names]] = np.arange(len(names))
+        rows = [[np.sort(x[x >= 0]) for x in (place[t] for t in self.texts[c])] for c in (True, False)]
+        return names, fit_nnpu(*rows, len(names), prior)
 
 
 def toxicity_model(
@@ -116,17 +123,15 @@ def toxicity_model(
 
 
 def _fit_parts(size: int, prior: float):
-    fit = _fit_member(size, prior)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[pa.RecordBatch]] = {}
-        for batch in batches:
-            member = batch.column("member").to_numpy()
-            for k in np.unique(member):
-                held.setdefault(int(k), []).append(batch.filter(pa.array(member == k)))
-        for k, rows in held.items():
-            for out in fit(iter(rows)):
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([k] * out.num_rows, pa.int64())], ["feature", "weight", "member"])
+        held: dict[int, _Member] = {}
+        for batch in small_batches(batches):
+            for text, confirmed, member in zip(*(batch.column(c).to_pylist() for c in ("text", "confirmed", "member")), strict=True):
+                held.setdefault(member, _Member()).add(text, confirmed)
+        for k in list(held):
+            if (found := held.pop(k).fit(size, prior)) is not None:
+                names, w = found
+                yield pa.RecordBatch.from_arrays([pa.array([*names, ""]), pa.array(w), pa.array([k] * len(w), pa.int64())], ["feature", "weight", "member"])
 
     return run
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import sys
+import tracemalloc
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -18,7 +20,7 @@ from codestrata.llm import group_join  # noqa: E402
 from codestrata.llm.group_join import near_duplicates, one_of_each  # noqa: E402
 from codestrata.llm.language_tree import language_id  # noqa: E402
 from codestrata.llm.license_scan import TEMPLATES, licenses  # noqa: E402
-from codestrata.llm.nnpu import toxicity  # noqa: E402
+from codestrata.llm.nnpu import _fit_parts, toxicity  # noqa: E402
 from codestrata.llm.pareto_mix import pareto_mix  # noqa: E402
 from codestrata.llm.phrase_index import build_index, contamination, proximity_matches  # noqa: E402
 from codestrata.llm.preference_pairs import preference_pairs  # noqa: E402
@@ -238,3 +240,19 @@ def test_sets_are_derived_once(spark):
         assert sorted(r.sig for r in found) == list(range(low, high + 1))
         assert all(len(r.tokens) == 2 for r in found)
     assert [sorted(r.sig for r in t.collect()) for t in held] == [[0, 1, 2, 3], [4, 5]]
+
+
+def test_examples_of_a_classifier_are_held_as_numbers():
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefghij", k=9)) for _ in range(3000)]
+    texts = [" ".join(rnd.choices(words, k=300) + ["bad"] * (i % 4 == 0)) for i in range(600)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([*texts, None, ""]), pa.array([i % 4 == 0 for i in range(602)]), pa.array([0] * 602, pa.int64())], ["text", "confirmed", "member"]
+    )
+    tracemalloc.start()
+    (found,) = _fit_parts(50, 0.2)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    weight = dict(zip(found.column("feature").to_pylist(), found.column("weight").to_pylist(), strict=True))
+    assert weight["=bad"] > 0 > weight[""]
+    assert peak < 20_000_000, peak
