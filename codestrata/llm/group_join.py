@@ -7,12 +7,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import BROADCAST_ROWS, lookup, packed, row_key, unpacked
-from .shingles import LEAST, least_common, min_bands, mix, parity_bits, shingle_hashes, shingle_set, signature
+from .shingles import LEAST, least_common, min_bands, mix, parity_bits, sets_of, shingles_of, signatures
 
 #: Shared prefix tokens that a pair must have (fewer for tiny sets), and leader keys per document.
 OVERLAP, BANDS = 3, 8
@@ -21,14 +22,25 @@ LONGS, PART = 8, 256
 #: Frequent shingles that go last in the order of tokens. The list only sets the order, so any bound keeps results whole.
 FREQUENT = 100_000
 _CHUNK, _OFTEN = 1_000_000, 3
-#: Rows per record batch, and signatures of recent documents that a task keeps.
-_ROWS, _SEEN = 256, 100_000
+#: Rows and bytes of text that are worked on at once, and signatures of recent documents that a task keeps.
+_ROWS, _BYTES, _SEEN = 256, 1 << 18, 100_000
 #: Rounds in which sets look for neighbours outside their group, leaders per key and round, and neighbours tried.
 ROUNDS, LEADERS, NEAREST = 1, 4, 3
 #: Members of a block of a group on average, and tokens counted at a time when blocks are compared.
 _MEMBERS, _COLUMNS = 128, 4096
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in order, at most ``_ROWS`` and, unless a single text is longer, ``_BYTES`` of text at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        full = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _BYTES, side="right"))
+        stop = min(start + _ROWS, max(full, start + 1))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles seen at least three times within two million; rarer ones cannot be among the frequent."""
 
@@ -39,8 +51,8 @@ def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     held, size = [], 0
     for batch in batches:
-        for text in batch.column(0):
-            h = shingle_hashes(text.as_py())
+        for piece in _pieces(batch):
+            h, _ = shingles_of(piece.column("text").to_pylist())
             held.append(h)
             size += len(h)
             if size >= _CHUNK:
@@ -57,79 +69,116 @@ def frequent_tokens(docs: DataFrame, bound: int = FREQUENT) -> np.ndarray:
     return top.column("token").to_numpy()[::-1].view(np.uint64) if len(top) else np.empty(0, np.uint64)
 
 
-def set_parts(s: np.ndarray, rank_of) -> list[tuple]:
-    """The parts of a set under which it looks for similar sets: part, size, bits (parity sketch), prefix (first tokens).
+def _level_of(n: np.ndarray) -> np.ndarray:
+    """The level at which sets of ``n`` elements have their own parts: there are two to its power."""
+    return np.maximum(np.frexp((n // PART).astype(np.float64))[1] - 1, 0)
+
+
+def _prefix(tokens: np.ndarray, late: np.ndarray, keep: int) -> np.ndarray:
+    """The first ``keep`` tokens of a part: those not in the list of frequent ones by value, then the others by rank."""
+    if late.any():
+        rare = late == 0
+        others = tokens[~rare][np.argsort(late[~rare])]
+        tokens = tokens[rare]
+        if len(tokens) < keep:
+            return np.concatenate([tokens, others[: keep - len(tokens)]])
+    return np.partition(tokens, keep - 1)[:keep]
+
+
+def set_parts(s: np.ndarray, ends: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The parts of sets under which they look for similar sets: set, part, size, bits (parity sketch), prefix (first tokens).
 
     A set of up to 511 elements is one part; larger ones are dealt out by hash to parts of 256 to 511 elements on
     average. If two sets link, then in some part they are as similar as they must be as a whole (the differences of all
     parts add up to that of the sets, and so do the sizes), so the search may compare parts. Both sets need the same
     number of parts: that of the larger one, so a set also comes with the number that a set a third larger would have.
+
+    The sets are not empty and lie in ``s`` one after the other; ``late`` has the ranks of frequent elements, else 0.
     """
-    n, out = len(s), []
-    for level in sorted({max(0, (x // PART).bit_length() - 1) for x in (n, n * 100 // LEAST)}):
-        own = mix(s ^ np.uint64(0x3C79AC492BA7B653)) & np.uint64((1 << level) - 1)
-        tokens = mix(s + np.uint64(level))
-        by_part = np.argsort(own, kind="stable")
-        for at in np.split(by_part, np.flatnonzero(np.diff(own[by_part])) + 1):
-            t, late = tokens[at], rank_of(s[at])
-            need = least_common(len(t))
-            keep = len(t) - need + min(OVERLAP, need)
-            prefix = t[np.lexsort((t, late))[:keep]] if late is not None else np.sort(np.partition(t, keep - 1)[:keep])
-            out.append(((level << 40) + int(own[at[0]]), len(t), parity_bits(t, LONGS), prefix.view(np.int64)))
-    return out
+    n = np.diff(ends)
+    low, high = _level_of(n), _level_of(n * 100 // LEAST)
+    owners, parts, sizes, bits, prefixes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty((0, LONGS), np.int64)], []
+    for level in np.union1d(low, high).tolist():
+        there = (low == level) | (high == level)
+        at = np.flatnonzero(np.repeat(there, n))
+        own = (mix(s[at] ^ np.uint64(0x3C79AC492BA7B653)) & np.uint64((1 << level) - 1)).view(np.int64)
+        key = np.repeat(np.flatnonzero(there) << level, n[there]) + own
+        by_part = np.argsort(key, kind="stable") if level else slice(None)
+        at, key = at[by_part], key[by_part]
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        tokens, rank, first = mix(s[at] + np.uint64(level)), late[at], key[bounds[:-1]]
+        owners.append(first >> level)
+        parts.append((level << 40) + (first & ((1 << level) - 1)))
+        sizes.append(np.diff(bounds))
+        bits.append(parity_bits(tokens, bounds, LONGS))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            need = least_common(b - a)
+            prefixes.append(_prefix(tokens[a:b], rank[a:b], b - a - need + min(OVERLAP, need)).view(np.int64))
+    owner = np.concatenate(owners)
+    by_set = np.argsort(owner, kind="stable")
+    return owner[by_set], np.concatenate(parts)[by_set], np.concatenate(sizes)[by_set], np.concatenate(bits)[by_set], [prefixes[i] for i in by_set.tolist()]
 
 
 _PARTS = "array<struct<part:long,size:long,bits:array<long>,prefix:array<long>>>"
 
 
-def _lists(rows: list[np.ndarray | None]) -> pa.ListArray:
-    """Array of lists of longs; None becomes null."""
-    ends = np.cumsum([0, *(0 if r is None else len(r) for r in rows)])
-    held = [r for r in rows if r is not None]
-    flat = pa.array(np.concatenate(held) if held else np.empty(0, np.int64))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([r is None for r in rows], pa.bool_()))
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """Array of lists of longs."""
+    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat))
+
+
+def _spaced(size: np.ndarray, there: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """Array of lists of ``size`` ``values`` each where ``there`` is true, and null elsewhere."""
+    ends = np.zeros(len(there) + 1, np.int64)
+    ends[1:][there] = size
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), values, mask=pa.array(~there))
 
 
 def _features(frequent: np.ndarray):
     by_value = np.argsort(frequent)
     known, rank = frequent[by_value], by_value + 1
 
-    def rank_of(s: np.ndarray) -> np.ndarray | None:
-        if not len(known):
-            return None
-        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-        late = np.where(known[at] == s, rank[at], 0)
-        return late if late.any() else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        maybe = np.zeros(1 << 20, bool)  # by the first 20 bits, as few shingles are frequent
+        maybe[(known >> np.uint64(44)).view(np.int64)] = True
+
+        def late_of(s: np.ndarray) -> np.ndarray:
+            late = np.zeros(len(s), np.int64)
+            tried = np.flatnonzero(maybe[(s >> np.uint64(44)).view(np.int64)])
+            if len(tried):
+                at = np.minimum(np.searchsorted(known, s[tried]), len(known) - 1)
+                late[tried] = np.where(known[at] == s[tried], rank[at], 0)
+            return late
+
         for whole in batches:
-            for start in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(start, _ROWS)
-                sigs, sizes, bits, bands, parts = [], [], [], [], []
-                for text in batch.column("text"):
-                    s = shingle_set(text.as_py())
-                    sig = signature(s) if len(s) else None
-                    fresh = sig is not None and sig not in seen  # a recent copy needs no tokens of its own
+            for batch in _pieces(whole):
+                s, ends = sets_of(batch.column("text").to_pylist())
+                n = np.diff(ends)
+                sigs, fresh = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+                sigs[n > 0] = signatures(s, np.unique(ends))
+                for d in np.flatnonzero(n).tolist():
+                    sig = int(sigs[d])
+                    fresh[d] = sig not in seen  # a recent copy needs no tokens of its own
                     seen.add(sig)
-                    sigs.append(sig)
-                    sizes.append(len(s))
-                    bits.append(parity_bits(s, LONGS) if fresh else None)
-                    bands.append(min_bands(s, BANDS) if fresh else None)
-                    parts.append(set_parts(s, rank_of) if fresh else None)
                 if len(seen) > _SEEN:
                     seen.clear()
-                flat = [p for listed in parts if listed is not None for p in listed]
-                fields = [
-                    pa.array([p[0] for p in flat], pa.int64()),
-                    pa.array([p[1] for p in flat], pa.int64()),
-                    _lists([p[2] for p in flat]),
-                    _lists([p[3] for p in flat]),
-                ]
-                ends = pa.array(np.cumsum([0, *(len(x or ()) for x in parts)]), pa.int32())
-                listed = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, ["part", "size", "bits", "prefix"]), mask=pa.array([x is None for x in parts], pa.bool_()))
+                s, ends = s[np.repeat(fresh, n)], np.cumsum([0, *n[fresh]])
+                owner, part, size, bits, prefix = set_parts(s, ends, late_of(s))
+                parts = pa.StructArray.from_arrays(
+                    [pa.array(part), pa.array(size), _lists(list(bits)), _lists(prefix)], ["part", "size", "bits", "prefix"]
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("rk"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), _lists(bits), _lists(bands), listed],
+                    [
+                        batch.column("doc_id"),
+                        batch.column("rk"),
+                        pa.array(sigs, mask=n == 0),
+                        pa.array(n),
+                        _spaced(LONGS, fresh, pa.array(parity_bits(s, ends, LONGS).ravel())),
+                        _spaced(BANDS, fresh, pa.array(min_bands(s, ends, BANDS).ravel())),
+                        _spaced(np.bincount(owner, minlength=int(fresh.sum())), fresh, parts),
+                    ],
                     ["doc_id", "rk", "sig", "n", "bits", "bands", "parts"],
                 )
 
@@ -138,10 +187,10 @@ def _features(frequent: np.ndarray):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for start in range(0, whole.num_rows, _ROWS):
-            batch = whole.slice(start, _ROWS)
-            sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("sig"), _lists(sets)], ["sig", "tokens"])
+        for batch in _pieces(whole):
+            s, ends = sets_of(batch.column("text").to_pylist())
+            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), tokens], ["sig", "tokens"])
 
 
 def components(edges: DataFrame) -> DataFrame:

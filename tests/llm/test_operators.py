@@ -7,6 +7,7 @@ import sys
 import tracemalloc
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -16,7 +17,7 @@ import brute  # noqa: E402
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from codestrata.llm import group_join  # noqa: E402
+from codestrata.llm import group_join, shingles  # noqa: E402
 from codestrata.llm.group_join import near_duplicates, one_of_each  # noqa: E402
 from codestrata.llm.language_tree import language_id  # noqa: E402
 from codestrata.llm.license_scan import TEMPLATES, licenses  # noqa: E402
@@ -242,6 +243,32 @@ def test_sets_are_derived_once(spark):
     assert [sorted(r.sig for r in t.collect()) for t in held] == [[0, 1, 2, 3], [4, 5]]
 
 
+def test_features_of_many_texts_at_once(monkeypatch):
+    rnd = random.Random(11)
+    texts = [" ".join(f"w{rnd.randrange(900)}" for _ in range(size)) for size in (1, 2, 4, 5, 6, 30, 400, 520, 1500) for _ in range(6)]
+    texts += [None, "", " \n", "A b", "a B", "a b c d e " * 300, texts[40], None]
+    frequent = np.unique(shingles.shingles_of(texts)[0])[::3]
+    calls = []
+    monkeypatch.setattr(group_join, "min_bands", lambda *a: (calls.append(1), shingles.min_bands(*a))[1])
+
+    def rows(texts, first=0):
+        ids = pa.array(range(first, first + len(texts)), pa.int64())
+        batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts, pa.string())], ["doc_id", "rk", "text"])
+        return [r for out in group_join._features(frequent)(iter([batch])) for r in out.to_pylist()]
+
+    whole, seen = rows(texts), set()
+    assert len(calls) == 1
+    for i, text in enumerate(texts):
+        (alone,) = rows([text], i)
+        if alone["sig"] in seen:  # a copy comes without features
+            alone |= {"bits": None, "bands": None, "parts": None}
+        seen.add(alone["sig"])
+        assert whole[i] == alone
+        assert alone["n"] == len(brute.shingles(text))
+    monkeypatch.setattr(group_join, "_BYTES", 2000)
+    assert rows(texts) == whole and len(calls) > 10
+
+
 def test_examples_of_a_classifier_are_held_as_numbers():
     rnd = random.Random(12)
     words = ["".join(rnd.choices("abcdefghij", k=9)) for _ in range(3000)]
