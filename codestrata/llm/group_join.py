@@ -15,7 +15,7 @@ from ..session import cut
 from .common import BROADCAST_ROWS, lookup, packed, row_key, unpacked
 from .shingles import LEAST, least_common, min_bands, mix, parity_bits, sets_of, shingles_of, signatures
 
-#: Shared prefix tokens that a pair must have (fewer for tiny sets), and leader keys per document.
+#: Shared prefix tokens that a pair must have for each part of its smaller set (fewer for tiny sets), and leader keys per document.
 OVERLAP, BANDS = 3, 8
 #: Longs of a parity sketch, and the least elements of a part (on average) once a set is dealt out to several.
 LONGS, PART = 8, 256
@@ -90,16 +90,20 @@ def set_parts(s: np.ndarray, ends: np.ndarray, late: np.ndarray) -> tuple[np.nda
 
     A set of up to 511 elements is one part; larger ones are dealt out by hash to parts of 256 to 511 elements on
     average. If two sets link, then in some part they are as similar as they must be as a whole (the differences of all
-    parts add up to that of the sets, and so do the sizes), so the search may compare parts. Both sets need the same
-    number of parts: that of the larger one, so a set also comes with the number that a set a third larger would have.
+    parts add up to that of the sets, and so do the sizes), so the sketches of parts may be compared. Both sets need the
+    same number of parts: that of the larger one, so a set also comes with the number that a set a third larger would have.
+
+    Part 0 is the whole set, whatever its size. It alone has the prefix, so that each token is listed once: as many first
+    tokens as the set may lack in one that links, and ``OVERLAP`` more for each of its own parts. Of the tokens that two
+    linked sets share, these many come first in both.
 
     The sets are not empty and lie in ``s`` one after the other; ``late`` has the ranks of frequent elements, else 0.
     """
     n = np.diff(ends)
     low, high = _level_of(n), _level_of(n * 100 // LEAST)
     owners, parts, sizes, bits, prefixes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty((0, LONGS), np.int64)], []
-    for level in np.union1d(low, high).tolist():
-        there = (low == level) | (high == level)
+    for level in np.unique(np.concatenate([low * 0, low, high])).tolist():
+        there = (low == level) | (high == level) | (level == 0)
         at = np.flatnonzero(np.repeat(there, n))
         own = (mix(s[at] ^ np.uint64(0x3C79AC492BA7B653)) & np.uint64((1 << level) - 1)).view(np.int64)
         key = np.repeat(np.flatnonzero(there) << level, n[there]) + own
@@ -111,9 +115,12 @@ def set_parts(s: np.ndarray, ends: np.ndarray, late: np.ndarray) -> tuple[np.nda
         parts.append((level << 40) + (first & ((1 << level) - 1)))
         sizes.append(np.diff(bounds))
         bits.append(parity_bits(tokens, bounds, LONGS))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if level:
+            prefixes += [np.empty(0, np.int64)] * len(first)
+            continue
+        for a, b, own_level in zip(bounds[:-1].tolist(), bounds[1:].tolist(), low.tolist(), strict=True):
             need = least_common(b - a)
-            prefixes.append(_prefix(tokens[a:b], rank[a:b], b - a - need + min(OVERLAP, need)).view(np.int64))
+            prefixes.append(_prefix(tokens[a:b], rank[a:b], b - a - need + min(OVERLAP << own_level, need)).view(np.int64))
     owner = np.concatenate(owners)
     by_set = np.argsort(owner, kind="stable")
     return owner[by_set], np.concatenate(parts)[by_set], np.concatenate(sizes)[by_set], np.concatenate(bits)[by_set], [prefixes[i] for i in by_set.tolist()]
@@ -302,6 +309,11 @@ def _level(n: Column) -> Column:
     return F.when(n < 2 * PART, 0).otherwise(F.length(F.bin(F.floor(n / PART))) - 1)
 
 
+def _least_met(n: Column) -> Column:
+    """First tokens that a set of ``n`` elements shares at least with a linked set that is not smaller, as in set_parts."""
+    return F.least((OVERLAP * F.pow(F.lit(2), _level(n))).cast("long"), F.ceil(LEAST * n / 100))
+
+
 def _near_pairs(features: DataFrame, groups: DataFrame, round_: int) -> DataFrame:
     """Pairs of sets of different groups that are likely to link, at most ``NEAREST`` per set: linear in the documents.
 
@@ -333,14 +345,21 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return cut(kept.select(F.coalesce("v", "_m").alias("v"), F.coalesce("_to", "root").alias("root")).distinct())
 
 
+def _of_several(tokens: DataFrame, owner: str) -> DataFrame:
+    """The rows of tokens that more than one ``owner`` has."""
+    token = Window.partitionBy("token")
+    return tokens.withColumn("_a", F.min(owner).over(token)).withColumn("_b", F.max(owner).over(token)).where("_a <> _b").drop("_a", "_b")
+
+
 def _open_pairs(features: DataFrame, group_of: DataFrame) -> DataFrame:
     """Pairs of sets from different groups that may still link, by the token-group matrix.
 
-    The matrix holds, by part, the union of each group's prefix tokens. Sets that link share ``OVERLAP`` prefix tokens of a
-    part (or what the smaller one needs at all, if less), so groups with fewer common tokens cannot hold a link. The
-    smaller group queries the larger one, and only under a bound on distance: the sketches of the groups' first sets, less
-    the radii of their groups, must not differ by more than linked parts may (a seventh of their sizes). Only
-    groups that qualify are opened, and their members meet under the same bound.
+    The matrix holds the union of each group's prefix tokens, but for tokens that a single group has. Sets that link share
+    ``OVERLAP`` prefix tokens for each part of the smaller one (or what it needs at all, if less), so groups with fewer
+    common tokens cannot hold a link. The smaller group queries the larger one, and only under a bound on distance: the
+    sketches of the groups' first sets, less the radii of their groups, must not differ by more than linked sets may (a
+    seventh of their sizes). Groups that qualify are compared by part under the same bound, and only the parts left are
+    opened, where their members meet under it.
     """
     listed = features.where(F.col("parts").isNotNull()).select("sig", _level(F.col("n")).alias("level"), F.explode("parts").alias("x"))
     grouped = group_of.select(F.col("v").alias("sig"), "root")
@@ -353,26 +372,26 @@ def _open_pairs(features: DataFrame, group_of: DataFrame) -> DataFrame:
         .groupBy("g", "part")
         .agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count(F.lit(1)).alias("held"), F.max(_apart("bits", "lead")).alias("radius"), F.max("lead").alias("lead"), F.max("own").alias("own"))
     )
-    token = Window.partitionBy("token")
-    tokens = listed.select("sig", "x.part", F.explode("x.prefix").alias("token"))
-    shared = tokens.withColumn("_a", F.min("sig").over(token)).withColumn("_b", F.max("sig").over(token)).where("_a <> _b").drop("_a", "_b")
-    matrix = shared.join(grouped, "sig", "left").select("token", "part", F.coalesce("root", "sig").alias("g")).distinct()
-    matrix = cut(matrix.join(groups, ["g", "part"]).select("token", "g", "part", "low", "high", "held", "radius", "lead", "own"))
+    tokens = listed.where("x.part = 0").select("sig", F.explode("x.prefix").alias("token"))
+    shared = _of_several(tokens, "sig").join(grouped, "sig", "left").select("token", F.coalesce("root", "sig").alias("g"))
+    whole = groups.where("part = 0").drop("part", "own")
+    matrix = cut(_of_several(shared, "g").distinct().join(whole, "g"))
     q, m = matrix.alias("q"), matrix.alias("m")
-    smaller = F.expr("q.token = m.token AND q.part = m.part AND (q.held < m.held OR (q.held = m.held AND q.g < m.g))")
+    smaller = F.expr("q.token = m.token AND (q.held < m.held OR (q.held = m.held AND q.g < m.g))")
     sizes = F.expr(f"100 * m.high >= {LEAST} * q.low AND 100 * q.high >= {LEAST} * m.low")
     near = _apart("q.lead", "m.lead") - F.col("q.radius") - F.col("m.radius") <= (F.col("q.high") + F.col("m.high")) * _SEVENTH
-    # two sets are compared by the parts of the larger one, so one side must have them as its own
-    sizes = sizes & (F.col("q.own") | F.col("m.own"))
-    need = F.least(F.lit(OVERLAP), F.ceil(LEAST * F.least("ql", "ml") / 100))
-    open_ = (
+    open_ = cut(
         q.join(m, smaller & sizes & near)
-        .groupBy(F.col("q.g").alias("qg"), F.col("m.g").alias("mg"), F.col("q.part").alias("part"))
+        .groupBy(F.col("q.g").alias("qg"), F.col("m.g").alias("mg"))
         .agg(F.count(F.lit(1)).alias("common"), F.first("q.low").alias("ql"), F.first("m.low").alias("ml"))
-        .where(F.col("common") >= need)
-        .select("qg", "mg", "part")
+        .where(F.col("common") >= _least_met(F.least("ql", "ml")))
+        .select("qg", "mg")
     )
-    x = open_.join(parts.withColumnRenamed("g", "qg"), ["qg", "part"]).alias("x")
+    q, m = groups.alias("q"), groups.alias("m")
+    # two sets are compared by the parts of the larger one, so one side must have them as its own
+    by_part = lookup(open_, open_.count()).join(q, F.expr("qg = q.g")).join(m, F.expr("mg = m.g AND q.part = m.part AND (q.own OR m.own)") & sizes & near)
+    by_part = cut(by_part.select("qg", "mg", "q.part"))
+    x = lookup(by_part, by_part.count()).join(parts.withColumnRenamed("g", "qg"), ["qg", "part"]).alias("x")
     y = parts.alias("y")
     fits = F.expr(f"x.mg = y.g AND x.part = y.part AND (x.own OR y.own) AND 100 * least(x.size, y.size) >= {LEAST} * greatest(x.size, y.size)")
     close = _apart("x.bits", "y.bits") <= (F.col("x.size") + F.col("y.size")) * _SEVENTH

@@ -269,6 +269,60 @@ def test_features_of_many_texts_at_once(monkeypatch):
     assert rows(texts) == whole and len(calls) > 10
 
 
+def test_first_tokens_of_a_set_are_listed_once():
+    rnd = np.random.default_rng(13)
+    sizes = [1, 2, 3, 5, 100, 383, 384, 450, 511, 512, 600, 682, 683, 700, 1100, 2500]
+    sets = []
+    for n in sizes:  # each with a smaller and a larger one that just link
+        base = np.unique(rnd.integers(0, 1 << 63, 2 * n + 9).astype(np.uint64))
+        rnd.shuffle(base)
+        sets += [base[: -(-75 * n // 100)], base[:n], base[: 100 * n // 75]]
+    ends = np.cumsum([0, *map(len, sets)])
+    s = np.concatenate([np.sort(x) for x in sets])
+    late = np.where(s % 7 == 0, 1 + np.argsort(np.argsort(s)), 0)
+    owner, part, size, _, prefix = group_join.set_parts(s, ends, late)
+    first = []
+    for i, x in enumerate(sets):
+        n, need = len(x), shingles.least_common(len(x))
+        levels = max((n // group_join.PART).bit_length() - 1, 0)
+        met = min(group_join.OVERLAP << levels, need)
+        listed = np.concatenate([p for o, p in zip(owner, prefix, strict=True) if o == i])
+        assert len(listed) == len(set(listed.tolist())) == n - need + met
+        assert size[(owner == i) & (part == 0)].tolist() == [n]
+        first.append((set(listed.tolist()), met))
+    for i in range(1, len(sets), 3):
+        for j in (i - 1, i + 1):
+            assert len(first[i][0] & first[j][0]) >= min(first[i][1], first[j][1])
+
+
+def test_links_across_part_levels_without_groups(spark, monkeypatch):
+    monkeypatch.setattr(group_join, "_leader_pairs", lambda f: f.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0))
+    monkeypatch.setattr(group_join, "ROUNDS", 0)
+    rnd = random.Random(14)
+    rows = []
+    for sizes in ((4, 6, 8), (380, 480, 600, 760), (500, 530), (900, 1100, 1400), (2000, 2600), (600, 900)):
+        words = [f"w{rnd.randrange(20000)}" for _ in range(max(sizes))]
+        rows += [(len(rows) + i, " ".join(words[:n])) for i, n in enumerate(sizes)]
+    found = near_duplicates(docs(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(tuple(r) for r in found) == brute.components(rows)
+
+
+def test_matrix_has_only_tokens_of_several_groups(spark, monkeypatch):
+    tables, cut = [], group_join.cut
+    monkeypatch.setattr(group_join, "cut", lambda df: (tables.append(cut(df)), tables[-1])[1])
+    rnd = random.Random(15)
+    passage = [f"p{i}" for i in range(12)]
+    rows = []
+    for _ in range(6):
+        words = [f"w{rnd.randrange(9000)}" for _ in range(200)]
+        rows += [(len(rows) + i, " ".join([*words, *passage, f"x{i}"])) for i in range(4)]
+    found = near_duplicates(docs(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(tuple(r) for r in found) == brute.components(rows)
+    (matrix,) = [t for t in tables if "token" in t.columns]
+    per_token = [r.n for r in matrix.groupBy("token").agg(F.count_distinct("g").alias("n")).collect()]
+    assert all(n > 1 for n in per_token)
+
+
 def test_examples_of_a_classifier_are_held_as_numbers():
     rnd = random.Random(12)
     words = ["".join(rnd.choices("abcdefghij", k=9)) for _ in range(3000)]
