@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from codestrata.operators import segments
 from codestrata.plans import reports as P
 
 
@@ -52,6 +54,79 @@ def test_crossing_pairs_are_added_up_where_they_are_found(spark):
     assert [tuple(r) for r in found.collect()] == [(0, n * n)]
 
 
+def _crossing_pairs(rows):
+    want = {}
+    for a, b in combinations([r for r in rows if None not in r], 2):
+        if a[0] != b[0] or a[1] == b[1] or {a[6], a[7]} & {b[6], b[7]}:
+            continue
+        s, t = a[2:6], b[2:6]
+        if _sign(*s, *t[:2]) != _sign(*s, *t[2:]) and _sign(*t, *s[:2]) != _sign(*t, *s[2:]):
+            want[a[0]] = want.get(a[0], 0) + 1
+    return want
+
+
+_WHOLE = "map_id int, seg_id int, x1 long, y1 long, x2 long, y2 long, a int, b int"
+
+
+@pytest.mark.parametrize("cell", [1.0, 3.5, 10.0, 400.0])
+def test_crossings_of_whole_coordinates_are_counted_without_pairs(spark, cell):
+    """Touches, common lines, upright and long segments, points, loops, common nodes and repeated names."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(700):
+        x, y, span = rnd.randrange(-12, 20), rnd.randrange(-12, 20), rnd.choice([1, 3, 8, 60])
+        ends = [x, y, x + rnd.randrange(-span, span + 1) * (i % 6 > 0), y + rnd.randrange(-span, span + 1) * (i % 7 > 0)]
+        a, b = rnd.randrange(40), rnd.randrange(40)
+        rows.append((i % 3, i if i % 5 else rnd.randrange(20), *ends, a, b))
+    rows += [(0, 5000, 1, 1, None, 4, 1, 2), (0, 5001, 1, 1, 6, 4, None, 2), (None, 5002, 1, 1, 6, 4, 1, 2), (7, 1, 0, 0, 4, 4, 1, 2), (7, 2, 1, 1, 9, 9, 3, 4)]
+    found = P.crossings(spark.createDataFrame(rows, _WHOLE), cell)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert {r.map_id: r.crossings for r in found.collect()} == _crossing_pairs(rows)
+
+
+def test_a_dense_map_costs_its_segments(spark):
+    """Nine million crossing pairs within a few cells; a star at one node has as many, and all of them are related."""
+    n = 3000
+    fan = [(0, i, 0, i % 7, 9, 20 + i % 9, i, 10000 + i) for i in range(n)] + [(0, n + i, 0, 20 + i % 9, 9, i % 7, 20000 + i, 30000 + i) for i in range(n)]
+    star = [(1, r[1], *r[2:6], 5, r[7]) for r in fan]
+    kinds = sorted({r[2:6] for r in fan})
+    weight = {k: sum(r[2:6] == k for r in fan) for k in kinds}
+    want = sum(weight[s] * weight[t] for s, t in combinations(kinds, 2)
+               if _sign(*s, *t[:2]) != _sign(*s, *t[2:]) and _sign(*t, *s[:2]) != _sign(*t, *s[2:]))
+    found = P.crossings(spark.createDataFrame(fan + star, _WHOLE), 10.0)
+    assert want >= n * n and [tuple(r) for r in found.collect()] == [(0, want)]
+
+
+def test_far_and_large_coordinates_are_told_apart(spark):
+    """Heights and slopes that one float does not tell apart: a segment past, at and short of the end of another."""
+    big, at = 3_000_001, 10**15
+    rows = [(0, 0, at, 0, at + 2 * big, 2 * big - 1, 1, 2)]
+    for i, y in enumerate((big - 2, big - 1, big, big + 1)):
+        rows.append((0, 1 + i, at + big, y, at + big + 7, 3 * big, 10 + i, 20 + i))
+        rows.append((0, 11 + i, at + big, -3 * big, at + big + 7, y, 30 + i, 40 + i))
+    found = P.crossings(spark.createDataFrame(rows, _WHOLE), 1e6)
+    assert {r.map_id: r.crossings for r in found.collect()} == _crossing_pairs(rows)
+
+
+def test_cells_go_on_over_batches(monkeypatch):
+    rnd = random.Random(2)
+    rows = [(m, cx, 0, cy == 0, i, *e, i, 500 + i) for m in "ab" for cx in range(2) for cy in (0,) for i, e in
+            enumerate([[10 * cx + rnd.randrange(9), rnd.randrange(9), 10 * cx + 9, rnd.randrange(9)] for _ in range(25)])]
+    names = ["map_id", "_cx", "_cy", "_first", "seg_id", "x1", "y1", "x2", "y2", "a", "b"]
+    table = pa.table({n: list(c) for n, c in zip(names, zip(*rows))})
+    want = {}
+    for cx in range(2):
+        for m, n in _crossing_pairs([(r[0], r[4], *r[5:]) for r in rows if r[1] == cx]).items():
+            want[m] = want.get(m, 0) + n
+    for goal in (1, 30, 1000):
+        monkeypatch.setattr(segments, "CHUNK_ROWS", goal)
+        got = {}
+        for batch in segments.cell_counter(10)(iter(table.to_batches(max_chunksize=7))):
+            for m, n in zip(*batch.to_pydict().values()):
+                got[m] = got.get(m, 0) + n
+        assert got == want
+
+
 @pytest.mark.parametrize("cell", [7.0, 32.0, 200.0])
 def test_overlaps_with_dense_spots(spark, cell):
     rnd = random.Random(3)
