@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from codestrata.operators import segments
 from codestrata.plans import reports as P
+from codestrata.queries import load_all
+
+QUERIES = load_all()[0]
 
 
 def _sign(px, py, qx, qy, rx, ry):
@@ -108,6 +111,21 @@ def test_far_and_large_coordinates_are_told_apart(spark):
     assert {r.map_id: r.crossings for r in found.collect()} == _crossing_pairs(rows)
 
 
+def test_map_quality_makes_no_pairs_of_segments(spark, tmp_path):
+    """The registered query: its segments have whole coordinates and go the way without pairs, on every map it reports."""
+    rnd = random.Random(4)
+    orders = [(i, rnd.randrange(3000)) for i in range(0, 9000, 3)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(80).selectExpr("id AS p_partkey", "CAST(id % 50 AS int) AS p_size", "'Brand#1' AS p_brand", "'PROMO' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(200).selectExpr("id AS l_partkey", "'R' AS l_returnflag", "CAST(id AS double) AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["map_quality"](spark, str(tmp_path))
+    assert "seg_id" not in "".join(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+    rows = [(c % 100, k, k % 97, c % 89, k % 97 + c % 11, c % 89 + k % 13, k % 5000, 10000 + k % 4999) for k, c in orders]
+    want = _crossing_pairs(rows)
+    got = {r.map_id: r.crossings for r in found.collect()}
+    assert len(got) == 40 and got == {m: want.get(m, 0) for m in range(40)} and any(got.values())
+
+
 def test_cells_go_on_over_batches(monkeypatch):
     rnd = random.Random(2)
     rows = [(m, cx, 0, cy == 0, i, *e, i, 500 + i) for m in "ab" for cx in range(2) for cy in (0,) for i, e in
